@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import langid, packing, quality, toxicity
+from evidentia.llm import fingerprints, langid, packing, quality, simhash, toxicity
 from evidentia.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, radius=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 #: The chain of op6: a condition on `labels` for each category, in order.
 TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -41,6 +50,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
+    "op4_simhash": op4_simhash,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op10_quality_rules": op10_quality_rules,
