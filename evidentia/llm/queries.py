@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fingerprints, langid, packing, quality, simhash, toxicity
+from evidentia.llm import fingerprints, langid, licenses, packing, pii, quality, simhash, toxicity
 from evidentia.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 #: The chain of op6: a condition on `labels` for each category, in order.
 TOXICITY = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
 
@@ -44,6 +48,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -52,8 +60,10 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_simhash": op4_simhash,
+    "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
 
