@@ -1,3 +1,73 @@
-STAGES = []
+"""From raw documents to packed training sequences, one operator a stage.
+
+Each stage takes what the one before kept, as a table of documents, and all but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evidentia.llm import langid, linededup, mixing, packing, simhash
+from evidentia.llm.queries import SOURCE_WEIGHTS, word_tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+#: Documents whose predicted language is surer than this stay.
+LEAST_SCORE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; ``lang`` becomes the predicted one."""
+    model = langid.fit_languages(docs, ~langid.held_out())
+    found = langid.identify_languages(docs, model, tuple(COLUMNS))
+    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that stand elsewhere already; those with no word left go."""
+    less = linededup.dedup_lines(docs.select(COLUMNS))
+    return less.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.one_of_each(docs.select(COLUMNS), shingle=5, radius=8, blocks=10, agree=2)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the mix."""
+    return mixing.mix_sources(docs.select(COLUMNS), SOURCE_WEIGHTS).orderBy("position").select(COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences."""
+    return packing.pack_documents(docs, word_tokenizer())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("source_mix", source_mix),
+    ("pack", pack),
+]
+
+#: Trained models, edit distances and tokenizers have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir): raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; what the others keep is written to the shared folder and read again."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{uuid.uuid4()}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

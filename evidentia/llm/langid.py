@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from evidentia.llm.linear import margin, sigmoid, squared_hinge_svm
 
@@ -145,9 +146,9 @@ def fit_languages(docs: DataFrame, usable: Column, per_language: int = 1000) ->
 
 
 def identify_languages(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``lang_pred`` and ``score``, a row per document."""
-    kept = docs.select(*keep, "text")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]), "lang_pred string", "score double"])
+    """The columns ``keep``, ``lang_pred`` and ``score``, a row per document."""
+    kept = docs.select(*keep, F.col("text").alias("__text"))
+    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     names = [*keep, "lang_pred", "score"]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,16 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fingerprints, langid, licenses, packing, pii, quality, simhash, toxicity
+from evidentia.llm import fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, simhash, toxicity
 from evidentia.llm.common import table
 
 
+#: Target weights of the sources that differ from 1.
+SOURCE_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
+
+
 def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix_sources(docs, SOURCE_WEIGHTS)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -48,6 +57,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_languages(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
 
@@ -57,12 +71,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_fingerprints": op3_fingerprints,
     "op4_simhash": op4_simhash,
     "op5_licenses": op5_licenses,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
