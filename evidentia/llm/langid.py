@@ -118,31 +118,42 @@ def train(x: np.ndarray, lang: np.ndarray, ridge: float = 1e-4) -> Model | None:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for lang, order, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             if has_letter(text := text.as_py()):
                 counts = ngram_counts(text)
                 at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype(np.int32)]), pa.array([counts[at].astype(np.int32)])], ["lang", "at", "n"])
-
-
-def fit_languages(docs: DataFrame, usable: Column, per_language: int = 1000) -> Model | None:
-    """A model from the rows where ``usable`` holds, ``lang`` is there and the text has a letter."""
-    first = Window.partitionBy("lang").orderBy("_order", "_text")
-    sample = (
-        docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id")).alias("_order"), F.xxhash64("text").alias("_text"))
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(F.col("_rank") <= per_language)
-        .select("lang", "text")
-        .mapInArrow(_counted, "lang string, at array<int>, n array<int>")
-        .toArrow()
-    )
-    x = np.zeros((sample.num_rows, SIZE), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([order]), pa.array([at.astype(np.int32)]), pa.array([counts[at].astype(np.int32)])], ["lang", "order", "at", "n"])
+
+
+def fit_languages(docs: DataFrame, usable: Column, per_language: int = 1000, most_languages: int = 64) -> Model | None:
+    """A model from the rows where ``usable`` holds, ``lang`` is there and the text is not null.
+
+    The sample is the ``per_language`` smallest of a hash of id and text in each
+    language. A bound on the hash, from the counts, first leaves about twice as
+    many rows, so the ranking never sees a whole language.
+    """
+    order = F.xxhash64(F.col("doc_id"), F.col("text"))
+    known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), order.alias("order"), "text")
+    counts = known.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    if not counts:
+        return None
+    bound = F.lit(None).cast("long")
+    for r in counts:
+        share = min(1.0, (2 * per_language + 200) / r["count"])
+        bound = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 2**12)))).otherwise(bound)
+    near = known.filter(F.col("order") <= bound)
+    first = Window.partitionBy("lang").orderBy("order")
+    chosen = near.select("lang", "order").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).select("lang", "order").distinct()
+    # At most most_languages * per_language rows.
+    sample = near.join(F.broadcast(chosen), ["lang", "order"], "left_semi").mapInArrow(_counted, "lang string, order long, at array<int>, n array<int>").toArrow()
+    sample = sample.sort_by([("lang", "ascending"), ("order", "ascending")])
+    x = np.zeros((sample.num_rows, SIZE), np.float32)
     for row, at, n in zip(x, sample["at"], sample["n"]):
-        row[at.values.to_numpy()] = n.values.to_numpy()
-    lang = np.array(sample["lang"].to_pylist(), object)
-    order = np.lexsort((x[:, 0], x.sum(axis=1), lang.astype(str))) if len(x) else []
-    return train(features(x[order]), lang[order]) if len(x) else None
+        values = n.values.to_numpy()
+        row[at.values.to_numpy()] = np.sqrt(values / values.sum())
+    return train(x, np.array(sample["lang"].to_pylist(), object))
 
 
 def identify_languages(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

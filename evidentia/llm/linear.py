@@ -10,19 +10,29 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def _descend(x: np.ndarray, slope, ridge: float, smooth: float, steps: int) -> np.ndarray:
-    """Accelerated gradient descent on mean loss plus ridge; the last weight is the bias, which has no ridge."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    v = np.full(x.shape[1], 1 / np.sqrt(x.shape[1]), x.dtype)
+    """Accelerated gradient descent on mean loss plus ridge; the last weight is the bias, which has no ridge.
+
+    ``x`` is never copied: the column of ones of the bias is only thought of.
+    """
+    n, d = x.shape
+
+    def forth(w: np.ndarray) -> np.ndarray:
+        return x @ w[:d] + w[d]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append(x.T @ r, r.sum(dtype=x.dtype))
+
+    v = np.full(d + 1, 1 / np.sqrt(d + 1), x.dtype)
     for _ in range(12):
-        v = x.T @ (x @ v)
+        v = back(forth(v))
         v /= max(float(np.linalg.norm(v)), 1e-30)
-    rate = 1.0 / (smooth * 1.1 * float(np.linalg.norm(x @ v)) ** 2 / len(x) + ridge)
-    w = u = np.zeros(x.shape[1], x.dtype)
-    free = np.ones_like(w)
-    free[-1] = 0
+    rate = x.dtype.type(1.0 / (smooth * 1.1 * float(np.linalg.norm(forth(v))) ** 2 / n + ridge))
+    w = u = np.zeros(d + 1, x.dtype)
+    held = np.full(d + 1, ridge, x.dtype)
+    held[d] = 0
     for k in range(steps):
-        step = u - rate * (x.T @ slope(x @ u) / len(x) + ridge * free * u)
-        u, w = step + (k / (k + 3)) * (step - w), step
+        step = u - rate * (back(slope(forth(u))) / n + held * u)
+        u, w = step + x.dtype.type(k / (k + 3)) * (step - w), step
     return w
 
 

@@ -32,33 +32,29 @@ def normalised(line: Column) -> Column:
 
 
 def segment_keys(norm: Column, edits: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of a line, the latter with how much shorter the other line is."""
-    parts = edits + 1
-    size = F.length(norm)
-
-    def width(total: Column, i: int) -> Column:  # the last ones are longer by one where they don't divide evenly
-        return F.floor((total + i) / parts).cast("int")
+    """Index keys and probe keys of a line, the latter with how much shorter the other line is.
 
-    def start(total: Column, i: int) -> Column:
-        out = F.lit(1)
-        for k in range(i):
-            out = out + width(total, k)
-        return out
+    Both walk a short constant list of segment numbers and shifts: as one
+    expression for each of them the generated code would be too long to compile.
+    """
+    parts = edits + 1
 
-    def key(i: int, total: Column, at: Column) -> Column:
-        return F.xxhash64(F.lit(i), total, F.substring(norm, at, width(total, i)))
+    def key(i: Column, total: Column, shift: Column) -> Column:
+        """The hash of segment ``i`` of a line of ``total`` characters, read ``shift`` further on; null where it doesn't lie in ``norm``."""
+        base = (total / parts).cast("int")
+        longer = F.lit(parts) - (total - base * parts)  # the segments from here on have one character more
+        at = i * base + F.greatest(F.lit(0), i - longer) + shift + 1
+        width = base + F.when(i >= longer, 1).otherwise(0)
+        return F.when((at >= 1) & (at + width - 1 <= F.length(norm)), F.xxhash64(i, total, F.substring(norm, at, width)))
 
-    index = F.array(*(key(i, size, start(size, i)) for i in range(parts)))
-    probes = []
+    index = F.transform(F.array(*map(F.lit, range(parts))), lambda i: key(i, F.length(norm), F.lit(0)))
+    moves = []
     for shorter in range(parts):
-        total = size - shorter
         for i in range(parts):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            for shift in range(low, high + 1):
-                at = start(total, i) + shift
-                fits = (at >= 1) & (at + width(total, i) - 1 <= size)
-                probes.append(F.when(fits, F.struct(key(i, total, at).alias("key"), F.lit(shorter).alias("shorter"))))
-    return index, F.filter(F.array(*probes), lambda p: p.isNotNull())
+            moves += [F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")) for shift in range(low, high + 1)]
+    probes = F.transform(F.array(*moves), lambda m: F.struct(key(m["i"], F.length(norm) - m["shorter"], m["shift"]).alias("key"), m["shorter"].alias("shorter")))
+    return index, F.filter(probes, lambda p: p["key"].isNotNull())
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
