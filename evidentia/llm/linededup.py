@@ -36,25 +36,34 @@ def segment_keys(norm: Column, edits: int) -> tuple[Column, Column]:
 
     Both walk a short constant list of segment numbers and shifts: as one
     expression for each of them the generated code would be too long to compile.
+    Four bytes for each character make every segment a slice at a known place.
     """
     parts = edits + 1
 
-    def key(i: Column, total: Column, shift: Column) -> Column:
-        """The hash of segment ``i`` of a line of ``total`` characters, read ``shift`` further on; null where it doesn't lie in ``norm``."""
+    def key(data: Column, size: Column, i: Column, total: Column, shift: Column) -> Column:
+        """The hash of segment ``i`` of a line of ``total`` characters, read ``shift`` further on; null where it doesn't lie in the line."""
         base = (total / parts).cast("int")
         longer = F.lit(parts) - (total - base * parts)  # the segments from here on have one character more
-        at = i * base + F.greatest(F.lit(0), i - longer) + shift + 1
+        at = i * base + F.greatest(F.lit(0), i - longer) + shift
         width = base + F.when(i >= longer, 1).otherwise(0)
-        return F.when((at >= 1) & (at + width - 1 <= F.length(norm)), F.xxhash64(i, total, F.substring(norm, at, width)))
+        return F.when((at >= 0) & (at + width <= size), F.xxhash64(i, total, F.substring(data, 4 * at + 1, 4 * width)))
 
-    index = F.transform(F.array(*map(F.lit, range(parts))), lambda i: key(i, F.length(norm), F.lit(0)))
+    numbers = F.array(*map(F.lit, range(parts)))
     moves = []
     for shorter in range(parts):
         for i in range(parts):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
             moves += [F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")) for shift in range(low, high + 1)]
-    probes = F.transform(F.array(*moves), lambda m: F.struct(key(m["i"], F.length(norm) - m["shorter"], m["shift"]).alias("key"), m["shorter"].alias("shorter")))
-    return index, F.filter(probes, lambda p: p["key"].isNotNull())
+
+    def indexed(data, size):
+        return F.transform(numbers, lambda i: key(data, size, i, size, F.lit(0)))
+
+    def probed(data, size):
+        found = F.transform(F.array(*moves), lambda m: F.struct(key(data, size, m["i"], size - m["shorter"], m["shift"]).alias("key"), m["shorter"].alias("shorter")))
+        return F.filter(found, lambda p: p["key"].isNotNull())
+
+    with_size = lambda made: let(F.encode(norm, "UTF-32"), lambda data: let((F.length(data) / 4).cast("int"), lambda size: made(data, size)))
+    return with_size(indexed), with_size(probed)
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
