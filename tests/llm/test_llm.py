@@ -1,0 +1,261 @@
+"""Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from evidentia.llm import fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, queries, simhash, toxicity
+
+LONG = "alpha beta gamma delta " * 3000
+ROWS = [
+    (1, "The quick brown fox jumps over the lazy dog near the river bank today\nsecond line that is long enough to count"),
+    (2, "The quick brown fox jumps over the lazy dog near the river bank today\nsecond line that is long enough to count!"),
+    (3, None),
+    (4, ""),
+    (5, "Ein Satz auf Deutsch mit Wörtern. Kontakt: jon@corp.example.com oder +49 (30) 555-2485"),
+    (5, "Ein Satz auf Deutsch mit Wörtern. Kontakt: jon@corp.example.com oder +49 (30) 555-2485"),
+    (6, LONG),
+    (7, "   \n \t"),
+    (None, "A row without an id, licensed under the MIT License."),
+    (8, "second line that is long enough to coumt\nother words stand here in this text alone 4111 1111 1111 1111"),
+]
+SCHEMA = "doc_id long, text string, lang string, source string, line string, rank string, `block` string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, "de" if i == 5 else "en", "s0" if (i or 0) < 7 else None, "x", "y", "z") for i, t in ROWS], SCHEMA).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_mixing(docs, empty):
+    got = mixing.mix_sources(docs, {"s0": 2}, block_docs=2).collect()
+    assert len(got) == len(ROWS) and "block_" in got[0].asDict()
+    slots = {}
+    for r in got:
+        assert r.release <= r.slot < r.deadline
+        slots.setdefault(r.slot, set()).add(r.source)
+    assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
+    assert mixing.mix_sources(empty, {}).count() == 0
+
+
+def test_pfair_deviation_stays_under_a_block():
+    weights, blocks = {0: 5, 1: 3, 2: 1, 3: 7}, {0: 40, 1: 100, 2: 9, 3: 63}
+    plan = mixing.phases(blocks, weights)
+    order = {}
+    for p in plan:
+        for k in range(p["first"], p["end"]):
+            i = k - p["first"]
+            slot = p["start"] + i // p["weight"] * p["total"] + p["slots"][i % p["weight"]]
+            assert slot not in order
+            order[slot] = (p["src"], p["start"], p["weight"] / p["total"])
+    assert sorted(order) == list(range(sum(blocks.values())))
+    served = {}
+    for slot in sorted(order):
+        src, start, _ = order[slot]
+        served[start, src] = served.get((start, src), 0) + 1
+        for p in plan:
+            if p["start"] == start:
+                assert abs(served.get((start, p["src"]), 0) - (slot + 1 - start) * p["weight"] / p["total"]) < 1
+
+
+def test_packing_round_trip(docs, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.word_tokenizer()
+    tok = Tokenizer.from_file(path)
+    got = packing.pack_documents(docs, path, seq_len=256, block_tokens=5000).toPandas()
+    want = {}
+    for i, t in ROWS:
+        want[i] = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+    for r in got.itertuples():
+        ids = want[None if np.isnan(r.doc_id) else int(r.doc_id)]
+        assert len(ids) == r.doc_tokens and zlib.crc32(ids[r.start : r.start + r.length].tobytes()) == r.ids_crc32
+    assert got.length.sum() == sum(len(want[i]) for i, _ in ROWS)
+    for _, s in got.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.length.sum() <= 256 and (s.offset.to_numpy() == np.append(0, s.length.cumsum())[:-1]).all()
+    assert packing.pack_documents(empty, path).count() == 0
+
+
+def test_word_ids_equal_whole_encoding():
+    from tokenizers import Tokenizer
+
+    path = queries.word_tokenizer()
+    tok, words = Tokenizer.from_file(path), packing.WordIds(path, limit=3)
+    for text in ["", " a  b ", "a\tb c", "İSTANBUL Σας", "x<|endoftext|>y", "don't we'll, é", "²Ⅷ 12a3", "日本 語", "K Å ﬁ", "Wörter, und; Punkte."]:
+        assert np.frombuffer(words.text(text), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_fingerprints(docs, empty):
+    got = fingerprints.fingerprint_edits(docs).collect()
+    assert len(got) == len(ROWS)
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = {}
+    for k, (i, t) in enumerate(order):
+        t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
+        h = len(t) // 2
+        want.setdefault((i, len(t)), set()).add(hashlib.sha256((t[: len(t) - h] + nxt[:h]).encode()).hexdigest())
+    assert all(r.edited_sha256 in want[r.doc_id, r.n_chars] and 0 <= r.near_next <= 1 and len(r.fingerprint) == 128 for r in got)
+    assert len({r.fingerprint for r in got if r.doc_id == 5}) == 1
+    assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_fingerprint_likeness(spark):
+    words = [f"w{i}" for i in range(400)]
+    pairs = [(" ".join(words), " ".join(words[:n] + [f"v{i}" for i in range(400 - n)])) for n in (400, 300, 200, 0)]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in rows.select(fingerprints.likeness(fingerprints.fingerprint(F.col("a")), fingerprints.fingerprint(F.col("b")))).collect()]
+    for value, n in zip(got, (400, 300, 200, 0)):
+        same = max(0, n - 4)
+        assert abs(value - same / (2 * 396 - same)) < 0.2
+    assert got[0] == 1.0
+
+
+def test_simhash(docs, empty):
+    import xxhash
+
+    got = simhash.near_duplicates(docs).collect()
+    fp = {}
+    for _, t in ROWS:
+        w = (t or "").encode().lower().split()
+        hs = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+        fp[t] = sum((2 * sum(h >> b & 1 for h in hs) > len(hs)) << b for b in range(64)) if hs else 0
+    ids = [i for i, _ in ROWS]
+    root = {k: k for k in range(len(ROWS))}
+    for _ in ROWS:
+        for a in root:
+            for b in root:
+                if bin(fp[ROWS[a][1]] ^ fp[ROWS[b][1]]).count("1") <= 4:
+                    root[a] = root[b] = min(root[a], root[b])
+    want = {}
+    for k, r in root.items():
+        members = [ids[m] for m in root if root[m] == r and ids[m] is not None]
+        want[ids[k]] = min(members) if members else None
+    assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(ROWS)
+    assert simhash.near_duplicates(empty).count() == 0
+    assert simhash.one_of_each(docs).select("doc_id").distinct().count() == len(set(want.values()))
+
+
+def test_simhash_tiles_lose_no_link(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    flips = [int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 64, (60, 2))]
+    values = sorted({v - (v >> 63 << 64) for v in [*map(int, base), *flips]})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, fp long")
+    got = {r.fp: r.component_id for r in simhash.components(rows, tile=4).collect()}
+    x = np.array(values).astype(np.uint64)
+    near = np.bitwise_count(x[:, None] ^ x[None, :]) <= 4
+    root = np.arange(len(x))
+    for _ in range(len(x)):
+        root = np.where(near, root[None, :], len(x)).min(1)
+    assert got == dict(zip(values, root))
+
+
+def test_licenses(docs, empty):
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert got[None].labels == "mit" and got[None].n_base == 1 and got[3].n_words == 0 and got[3].labels == "" and got[3].first_word is None
+    assert sum(map(len, licenses.rules().values())) > 200
+    assert licenses.scan_licenses(empty).count() == 0
+
+
+def test_license_suppression(spark):
+    rows = spark.createDataFrame([(1, "CC BY-NC-SA 4.0"), (2, "gnu lesser general public license v2.1 or later")], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(rows).collect()}
+    assert got == {1: "cc-by,cc-by-nc-sa", 2: "lgpl"}
+
+
+def test_toxicity(spark, docs, empty):
+    bad, good = ["you moron scum", "total trash idiot"], ["a fine day", "the red house"]
+    rows = [(i, (bad if i % 3 == 0 else good)[i % 2] + f" w{i % 7}", int(i % 3 == 0)) for i in range(300)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chain = toxicity.train_toxicity(train, train.select("doc_id", "toxic", F.lit(1).alias("quality")), {"low": "quality = 0", "toxic": "toxic = 1"})
+    got = toxicity.score_toxicity(spark.createDataFrame([(1, "MORON, scum!"), (2, "a fine house"), (3, None)], "doc_id long, text string"), chain, ["low", "toxic"]).collect()
+    assert [r.is_toxic for r in got] == [True, False, False]
+    assert toxicity.train_toxicity(empty, train.select("doc_id", "toxic", F.lit(1).alias("quality")), {"toxic": "toxic = 1"}) is None
+    assert toxicity.score_toxicity(docs, None, ["toxic"]).filter("is_toxic").count() == 0
+
+
+def test_language(spark, docs, empty):
+    train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit_languages(train, ~langid.held_out(), per_language=60)
+    got = langid.identify_languages(train, model, ("doc_id", "lang")).filter(langid.held_out()).toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
+    mixed = {r.doc_id: r for r in langid.identify_languages(docs, model).collect()}
+    assert mixed[3].lang_pred == mixed[4].lang_pred == mixed[7].lang_pred == "und" and mixed[3].score == 0
+    assert langid.fit_languages(empty, F.lit(True)) is None
+    assert langid.identify_languages(docs, None).filter("lang_pred <> 'und'").count() == 0
+
+
+def test_line_dedup(docs, empty):
+    rows = linededup.dedup_lines(docs)
+    assert rows.columns[: len(docs.columns) - 1] == [c for c in docs.columns if c != "text"]
+    got = {r.doc_id: r for r in rows.collect()}
+    assert got[1].n_removed == 0 and got[2].n_removed == 2 and got[8].n_removed == 1 and got[8].text.startswith("other words")
+    fives = [r.n_removed for r in rows.filter("doc_id = 5").collect()]
+    assert sorted(fives) == [0, 1]
+    assert linededup.dedup_lines(empty).count() == 0
+
+
+def test_segments_meet_for_all_edits(spark):
+    base = "abcdefghijklmnopqrstuvwxyz0123456789 and some more"
+    rng = np.random.default_rng(1)
+    lines = {base}
+    for _ in range(60):
+        x = list(base)
+        for _ in range(2):
+            at, kind = int(rng.integers(len(x))), int(rng.integers(3))
+            x[at : at + (kind != 1)] = [] if kind == 0 else ["#"]
+        lines.add("".join(x))
+    rows = spark.createDataFrame([(x,) for x in sorted(lines)], "norm string").withColumn("line", F.xxhash64("norm"))
+    key = {r.norm: r.line for r in rows.collect()}
+    found = {(r.a, r.b) for r in linededup.similar_lines(rows, edits=2, share=0.05, broadcast_rows=10).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, ca in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, cb in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (ca != cb))
+        return row[-1]
+
+    want = {tuple(sorted((key[a], key[b]))) for a in lines for b in lines if a < b and distance(a, b) <= 2}
+    assert found == want
+
+
+def test_personal_data(spark, docs, empty):
+    got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(docs)).collect()}
+    assert (got[5].n_email, got[5].n_phone, got[8].n_card, got[3].spans) == (1, 1, 1, "")
+    assert pii.digest(pii.find_personal_data(empty)).count() == 0
+    odd = ["a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 300.1.2.3.4 0001.02.3.255 😀 9.9.9.9", "4111-1111-1111-1112 " + "1 " * 30, "9" * 20000]
+    told = [f"w{k} v{k} Johnsmith wrote to ann@corp.example.com on q{k} r{k} and then Johnsmith left" for k in range(4)] + [f"filler text number {k} wrote and then left" for k in range(40)]
+    rows = spark.createDataFrame(list(enumerate(odd + told)), "doc_id long, text string")
+    full = pii.find_personal_data(rows)
+    spans = {r.doc_id: r.spans for r in pii.digest(full).collect()}
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    for i, t in enumerate(odd[:2]):
+        want = [f"{k}:{m.start()}:{m.end()}" for k, p in plain.items() for m in re.finditer(p, t) if k == "email" or all(int(x) <= 255 for x in m[0].split("."))]
+        assert spans[i] == ",".join(want)
+    assert spans[2] == spans[3] == "" and spans[4].count("term") == 2
+    clean = full.filter("doc_id = 4").select(pii.sanitised(F.col("text"), F.col("found"), F.col("terms")).alias("t")).first().t
+    assert "Johnsmith" not in clean and "<EMAIL>" in clean
+
+
+def test_quality(spark, docs, empty):
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert got[3].base_failed and not got[3].kept and got[6].n_repeat_words == got[6].n_words == 12000
+    assert quality.quality_rules(docs).count() == len(ROWS) and quality.quality_rules(empty).count() == 0
+    shared = "this line stands in very many documents of one host and says nothing at all\n"
+    rows = [(i, shared + " ".join(f"own{i}x{k}" for k in range(5 if i == 0 else 60)), "h") for i in range(12)]
+    kept = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_words=4).collect()}
+    assert kept[0].depleted and not kept[0].kept and kept[1].kept and kept[1].removed_words == 15
+    words = b"a b c x a b c y b c y".split()
+    assert quality.repeated_words(words) == 10
