@@ -179,5 +179,6 @@ def digest(personal: DataFrame) -> DataFrame:
     """Counts by kind, a hash of the pattern spans, and all spans as text."""
     names = F.array(*map(F.lit, (*KINDS, "term")))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("found", lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    kinds = F.transform("found", lambda f: f["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS]  # noqa: B023
     return personal.select("doc_id", *counts, F.sha2(spelled(F.col("found")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("found", "terms")).alias("spans"))
