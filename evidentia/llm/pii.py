@@ -105,18 +105,15 @@ def contexts(found: DataFrame, words: int, reach: int = 200) -> DataFrame:
     return near.select("doc_id", "text_key", "entity", F.xxhash64("near").alias("context"), terms.alias("terms"))
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, generalise: float, remove: float, min_contexts: int, words: int, broadcast_rows: int = 50_000) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame, *, generalise: float, remove: float, min_contexts: int, words: int) -> DataFrame:
     """``doc_id``, ``text_key`` and ``terms``, a map from term to whether it is removed, for documents with disclosing terms."""
     beside = cut_lineage(contexts(found, words))
     # A document counts once for an entity, and once for a term beside it.
     pairs = beside.select("doc_id", "text_key", "entity", "context", F.explode("terms").alias("term"))
     met = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "text_key").alias("n_te")).filter(F.col("contexts") >= min_contexts)
     met = cut_lineage(met)
-    wanted = met.select("term").distinct()
-    if met.count() <= broadcast_rows:
-        wanted = F.broadcast(wanted)
-    held = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.coalesce("text", F.lit(""))), term_of))).alias("term"))
-    n_t = held.join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    # Counted over all terms before the join: a common term is one row there, not one for each document.
+    n_t = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.coalesce("text", F.lit(""))), term_of))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     n_e = beside.groupBy("entity").agg(F.countDistinct("doc_id", "text_key").alias("n_e"))
     n = F.lit(float(max(2, docs.count())))
     known = F.log2(n / F.col("n_e"))
@@ -152,7 +149,7 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: floa
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     found = slim.withColumn("found", base_spans(F.col("text")))
-    strong = cut_lineage(disclosing_terms(docs, found, generalise=generalise, remove=remove, min_contexts=min_contexts, words=context_words, broadcast_rows=broadcast_rows))
+    strong = cut_lineage(disclosing_terms(docs, found, generalise=generalise, remove=remove, min_contexts=min_contexts, words=context_words))
     strong = strong.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
     if strong.count() <= broadcast_rows:
         strong = F.broadcast(strong)
