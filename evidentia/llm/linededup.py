@@ -6,11 +6,13 @@ that differ, each is cut into ``edits + 1`` segments: two lines within
 ``edits`` of each other share a segment, at a shift that their lengths bound.
 Segments are indexed by length, number and hash, and every line probes the
 segments of lines up to ``edits`` shorter at the shifts left of that bound.
-Pairs that meet are verified on their texts with Spark's ``levenshtein`` under
-a threshold, which computes the band of the matrix within it; they link when
-the distance is also at most ``share`` of the longer line. Classes of lines are
-the components of the links; the first line of a class by document and place
-stays, the others are removed.
+A pair that meets goes on if the counts of twelve letters, which an edit changes
+by two at most, allow it. It is then verified on its texts with Spark's
+``levenshtein`` under a threshold, which computes the band of the matrix within
+it; lines link when the distance is also at most ``share`` of the longer one.
+Classes of lines are the components of the links; the first line of a class by
+document and place stays, the others are removed. The normalised lines are
+written once to the shared folder, as later passes need them again.
 
 All of it is SQL expressions and joins. Nulls are empty texts. Rows that are
 equal in id and text are copies of one document, and only one of them keeps its
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut_lineage, fresh, let
+from evidentia.llm.common import cut_lineage, fresh, let, stored
 from evidentia.llm.graph import connected_components
 
 
@@ -31,39 +33,55 @@ def normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " "))
 
 
-def segment_keys(norm: Column, edits: int) -> tuple[Column, Column]:
-    """Index keys and probe keys of a line, the latter with how much shorter the other line is.
+#: Letters whose counts tell lines apart before their texts are compared; which ones they are changes only the cost.
+LETTERS = "etaoinsrhldu"
 
-    Both walk a short constant list of segment numbers and shifts: as one
-    expression for each of them the generated code would be too long to compile.
-    Four bytes for each character make every segment a slice at a known place.
-    """
-    parts = edits + 1
 
-    def key(data: Column, size: Column, i: Column, total: Column, shift: Column) -> Column:
-        """The hash of segment ``i`` of a line of ``total`` characters, read ``shift`` further on; null where it doesn't lie in the line."""
-        base = (total / parts).cast("int")
-        longer = F.lit(parts) - (total - base * parts)  # the segments from here on have one character more
-        at = i * base + F.greatest(F.lit(0), i - longer) + shift
-        width = base + F.when(i >= longer, 1).otherwise(0)
-        return F.when((at >= 0) & (at + width <= size), F.xxhash64(i, total, F.substring(data, 4 * at + 1, 4 * width)))
+def letter_counts(norm: Column) -> Column:
+    """The counts of ``LETTERS`` modulo 32, five bits each, in a long."""
+    size, packed = F.octet_length(norm), F.lit(0).cast("long")
+    for letter in LETTERS:
+        packed = F.shiftleft(packed, 5) + F.pmod(size - F.octet_length(F.replace(norm, F.lit(letter), F.lit(""))), F.lit(32))
+    return packed
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """At least so many letters are to add or to take away; an edit does two at most."""
+    gaps = [F.pmod(F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k), F.lit(32)) for k in range(len(LETTERS))]
+    return sum((F.least(gap, 32 - gap) for gap in gaps[1:]), F.least(gaps[0], 32 - gaps[0]))
+
+
+def index_moves(edits: int) -> list[tuple[int, int, int]]:
+    """Number, length difference and shift of the segments that a line is indexed by."""
+    return [(i, 0, 0) for i in range(edits + 1)]
+
 
-    numbers = F.array(*map(F.lit, range(parts)))
+def probe_moves(edits: int) -> list[tuple[int, int, int]]:
+    """Number, how much shorter the other line is, and shift, of the segments that a line probes."""
     moves = []
-    for shorter in range(parts):
-        for i in range(parts):
+    for shorter in range(edits + 1):
+        for i in range(edits + 1):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            moves += [F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")) for shift in range(low, high + 1)]
+            moves += [(i, shorter, shift) for shift in range(low, high + 1)]
+    return moves
 
-    def indexed(data, size):
-        return F.transform(numbers, lambda i: key(data, size, i, size, F.lit(0)))
 
-    def probed(data, size):
-        found = F.transform(F.array(*moves), lambda m: F.struct(key(data, size, m["i"], size - m["shorter"], m["shift"]).alias("key"), m["shorter"].alias("shorter")))
-        return F.filter(found, lambda p: p["key"].isNotNull())
+def segments(lines: DataFrame, moves: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """``key``, ``line``, ``shorter`` and ``letters``: a row for each of the moves that lies in the line.
 
-    with_size = lambda made: let(F.encode(norm, "UTF-32"), lambda data: let((F.length(data) / 4).cast("int"), lambda size: made(data, size)))
-    return with_size(indexed), with_size(probed)
+    The key is a hash of the segment's number, the other line's length and the
+    characters. Where a character is a byte, the segment is cut from the bytes.
+    """
+    parts = edits + 1
+    sized = lines.select("line", letter_counts(F.col("norm")).alias("letters"), "norm", F.length("norm").alias("size"), (F.octet_length("norm") == F.length("norm")).alias("bytes"))
+    listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")) for i, shorter, shift in moves])
+    moved = sized.withColumn("m", F.explode(listed)).select("line", "letters", "norm", "size", "bytes", "m.*").withColumn("total", F.col("size") - F.col("shorter"))
+    longer = parts - F.pmod("total", F.lit(parts))  # the segments from here on have one character more
+    base = F.floor(F.col("total") / parts).cast("int")
+    placed = moved.withColumn("at", F.col("i") * base + F.greatest(F.lit(0), F.col("i") - longer) + F.col("shift")).withColumn("width", base + (F.col("i") >= longer).cast("int"))
+    within = placed.filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= F.col("size")))
+    slice_ = F.when(F.col("bytes"), F.substring(F.col("norm").cast("binary"), F.col("at") + 1, F.col("width"))).otherwise(F.substring(F.col("norm"), F.col("at") + 1, F.col("width")).cast("binary"))
+    return within.select(F.xxhash64("i", "total", slice_).alias("key"), "line", "shorter", "letters")
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -75,12 +93,11 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows: int) -> DataFrame:
     """Links ``a``, ``b`` between different lines; ``lines`` has ``line`` and ``norm``, repeats allowed."""
-    least = int(1 / share)
-    near = lines.filter(F.length("norm") >= least)
-    index, probes = segment_keys(F.col("norm"), edits)
-    indexed = near.select("line", F.explode(index).alias("key")).repartition("key").distinct().select("key", F.col("line").alias("a"))
-    probing = near.select("line", F.explode(probes).alias("p")).select(F.col("p.key").alias("key"), "line", F.col("p.shorter").alias("shorter")).repartition("key").distinct()
-    met = indexed.join(probing, "key").filter((F.col("a") < F.col("line")) | (F.col("shorter") > 0) & (F.col("a") != F.col("line")))
+    near = lines.filter(F.length("norm") >= int(1 / share))
+    indexed = segments(near, index_moves(edits), edits).repartition("key").distinct().select("key", F.col("line").alias("a"), F.col("letters").alias("a_letters"))
+    probing = segments(near, probe_moves(edits), edits).repartition("key").distinct()
+    other = (F.col("a") < F.col("line")) | (F.col("shorter") > 0) & (F.col("a") != F.col("line"))
+    met = indexed.join(probing, (indexed["key"] == probing["key"]) & other & (letters_apart(F.col("a_letters"), F.col("letters")) <= 2 * edits))
     pairs = cut_lineage(met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     if pairs.count() <= broadcast_rows:
@@ -92,13 +109,24 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     return both.filter((distance >= 0) & (distance <= allowed)).select("a", "b")
 
 
+def without_copies(lines: DataFrame, place: Column, shares: int = 4096) -> DataFrame:
+    """``lines`` with only the first row of each very frequent line, so that its copies don't meet in one task.
+
+    A line is very frequent with one in ``shares`` of all rows or more; there
+    are ``shares`` such lines at most.
+    """
+    most = lines.count() / shares
+    frequent = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter((F.col("n") > 1) & (F.col("n") >= most))
+    return lines.join(F.broadcast(frequent), "line", "left").filter(F.col("n").isNull() | place.eqNullSafe(F.col("first"))).select(*lines.columns)
+
+
 def dedup_lines(docs: DataFrame, *, edits: int = 2, share: float = 0.05, min_chars: int = 16, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows of ``docs`` with ``text`` less its repeated lines, and the counts ``n_lines`` and ``n_removed``."""
-    lines = _occurrences(docs, min_chars)
-    slim = cut_lineage(lines.select("doc_id", "text_key", "pos", "line"))
+    lines = stored(_occurrences(docs, min_chars))
+    slim = lines.select("doc_id", "text_key", "pos", "line")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")
     distinct = slim.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    roots = connected_components(similar_lines(lines, edits=edits, share=share, broadcast_rows=broadcast_rows))
+    roots = connected_components(similar_lines(without_copies(lines, place), edits=edits, share=share, broadcast_rows=broadcast_rows))
     classed = distinct.join(roots, distinct["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"))
     kept = classed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     repeated = classed.join(kept, "root").select("line", "keep")
