@@ -6,7 +6,7 @@ that differ, each is cut into ``edits + 1`` segments: two lines within
 ``edits`` of each other share a segment, at a shift that their lengths bound.
 Segments are indexed by length, number and hash, and every line probes the
 segments of lines up to ``edits`` shorter at the shifts left of that bound.
-A pair that meets goes on if the counts of twelve letters, which an edit changes
+A pair that meets goes on if the counts of ten letters, which an edit changes
 by two at most, allow it. It is then verified on its texts with Spark's
 ``levenshtein`` under a threshold, which computes the band of the matrix within
 it; lines link when the distance is also at most ``share`` of the longer one.
@@ -34,21 +34,29 @@ def normalised(line: Column) -> Column:
 
 
 #: Letters whose counts tell lines apart before their texts are compared; which ones they are changes only the cost.
-LETTERS = "etaoinsrhldu"
+LETTERS = "etaoinsrhl"
 
 
 def letter_counts(norm: Column) -> Column:
-    """The counts of ``LETTERS`` modulo 32, five bits each, in a long."""
-    size, packed = F.octet_length(norm), F.lit(0).cast("long")
-    for letter in LETTERS:
-        packed = F.shiftleft(packed, 5) + F.pmod(size - F.octet_length(F.replace(norm, F.lit(letter), F.lit(""))), F.lit(32))
-    return packed
+    """The counts of ``LETTERS`` modulo 64 in the first 512 characters, six bits each, in a long.
+
+    An edit changes the counts by two at most: one character goes and one comes,
+    be it in its place or at the end of the 512.
+    """
+
+    def counted(start):
+        packed = F.lit(0).cast("long")
+        for letter in LETTERS:
+            packed = F.shiftleft(packed, 6) + F.pmod(F.octet_length(start) - F.octet_length(F.replace(start, F.lit(letter), F.lit(""))), F.lit(64))
+        return packed
+
+    return let(F.left(norm, F.lit(512)), counted)
 
 
 def letters_apart(a: Column, b: Column) -> Column:
-    """At least so many letters are to add or to take away; an edit does two at most."""
-    gaps = [F.pmod(F.shiftright(a, 5 * k) - F.shiftright(b, 5 * k), F.lit(32)) for k in range(len(LETTERS))]
-    return sum((F.least(gap, 32 - gap) for gap in gaps[1:]), F.least(gaps[0], 32 - gaps[0]))
+    """At least so much do the counts differ."""
+    gaps = [F.pmod(F.shiftright(a, 6 * k) - F.shiftright(b, 6 * k), F.lit(64)) for k in range(len(LETTERS))]
+    return sum((F.least(gap, 64 - gap) for gap in gaps[1:]), F.least(gaps[0], 64 - gaps[0]))
 
 
 def index_moves(edits: int) -> list[tuple[int, int, int]]:
@@ -73,7 +81,7 @@ def segments(lines: DataFrame, moves: list[tuple[int, int, int]], edits: int) ->
     characters. Where a character is a byte, the segment is cut from the bytes.
     """
     parts = edits + 1
-    sized = lines.select("line", letter_counts(F.col("norm")).alias("letters"), "norm", F.length("norm").alias("size"), (F.octet_length("norm") == F.length("norm")).alias("bytes"))
+    sized = lines.select("line", "letters", "norm", F.length("norm").alias("size"), (F.octet_length("norm") == F.length("norm")).alias("bytes"))
     listed = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(shorter).alias("shorter"), F.lit(shift).alias("shift")) for i, shorter, shift in moves])
     moved = sized.withColumn("m", F.explode(listed)).select("line", "letters", "norm", "size", "bytes", "m.*").withColumn("total", F.col("size") - F.col("shorter"))
     longer = parts - F.pmod("total", F.lit(parts))  # the segments from here on have one character more
@@ -85,14 +93,16 @@ def segments(lines: DataFrame, moves: list[tuple[int, int, int]], edits: int) ->
 
 
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """``doc_id``, ``text_key``, ``pos``, ``norm`` and ``line`` (the hash of ``norm``) for the lines that take part."""
+    """``doc_id``, ``text_key``, ``pos``, ``norm``, ``line`` (the hash of ``norm``) and ``letters`` for the lines that take part."""
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.posexplode(F.transform(F.split(text, "\n"), normalised)).alias("pos", "norm"))
-    return lines.filter(F.length("norm") >= min_chars).withColumn("line", F.xxhash64("norm"))
+    return lines.filter(F.length("norm") >= min_chars).withColumn("line", F.xxhash64("norm")).withColumn("letters", letter_counts(F.col("norm")))
 
 
 def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows: int) -> DataFrame:
-    """Links ``a``, ``b`` between different lines; ``lines`` has ``line`` and ``norm``, repeats allowed."""
+    """Links ``a``, ``b`` between different lines; ``lines`` has ``line``, ``norm`` and maybe ``letters``, repeats allowed."""
+    if "letters" not in lines.columns:
+        lines = lines.withColumn("letters", letter_counts(F.col("norm")))
     near = lines.filter(F.length("norm") >= int(1 / share))
     indexed = segments(near, index_moves(edits), edits).repartition("key").distinct().select("key", F.col("line").alias("a"), F.col("letters").alias("a_letters"))
     probing = segments(near, probe_moves(edits), edits).repartition("key").distinct()
@@ -109,14 +119,13 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     return both.filter((distance >= 0) & (distance <= allowed)).select("a", "b")
 
 
-def without_copies(lines: DataFrame, place: Column, shares: int = 4096) -> DataFrame:
+def without_copies(lines: DataFrame, distinct: DataFrame, place: Column, shares: int = 4096) -> DataFrame:
     """``lines`` with only the first row of each very frequent line, so that its copies don't meet in one task.
 
     A line is very frequent with one in ``shares`` of all rows or more; there
-    are ``shares`` such lines at most.
+    are ``shares`` such lines at most. ``distinct`` has each line's ``n`` and ``first`` place.
     """
-    most = lines.count() / shares
-    frequent = lines.groupBy("line").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter((F.col("n") > 1) & (F.col("n") >= most))
+    frequent = distinct.filter((F.col("n") > 1) & (F.col("n") >= lines.count() / shares))
     return lines.join(F.broadcast(frequent), "line", "left").filter(F.col("n").isNull() | place.eqNullSafe(F.col("first"))).select(*lines.columns)
 
 
@@ -125,22 +134,23 @@ def dedup_lines(docs: DataFrame, *, edits: int = 2, share: float = 0.05, min_cha
     lines = stored(_occurrences(docs, min_chars))
     slim = lines.select("doc_id", "text_key", "pos", "line")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "pos")
-    distinct = slim.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    roots = connected_components(similar_lines(without_copies(lines, place), edits=edits, share=share, broadcast_rows=broadcast_rows))
+    distinct = stored(slim.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")))
+    roots = connected_components(similar_lines(without_copies(lines, distinct, place), edits=edits, share=share, broadcast_rows=broadcast_rows))
     classed = distinct.join(roots, distinct["line"] == roots["node"], "left").select("line", "first", "n", F.coalesce("root", "line").alias("root"))
     kept = classed.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).filter("total > 1")
     repeated = classed.join(kept, "root").select("line", "keep")
     gone = slim.join(repeated, "line").filter(~place.eqNullSafe(F.col("keep")))
-    per_doc = gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_key"), "gone")
+    per_doc = gone.groupBy("doc_id", "text_key").agg(F.collect_set("pos").alias("gone"))
 
-    key, mark, lost, turn = fresh(docs, "text_key", "g_id_", "gone_", "turn")
+    # One key for the join and the window, so that the texts are dealt out once; a null id has a number of its own kind.
+    row, mark, lost, turn = fresh(docs, "row_key", "row_key_g", "gone_", "turn")
+    ident = lambda text_key: F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), text_key)
+    per_doc = per_doc.select(ident(F.col("text_key")).alias(mark), F.col("gone").alias(lost))
     text = F.coalesce("text", F.lit(""))
-    per_doc = per_doc.select(F.col("g_id").alias(mark), F.col("g_key").alias(key + "_g"), F.col("gone").alias(lost))
-    keyed = docs.withColumn(key, F.xxhash64(text))
+    keyed = docs.withColumn(row, ident(F.xxhash64(text)))
     # Of rows equal in id and text the first keeps its lines, the others lose all that take part.
-    same = Window.partitionBy("doc_id", key).orderBy("doc_id")
-    keyed = keyed.withColumn(turn, F.row_number().over(same))
-    joined = keyed.join(per_doc, keyed["doc_id"].eqNullSafe(F.col(mark)) & (F.col(key) == F.col(key + "_g")), "left")
+    keyed = keyed.withColumn(turn, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    joined = keyed.join(per_doc, keyed[row] == per_doc[mark], "left")
     whole = F.split(text, "\n")
 
     def left_of(all_lines):
