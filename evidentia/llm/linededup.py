@@ -4,7 +4,7 @@ Lines are normalised (lower case, letters and digits, single blanks); those of
 ``min_chars`` and more take part. Equal lines are one by their hash. For lines
 that differ, each is cut into ``edits + 1`` segments: two lines within
 ``edits`` of each other share a segment, at a shift that their lengths bound.
-Segments are indexed by length, number and hash, and every line probes the
+Segments are indexed by length, number and hash; a line meets the index and probes the
 segments of lines up to ``edits`` shorter at the shifts left of that bound.
 A pair that meets goes on if the counts of ten letters, which an edit changes
 by two at most, allow it. It is then verified on its texts with Spark's
@@ -38,16 +38,16 @@ LETTERS = "etaoinsrhl"
 
 
 def letter_counts(norm: Column) -> Column:
-    """The counts of ``LETTERS`` modulo 64 in the first 512 characters, six bits each, in a long.
+    """The counts of ``LETTERS`` modulo 8 in the first 512 characters, three bits each.
 
     An edit changes the counts by two at most: one character goes and one comes,
     be it in its place or at the end of the 512.
     """
 
     def counted(start):
-        packed = F.lit(0).cast("long")
+        packed = F.lit(0)
         for letter in LETTERS:
-            packed = F.shiftleft(packed, 6) + F.pmod(F.octet_length(start) - F.octet_length(F.replace(start, F.lit(letter), F.lit(""))), F.lit(64))
+            packed = F.shiftleft(packed, 3) + F.pmod(F.octet_length(start) - F.octet_length(F.replace(start, F.lit(letter), F.lit(""))), F.lit(8))
         return packed
 
     return let(F.left(norm, F.lit(512)), counted)
@@ -55,8 +55,8 @@ def letter_counts(norm: Column) -> Column:
 
 def letters_apart(a: Column, b: Column) -> Column:
     """At least so much do the counts differ."""
-    gaps = [F.pmod(F.shiftright(a, 6 * k) - F.shiftright(b, 6 * k), F.lit(64)) for k in range(len(LETTERS))]
-    return sum((F.least(gap, 64 - gap) for gap in gaps[1:]), F.least(gaps[0], 64 - gaps[0]))
+    gaps = [F.pmod(F.shiftright(a, 3 * k) - F.shiftright(b, 3 * k), F.lit(8)) for k in range(len(LETTERS))]
+    return sum((F.least(gap, 8 - gap) for gap in gaps[1:]), F.least(gaps[0], 8 - gaps[0]))
 
 
 def index_moves(edits: int) -> list[tuple[int, int, int]]:
@@ -65,12 +65,12 @@ def index_moves(edits: int) -> list[tuple[int, int, int]]:
 
 
 def probe_moves(edits: int) -> list[tuple[int, int, int]]:
-    """Number, how much shorter the other line is, and shift, of the segments that a line probes."""
+    """Number, how much shorter the other line is, and shift, of the segments that a line probes beside those it is indexed by."""
     moves = []
     for shorter in range(edits + 1):
         for i in range(edits + 1):
             low, high = max(-i, shorter - (edits - i)), min(i, shorter + (edits - i))
-            moves += [(i, shorter, shift) for shift in range(low, high + 1)]
+            moves += [(i, shorter, shift) for shift in range(low, high + 1) if shorter or shift]
     return moves
 
 
@@ -104,10 +104,13 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     if "letters" not in lines.columns:
         lines = lines.withColumn("letters", letter_counts(F.col("norm")))
     near = lines.filter(F.length("norm") >= int(1 / share))
-    indexed = segments(near, index_moves(edits), edits).repartition("key").distinct().select("key", F.col("line").alias("a"), F.col("letters").alias("a_letters"))
+    indexed = segments(near, index_moves(edits), edits).drop("shorter").repartition("key").distinct()
     probing = segments(near, probe_moves(edits), edits).repartition("key").distinct()
-    other = (F.col("a") < F.col("line")) | (F.col("shorter") > 0) & (F.col("a") != F.col("line"))
-    met = indexed.join(probing, (indexed["key"] == probing["key"]) & other & (letters_apart(F.col("a_letters"), F.col("letters")) <= 2 * edits))
+    index = indexed.select(F.col("key").alias("a_key"), F.col("line").alias("a"), F.col("letters").alias("a_letters"))
+    alike = (F.col("a_key") == F.col("key")) & (letters_apart(F.col("a_letters"), F.col("letters")) <= 2 * edits)
+    level = index.join(indexed, alike & (F.col("a") < F.col("line"))).select("a", "line")
+    moved = index.join(probing, alike & ((F.col("a") < F.col("line")) | (F.col("shorter") > 0) & (F.col("a") != F.col("line")))).select("a", "line")
+    met = level.union(moved)
     pairs = cut_lineage(met.select(F.least("a", "line").alias("a"), F.greatest("a", "line").alias("b")).distinct())
     involved = pairs.select(F.explode(F.array("a", "b")).alias("line")).distinct()
     if pairs.count() <= broadcast_rows:
@@ -119,7 +122,7 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     return both.filter((distance >= 0) & (distance <= allowed)).select("a", "b")
 
 
-def without_copies(lines: DataFrame, distinct: DataFrame, place: Column, shares: int = 4096) -> DataFrame:
+def without_copies(lines: DataFrame, distinct: DataFrame, place: Column, shares: int = 32768) -> DataFrame:
     """``lines`` with only the first row of each very frequent line, so that its copies don't meet in one task.
 
     A line is very frequent with one in ``shares`` of all rows or more; there
