@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import langid, linededup, mixing, packing, simhash
+from evidentia.llm import langid, linededup, mixing, neardup, packing
 from evidentia.llm.queries import SOURCE_WEIGHTS, word_tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return simhash.one_of_each(docs.select(COLUMNS), shingle=5, radius=8, blocks=10, agree=2)
+    """One document of each group whose sets of five-word shingles resemble each other by 0.8 or more."""
+    return neardup.one_of_each(docs.select(COLUMNS), width=5)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
