@@ -1,13 +1,14 @@
 """Personal data by patterns, and by what the corpus says about words beside it.
 
 Emails, addresses, card and phone numbers are found by patterns; these are the
-protected entities. The corpus then says how strongly a word beside an entity
-gives it away. With n(e), n(t) and n(t, e) the documents that hold the entity,
-the term, and both in one context, the information that t gives on e is
+protected entities. The corpus then says how strongly a word in an entity's
+documents gives it away. With n(e), n(t) and n(t, e) the texts that hold the
+entity, the term, and both, of N in all, the information that t gives on e is
 ``log2(N n(t, e) / (n(t) n(e)))``, and what there is to know of e is
 ``log2(N / n(e))``. A term is disclosing when the ratio of the two exceeds
-``generalise``; over ``remove`` it is removed. A pair counts only with
-``min_contexts`` different contexts: copies of one passage say a thing once.
+``generalise``; over ``remove`` it is removed. A pair counts only when so many
+meetings would be rarer than ``chance`` if e and t were independent, by
+Chernoff's bound. Copies of one text say a thing once.
 
 Documents that hold the entity have all occurrences of its disclosing terms
 covered by spans of the kind ``term``, except where a pattern's span lies.
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut_lineage, let
+from evidentia.llm.common import cut_lineage, let, stored
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -92,37 +93,39 @@ def _tokens(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]", -1)
 
 
-def contexts(found: DataFrame, words: int, reach: int = 200) -> DataFrame:
-    """``entity``, ``context`` (a hash) and ``terms`` beside it, a row for each distinct occurrence in a document."""
-    each = found.filter(F.size("found") > 0).withColumn("f", F.explode("found"))
-    before = F.substring("text", F.greatest(F.lit(1), F.col("f.start") - reach + 1), F.least(F.lit(reach), F.col("f.start")))
-    after = F.substring("text", F.col("f.end") + 1, F.lit(reach))
-    solid = lambda side: F.filter(F.transform(_tokens(side), term_of), lambda t: t != "")
-    left = let(solid(before), lambda t: F.slice(t, F.greatest(F.lit(1), F.size(t) - words + 1), F.lit(words)))
-    right = F.slice(solid(after), 1, words)
-    near = each.select("doc_id", "text_key", F.lower("f.hit").alias("entity"), F.concat(left, right).alias("near"))
-    terms = F.filter(F.array_distinct("near"), lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit("@")))
-    return near.select("doc_id", "text_key", "entity", F.xxhash64("near").alias("context"), terms.alias("terms"))
-
-
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, generalise: float, remove: float, min_contexts: int, words: int) -> DataFrame:
-    """``doc_id``, ``text_key`` and ``terms``, a map from term to whether it is removed, for documents with disclosing terms."""
-    beside = cut_lineage(contexts(found, words))
-    # A document counts once for an entity, and once for a term beside it.
-    pairs = beside.select("doc_id", "text_key", "entity", "context", F.explode("terms").alias("term"))
-    met = pairs.groupBy("entity", "term").agg(F.countDistinct("context").alias("contexts"), F.countDistinct("doc_id", "text_key").alias("n_te")).filter(F.col("contexts") >= min_contexts)
-    met = cut_lineage(met)
+def _terms(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.transform(_tokens(text), term_of)), lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit("@")))
+
+
+def disclosing_terms(found: DataFrame, *, generalise: float, remove: float, chance: float) -> DataFrame:
+    """``text_key`` and ``terms``, a map from term to whether it is removed, for texts with disclosing terms."""
+    held = found.filter(F.size("found") > 0).dropDuplicates(["text_key"])
+    entities = F.array_distinct(F.transform("found", lambda f: F.lower(f["hit"])))
+    held = stored(held.select("text_key", entities.alias("entities"), _terms(F.col("text")).alias("terms")))
+    holds = held.select("text_key", F.explode("entities").alias("entity"))
+    n = float(max(2, found.select("text_key").distinct().count()))
+    n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # At this count or less can a term say enough of an entity that n_e texts hold.
+    most = F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(F.col("n_e"), F.lit(generalise)) * (1 + 1e-9)
+    top = n_e.agg(F.max(most)).first()[0]
+    if top is None:
+        return held.select("text_key", F.create_map().cast("map<string,boolean>").alias("terms")).limit(0)
     # Counted over all terms before the join: a common term is one row there, not one for each document.
-    n_t = docs.select(F.explode(F.array_distinct(F.transform(_tokens(F.coalesce("text", F.lit(""))), term_of))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = beside.groupBy("entity").agg(F.countDistinct("doc_id", "text_key").alias("n_e"))
-    n = F.lit(float(max(2, docs.count())))
+    own = found.select("text_key", "text").dropDuplicates(["text_key"])
+    n_t = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= top)
+    rare = held.select("text_key", F.explode("terms").alias("term")).join(n_t, "term")
+    sized = holds.join(n_e.withColumn("most", most), "entity")
+    met = stored(sized.join(rare, "text_key").filter(F.col("n_t") <= F.col("most")))
+    both = met.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
     known = F.log2(n / F.col("n_e"))
     given = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ratio = F.when(known > 0, given / known).otherwise(F.lit(0.0))
-    strong = met.join(n_t, "term").join(n_e, "entity").select("entity", "term", ratio.alias("ratio")).filter(F.col("ratio") >= generalise)
-    per_doc = beside.select("doc_id", "text_key", "entity").distinct().join(strong, "entity")
-    best = per_doc.groupBy("doc_id", "text_key", "term").agg(F.max("ratio").alias("ratio"))
-    return best.groupBy("doc_id", "text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("ratio") >= remove))).alias("terms"))
+    expected = F.col("n_e") * F.col("n_t") / F.lit(n)
+    likely = F.col("n_te") * (F.log(expected / F.col("n_te")) + 1) - expected  # the log of the bound where more met than expected
+    strong = both.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise) & (F.col("n_te") > expected) & (likely <= F.log(F.lit(chance))))
+    per_text = met.select("text_key", "entity", "term").join(strong.select("entity", "term", "ratio"), ["entity", "term"])
+    best = per_text.groupBy("text_key", "term").agg(F.max("ratio").alias("ratio"))
+    return best.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("ratio") >= remove))).alias("terms"))
 
 
 def _term_spans(text: Column, terms: Column, found: Column) -> Column:
@@ -144,16 +147,16 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
     return F.when(terms.isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(let(_tokens(text), of_tokens))
 
 
-def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, min_contexts: int = 3, context_words: int = 4, broadcast_rows: int = 50_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, broadcast_rows: int = 5_000) -> DataFrame:
     """``doc_id``, ``text``, ``found`` (pattern spans) and ``terms`` (spans of disclosing terms), a row per document."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     found = slim.withColumn("found", base_spans(F.col("text")))
-    strong = cut_lineage(disclosing_terms(docs, found, generalise=generalise, remove=remove, min_contexts=min_contexts, words=context_words))
-    strong = strong.select(F.col("doc_id").alias("s_id"), F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
+    strong = cut_lineage(disclosing_terms(found, generalise=generalise, remove=remove, chance=chance))
+    strong = strong.select(F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
     if strong.count() <= broadcast_rows:
         strong = F.broadcast(strong)
-    joined = found.join(strong, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_key") == F.col("s_key")), "left")
+    joined = found.join(strong, F.col("text_key") == F.col("s_key"), "left")
     return joined.select("doc_id", "text", "found", _term_spans(F.col("text"), F.col("s_terms"), F.col("found")).alias("terms"))
 
 

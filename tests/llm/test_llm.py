@@ -249,6 +249,14 @@ def test_personal_data(spark, docs, empty):
     assert "Johnsmith" not in clean and "<EMAIL>" in clean
 
 
+def test_terms_far_from_an_entity_and_in_one_text(spark):
+    far = "Zebulon lives here\n" + "plain words stand between them all\n" * 5 + "mail zeb@corp.example.com"
+    rows = [(0, far), (1, far), (2, "plain words stand alone with bob")] + [(k, f"plain words stand between them all mail lives here k{k}x") for k in range(3, 600)]
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(terms) > 0").collect()
+    assert {r.doc_id for r in got} == {0, 1}
+    assert {r.text[t.start : t.end] for r in got for t in r.terms} == {"Zebulon"}
+
+
 def test_quality(spark, docs, empty):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     assert got[3].base_failed and not got[3].kept and got[6].n_repeat_words == got[6].n_words == 12000
