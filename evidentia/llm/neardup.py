@@ -2,11 +2,12 @@
 
 Two texts link when the Jaccard resemblance of their sets of hashed shingles is
 0.8 or more. The search for candidates loses none: in any fixed order of the
-shingles, such texts share one of their first ``n - ceil(0.8 n) + 1``. The order
+shingles, such texts share one of their first ``n - ceil(0.8 n) + 1``,
+and the smaller of the two has it among its first ``n - ceil(8 n / 9) + 1``. The order
 puts shingles that a sample finds in many texts last, so that lines of many
 texts make no candidates; the sample changes what the search costs, not what it
-finds. The count of shared first shingles bounds the resemblance from above;
-what passes is verified on the texts themselves.
+finds. Sizes and places bound what two texts can share; what passes is verified
+on the texts themselves.
 
 Where large groups would make many pairs, each text is first verified against
 one other in rounds, and pairs within one component are not made any more.
@@ -50,33 +51,42 @@ def _often(texts: DataFrame, width: int, sample: int, most: int) -> np.ndarray:
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(text.as_py(), width))], ["h"])
+            for at in range(0, batch.num_rows, 500):
+                found = [shingles(text.as_py(), width) for text in batch.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], ["h"])
 
     rows = texts.filter(F.pmod("key", F.lit(share)) == 0).select("text").mapInArrow(hashed, "h long")
     top = rows.groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(most).select("h").toArrow()
     return np.sort(top.column(0).to_numpy())
 
 
+def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which of the values are in ``ordered``, by binary search."""
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def first_shingles(texts: DataFrame, width: int, often: np.ndarray) -> DataFrame:
-    """``h``, ``key`` and ``n`` (the size of the set), a row for each of a text's first shingles."""
+    """``h``, ``key``, ``n`` (the size of the set) and ``at`` (the place in the order), a row for each of a text's first shingles."""
     late = texts.sparkSession.sparkContext.broadcast(often)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, keys, ns = [], [], []
+            hs, keys, ns, places = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 own = shingles(text.as_py(), width)
                 n = len(own)
-                order = np.argsort(np.isin(own, late.value), kind="stable")
+                order = np.argsort(_within(own, late.value), kind="stable")
                 own = own[order[: n - (4 * n + 4) // 5 + 1]]
                 hs.append(own)
                 keys.append(np.full(len(own), key))
                 ns.append(np.full(len(own), n, np.int32))
+                places.append(np.arange(len(own), dtype=np.int32))
             if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, keys, ns)], ["h", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, keys, ns, places)], ["h", "key", "n", "at"])
 
-    return texts.select("key", "text").mapInArrow(cut, "h long, key long, n int")
+    return texts.select("key", "text").mapInArrow(cut, "h long, key long, n int, at int")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -96,9 +106,9 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
 
 
-def _later(n: Column) -> Column:
-    """How many shingles of a set of ``n`` are not among its first."""
-    return F.floor((4 * n + 4) / 5) - 1
+def _must_share(m: Column, n: Column) -> Column:
+    """How many shingles sets of ``m`` and ``n`` share at least when they resemble each other by 0.8."""
+    return F.floor((4 * (m + n) + 8) / 9)
 
 
 def similar_texts(texts: DataFrame, *, width: int = 5, sample: int = 20_000, most_often: int = 500_000, pairs_a_row: int = 10, most_rounds: int = 6) -> DataFrame:
@@ -109,24 +119,30 @@ def similar_texts(texts: DataFrame, *, width: int = 5, sample: int = 20_000, mos
     edges = None
     placed = shared.withColumn("root", F.col("key"))
     near = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
+    # What a text is found by as the smaller, or the equal, of two.
+    own = F.col("at") <= F.col("n") - _must_share(F.col("n"), F.col("n"))
     for number in range(most_rounds):
-        sizes = placed.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        if (sizes.agg(F.sum(F.col("m").cast("double") * F.col("m") - F.col("own"))).first()[0] or 0) / 2 <= most:
+        sizes = placed.groupBy("h", "root").agg(F.count("*").alias("m"), F.count_if(own).alias("s")).groupBy("h").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("same"))
+        if (sizes.agg(F.sum(F.col("m").cast("double") * F.col("s") - F.col("same"))).first()[0] or 0) <= most:
             break
-        centre = placed.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", F.lit(number)).alias("r"), F.xxhash64("key").alias("k"), F.col("key").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))).alias("s")).select("h", "s.*")
-        met = placed.join(centre, "h").filter((F.col("root") != F.col("c_root")) & near(F.col("n"), F.col("c_n")))
+        small = placed.filter(own)
+        centre = small.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", F.lit(number)).alias("r"), F.xxhash64("key").alias("k"), F.col("key").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))).alias("s")).select("h", "s.*")
+        met = small.join(centre, "h").filter((F.col("root") != F.col("c_root")) & near(F.col("n"), F.col("c_n")))
         best = met.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("s"))
-        found = cut_lineage(_alike(best.select(F.col("key").alias("a"), F.col("s.c").alias("b")), texts, width))
+        asked = cut_lineage(best.select(F.col("key").alias("a"), F.col("s.c").alias("b")))
+        found = cut_lineage(_alike(asked, texts, width))
         edges = found if edges is None else edges.union(found)
         roots = cut_lineage(connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("r")))
-        placed = shared.join(roots, "key", "left").select("h", "key", "n", F.coalesce("r", "key").alias("root"))
-    left = placed.select("h", F.col("key").alias("a"), F.col("n").alias("m"), F.col("root").alias("p"))
-    right = placed.select("h", F.col("key").alias("b"), "n", F.col("root").alias("q"))
-    both = left.join(right, "h").filter((F.col("a") < F.col("b")) & (F.col("p") != F.col("q")) & near(F.col("m"), F.col("n")))
-    # Up to the earlier end of the first shingles all that is shared is counted; beyond it, one set has only its later ones.
-    counted = both.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c"))
-    possible = counted.filter(9 * (F.col("c") + F.greatest(_later(F.col("m")), _later(F.col("n")))) >= 4 * (F.col("m") + F.col("n")))
-    found = cut_lineage(_alike(cut_lineage(possible.select("a", "b")), texts, width))
+        placed = shared.join(roots, "key", "left").select("h", "key", "n", "at", F.coalesce("r", "key").alias("root"))
+        if 5 * found.count() < asked.count():
+            break
+    left = placed.filter(own).select("h", F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("root").alias("p"))
+    right = placed.select("h", F.col("key").alias("b"), "n", F.col("at").alias("j"), F.col("root").alias("q"))
+    smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("a") < F.col("b"))
+    least = _must_share(F.col("m"), F.col("n"))
+    # The first shingle that both have leaves room behind it for the others that they must share.
+    possible = left.join(right, "h").filter(smaller & (F.col("p") != F.col("q")) & near(F.col("m"), F.col("n")) & (F.col("i") + least <= F.col("m")) & (F.col("j") + least <= F.col("n")))
+    found = cut_lineage(_alike(cut_lineage(possible.select("a", "b").distinct()), texts, width))
     return found if edges is None else edges.union(found)
 
 
