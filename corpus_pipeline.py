@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, one operator a stage.
 
 Each stage takes what the one before kept, as a table of documents, and all but
-the last return the columns of documents.
+the last return the columns of documents; the mix adds each one's position.
 """
 
 from __future__ import annotations
@@ -41,13 +41,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix."""
-    return mixing.mix_sources(docs.select(COLUMNS), SOURCE_WEIGHTS).orderBy("position").select(COLUMNS)
+    """The documents with their ``position`` in the mix, which files do not keep."""
+    return mixing.mix_sources(docs.select(COLUMNS), SOURCE_WEIGHTS).select(*COLUMNS, "position")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents in sequences."""
-    return packing.pack_documents(docs, word_tokenizer())
+    """The pieces of the documents in sequences, which are numbered in the order of the mix."""
+    mixed = docs.repartitionByRange("position").sortWithinPartitions("position")
+    return packing.pack_documents(mixed, word_tokenizer(), keep_order=True)
 
 
 STAGES = [

@@ -122,6 +122,17 @@ def _block(docs: list[tuple[int | None, bytes]], first: int, seq_len: int, linea
     return out, first + 1 + max((p[3] for p in placed), default=-1)
 
 
+def _in_order(pieces: list[tuple], docs: list[int], first: int) -> list[tuple]:
+    """The pieces with the sequences of a block numbered by the mean place of their tokens; ``docs``: the place of each piece's document."""
+    sums: dict[int, list[int]] = {}
+    for piece, at in zip(pieces, docs):
+        held = sums.setdefault(piece[5], [0, 0])
+        held[0] += at * piece[2]
+        held[1] += piece[2]
+    number = {s: first + k for k, s in enumerate(sorted(sums, key=lambda s: (sums[s][0] / sums[s][1], s)))}
+    return sorted(((*p[:5], number[p[5]], *p[6:]) for p in pieces), key=lambda p: (p[5], p[6]))
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer: str,
@@ -131,11 +142,14 @@ def pack_documents(
     linear: float = 1.0,
     quadratic: float = 1 / 4096,
     block_tokens: int = 3_000_000,
+    keep_order: bool = False,
 ) -> DataFrame:
     """One row per piece: where its ids lie in the document and in its sequence.
 
     ``sequence_id`` holds the task's partition in its upper bits, so numbers
     are unique and a task that runs again over the same rows gives the same ones.
+    With ``keep_order`` they follow the order of the rows: by partition, by block,
+    and in a block by the mean place of a sequence's tokens.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +161,13 @@ def pack_documents(
 
         def rows():
             nonlocal number
-            pieces, number = _block(block, number, seq_len, linear, quadratic)
+            before = number
+            if keep_order:
+                # Documents go by their place, as ids may repeat.
+                pieces, number = _block([(k, ids) for k, (_, ids) in enumerate(block)], number, seq_len, linear, quadratic)
+                pieces = [(block[p[0]][0], *p[1:]) for p in _in_order(pieces, [p[0] for p in pieces], before)]
+            else:
+                pieces, number = _block(block, number, seq_len, linear, quadratic)
             for at in range(0, len(pieces), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == "cost" else pa.int64()) for n, c in zip(names, zip(*pieces[at : at + 20_000]))], names)
 

@@ -46,3 +46,39 @@ def test_near_dedup_verifies_resemblance(spark):
     rounds = [r.doc_id for r in neardup.one_of_each(docs, sample=1, most_often=1, pairs_a_row=-10**6).collect()]
     assert sorted(rounds) == sorted(got)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_sequences_follow_the_mix(spark, tmp_path):
+    counts, weights = {"src0": 256, "src1": 128}, {"src0": 4, "src1": 2}
+    rows = [(f"{s}", " ".join(["word"] * (40 + 200 * (k % 7)))) for s, n in counts.items() for k in range(n)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, (s, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    # Earliest deadline first, a block of 32 documents a slot.
+    total, served, want = 6, dict.fromkeys(counts, 0), []
+    for slot in range(sum(counts.values()) // 32):
+        free = [(-(-(served[s] + 1) * total // w), s) for s, w in weights.items() if served[s] * total // w <= slot and 32 * served[s] < counts[s]]
+        source = min(free)[1]
+        served[source] += 1
+        want += [source] * 32
+    # Files that a reader packs by size: the last ranges are the largest.
+    mixed = corpus_pipeline.source_mix(spark, docs, "").repartition(7, "doc_id")
+    mixed.write.parquet(f"{tmp_path}/mix")
+    pieces = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/mix"), "").collect()
+    assert len({p.doc_id for p in pieces}) == len(rows)
+    parts = {}
+    for p in pieces:
+        parts.setdefault(p.sequence_id >> 32, set()).add(p.doc_id)
+    at = 0
+    for k in sorted(parts):
+        got = sorted(rows[i][0] for i in parts[k])
+        assert got == sorted(want[at : at + len(got)])
+        at += len(got)
+    position = {r.doc_id: r.position for r in mixed.collect()}
+    for k in parts:
+        mean = {}
+        for p in pieces:
+            if p.sequence_id >> 32 == k:
+                held = mean.setdefault(p.sequence_id, [0, 0])
+                held[0] += sorted(position[i] for i in parts[k]).index(position[p.doc_id]) * p.length
+                held[1] += p.length
+        order = [mean[s][0] / mean[s][1] for s in sorted(mean)]
+        assert order == sorted(order)
