@@ -89,7 +89,14 @@ def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
     return diffs.groupBy(*keys).applyInPandas(tested, schema)
 
 
-def bootstrap_interval(diffs: DataFrame, keys: list[str], resamples: int = 2000, seed: int = 7, level: float = 0.95) -> DataFrame:
+def interval_of_mean(values: np.ndarray, resamples: int, seed: int, level: float) -> np.ndarray:
+    """The two ends of the percentile interval of the mean."""
+    rng = np.random.default_rng(seed)
+    means = [values[rng.integers(0, len(values), len(values))].mean() for _ in range(resamples)]
+    return np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+
+
+def bootstrap_interval(diffs: DataFrame, keys: list[str], resamples: int = 10_000, seed: int = 7, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean over questions; none for fewer than two."""
     schema = ", ".join([*(f"{k} string" for k in keys), "n long, mean double, ci_low double, ci_high double"])
 
@@ -97,9 +104,7 @@ def bootstrap_interval(diffs: DataFrame, keys: list[str], resamples: int = 2000,
         values = np.sort(pdf["diff"].dropna().to_numpy(float))
         low = high = None
         if len(values) > 1:
-            rng = np.random.default_rng(seed)
-            means = [values[rng.integers(0, len(values), len(values))].mean() for _ in range(resamples)]
-            low, high = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+            low, high = interval_of_mean(values, resamples, seed, level)
         return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(values), values.mean() if len(values) else None, low, high]], columns=[*keys, "n", "mean", "ci_low", "ci_high"])
 
     return diffs.groupBy(*keys).applyInPandas(drawn, schema)

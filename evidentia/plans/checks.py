@@ -140,7 +140,7 @@ def first_urls(spark, d):
 
 @query()
 def simulated_fills(spark, d):
-    return planning.simulated_fills(chunking.fixed_chunks(table(spark, d, "documents"), 128), 512, 400)
+    return planning.simulated_fills(chunking.fixed_chunks(table(spark, d, "documents"), 128), 512, 20_000)
 
 
 @query()
