@@ -5,11 +5,13 @@ the rest, gives the family; within it one-versus-one linear support vector
 machines vote on the language. ``score`` is the share of the family times the
 mean probability of the winner's duels.
 
-The models learn from a sample of labelled rows, ``per_language`` of each
-language at most, the first by a hash of their id; every row is predicted from
-its whole text alone. A null text or one without a letter is ``und`` with score
-0, as is everything when no row can be learnt from. One known language is
-predicted for all. Repeated rows get equal results. Other columns are not read.
+The models learn from a sample of labelled rows: ``sample_rows`` in all, the same
+number of each of the ``most_languages`` most frequent languages, the first by a
+hash of their id. So the driver holds one matrix of a fixed size; rarer languages
+are not learnt. Every row is predicted from its whole text alone. A null text or
+one without a letter is ``und`` with score 0, as is everything when no row can be
+learnt from. One known language is predicted for all. Repeated rows get equal
+results. Other columns are not read, and handed on only where they are asked for.
 """
 
 from __future__ import annotations
@@ -24,9 +26,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from evidentia.llm.common import fresh
 from evidentia.llm.linear import margin, sigmoid, squared_hinge_svm
 
-SIZE = 1 << 13
+BITS = 12
+SIZE = 1 << BITS
 
 #: Families of languages by ISO 639-1 code. Others are families of their own.
 FAMILIES = {
@@ -55,7 +59,7 @@ def ngram_counts(text: str) -> np.ndarray:
     triples = pairs[:-1] * 257 + data[2:]
     out = np.zeros(SIZE, np.int64)
     for k, grams in enumerate((data, pairs, triples)):
-        out += np.bincount(((grams + k) * np.uint32(2654435761)) >> np.uint32(19), minlength=SIZE)
+        out += np.bincount(((grams + k) * np.uint32(2654435761)) >> np.uint32(32 - BITS), minlength=SIZE)
     return out
 
 
@@ -103,7 +107,6 @@ def train(x: np.ndarray, lang: np.ndarray, ridge: float = 1e-4) -> Model | None:
     for name in names:
         groups.setdefault(FAMILY_OF.get(name, name), []).append(name)
     families = [groups[k] for k in sorted(groups)]
-    rows = {name: np.flatnonzero(lang == name) for name in names}
     if len(families) == 1:
         weights = np.zeros((1, SIZE + 1), np.float32)
     else:
@@ -111,8 +114,7 @@ def train(x: np.ndarray, lang: np.ndarray, ridge: float = 1e-4) -> Model | None:
     duels = {}
     for f in families:
         for a, b in combinations(f, 2):
-            own = np.concatenate([rows[a], rows[b]])
-            duels[a, b] = squared_hinge_svm(x[own], np.where(lang[own] == a, 1, -1), ridge)
+            duels[a, b] = squared_hinge_svm(x, (lang == a).astype(int) - (lang == b), ridge)
     return Model(families, weights, duels)
 
 
@@ -125,42 +127,42 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([order]), pa.array([at.astype(np.int32)]), pa.array([counts[at].astype(np.int32)])], ["lang", "order", "at", "n"])
 
 
-def fit_languages(docs: DataFrame, usable: Column, per_language: int = 1000, most_languages: int = 64) -> Model | None:
+def fit_languages(docs: DataFrame, usable: Column, *, sample_rows: int = 4000, most_languages: int = 64) -> Model | None:
     """A model from the rows where ``usable`` holds, ``lang`` is there and the text is not null.
 
-    The sample is the ``per_language`` smallest of a hash of id and text in each
-    language. A bound on the hash, from the counts, first leaves about twice as
-    many rows, so the ranking never sees a whole language.
+    Of each language the sample has the smallest of a hash of id and text. A
+    bound on the hash, from the counts, first leaves about twice as many rows, so
+    the ranking never sees a whole language.
     """
+    spark = docs.sparkSession
     order = F.xxhash64(F.col("doc_id"), F.col("text"))
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), order.alias("order"), "text")
-    counts = known.groupBy("lang").count().orderBy("lang").limit(most_languages + 1).collect()
-    if len(counts) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
     if not counts:
         return None
-    bound = F.lit(None).cast("long")
-    for r in counts:
-        share = min(1.0, (2 * per_language + 200) / r["count"])
-        bound = F.when(F.col("lang") == r["lang"], F.lit(int(-(2**63) + share * (2**64 - 2**12)))).otherwise(bound)
-    near = known.filter(F.col("order") <= bound)
+    each = max(1, sample_rows // len(counts))
+    bounds = [(r["lang"], int(-(2**63) + min(1.0, (2 * each + 200) / r["count"]) * (2**64 - 2**12))) for r in counts]
+    near = known.join(F.broadcast(spark.createDataFrame(bounds, "lang string, bound long")), "lang").filter("order <= bound").drop("bound")
     first = Window.partitionBy("lang").orderBy("order")
-    chosen = near.select("lang", "order").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= per_language).select("lang", "order").distinct()
-    # At most most_languages * per_language rows.
-    sample = near.join(F.broadcast(chosen), ["lang", "order"], "left_semi").mapInArrow(_counted, "lang string, order long, at array<int>, n array<int>").toArrow()
+    chosen = near.select("lang", "order").withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("lang", "order").distinct()
+    # At most sample_rows rows; copies of a row have one order and count once.
+    sample = near.join(F.broadcast(chosen), ["lang", "order"], "left_semi").mapInArrow(_counted, "lang string, order long, at array<int>, n array<int>").dropDuplicates(["lang", "order"]).toArrow()
     sample = sample.sort_by([("lang", "ascending"), ("order", "ascending")])
     x = np.zeros((sample.num_rows, SIZE), np.float32)
     for row, at, n in zip(x, sample["at"], sample["n"]):
         values = n.values.to_numpy()
         row[at.values.to_numpy()] = np.sqrt(values / values.sum())
-    return train(x, np.array(sample["lang"].to_pylist(), object))
+    lang = np.array(sample["lang"].to_pylist(), object)
+    del sample
+    return train(x, lang)
 
 
 def identify_languages(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep``, ``lang_pred`` and ``score``, a row per document."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    schema = StructType([*kept.schema.fields[:-1], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    names = [*keep, "lang_pred", "score"]
+    """The columns ``keep``, ``lang_pred`` and ``score``, a row per document; where ``keep`` has such a name, ours gets underscores."""
+    kept = docs.select(*keep, F.col("text").alias("_text"))
+    lang_pred, score_ = fresh(docs.select(*keep), "lang_pred", "score")
+    schema = StructType([*kept.schema.fields[:-1], StructField(lang_pred, StringType()), StructField(score_, DoubleType())])
+    names = [*keep, lang_pred, score_]
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

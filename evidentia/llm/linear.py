@@ -9,12 +9,15 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(x: np.ndarray, slope, ridge: float, smooth: float, steps: int) -> np.ndarray:
+def _descend(x: np.ndarray, slope, ridge: float, smooth: float, steps: int, used: np.ndarray | None = None) -> np.ndarray:
     """Accelerated gradient descent on mean loss plus ridge; the last weight is the bias, which has no ridge.
 
-    ``x`` is never copied: the column of ones of the bias is only thought of.
+    ``x`` is never copied: the column of ones of the bias is only thought of, and
+    rows that are not ``used`` have a slope of 0.
     """
     n, d = x.shape
+    if used is not None:
+        n = max(1, int(used.sum()))
 
     def forth(w: np.ndarray) -> np.ndarray:
         return x @ w[:d] + w[d]
@@ -23,10 +26,11 @@ def _descend(x: np.ndarray, slope, ridge: float, smooth: float, steps: int) -> n
         return np.append(x.T @ r, r.sum(dtype=x.dtype))
 
     v = np.full(d + 1, 1 / np.sqrt(d + 1), x.dtype)
+    seen = forth if used is None else lambda w: forth(w) * used
     for _ in range(12):
-        v = back(forth(v))
+        v = back(seen(v))
         v /= max(float(np.linalg.norm(v)), 1e-30)
-    rate = x.dtype.type(1.0 / (smooth * 1.1 * float(np.linalg.norm(forth(v))) ** 2 / n + ridge))
+    rate = x.dtype.type(1.0 / (smooth * 1.1 * float(np.linalg.norm(seen(v))) ** 2 / n + ridge))
     w = u = np.zeros(d + 1, x.dtype)
     held = np.full(d + 1, ridge, x.dtype)
     held[d] = 0
@@ -43,9 +47,9 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200
 
 
 def squared_hinge_svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, steps: int = 200) -> np.ndarray:
-    """Weights, the bias last, of a linear support vector machine; labels -1 and 1."""
+    """Weights, the bias last, of a linear support vector machine; labels -1 and 1, 0 for rows that don't count."""
     y = y.astype(x.dtype)
-    return _descend(x, lambda z: (-2 * y * np.maximum(0, 1 - y * z)).astype(x.dtype), ridge, 2.0, steps)
+    return _descend(x, lambda z: (-2 * y * np.maximum(0, 1 - y * z)).astype(x.dtype), ridge, 2.0, steps, np.abs(y))
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -186,7 +186,7 @@ def test_toxicity(spark, docs, empty):
 
 def test_language(spark, docs, empty):
     train = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model = langid.fit_languages(train, ~langid.held_out(), per_language=60)
+    model = langid.fit_languages(train, ~langid.held_out(), sample_rows=240)
     got = langid.identify_languages(train, model, ("doc_id", "lang")).filter(langid.held_out()).toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.95
     mixed = {r.doc_id: r for r in langid.identify_languages(docs, model).collect()}
