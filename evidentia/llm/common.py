@@ -18,23 +18,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` read back from a reliable checkpoint in the folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is not set, a temporary one of this machine, which only a local master sees."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="shared-")
 
-    ``spark.checkpoint.dir`` is used where it is set; a temporary folder only
-    where nothing is set, which is a single machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` read back from a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table to the same folder, and read back: later passes read only the columns they need."""
     spark = df.sparkSession
-    path = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stored-')}/{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/{uuid.uuid4()}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

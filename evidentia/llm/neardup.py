@@ -1,19 +1,25 @@
-"""One document of each group of near copies, by exact resemblance of shingle sets.
+"""One document of each group of near copies, by SimHash tiles over texts that share a rare shingle.
 
 Two texts link when the Jaccard resemblance of their sets of hashed shingles is
-0.8 or more. The search for candidates loses none: in any fixed order of the
-shingles, such texts share one of their first ``n - ceil(0.8 n) + 1``,
-and the smaller of the two has it among its first ``n - ceil(8 n / 9) + 1``. The order
-puts shingles that a sample finds in many texts last, so that lines of many
-texts make no candidates; the sample changes what the search costs, not what it
-finds. Sizes and places bound what two texts can share; what passes is verified
-on the texts themselves.
+0.8 or more. Their fingerprints alone can't say so: at that resemblance they
+differ by some 10 of 64 bits, up to 16, and no set of buckets of bits is both
+whole and small at such a radius. So a bucket is the texts that share one of
+their first shingles: in any fixed order of the shingles, two texts that link
+share one of their first ``n - ceil(0.8 n) + 1``, so that no link is lost. The
+order puts shingles that a sample finds in many texts last, so that passages of
+many texts make no buckets; the sample changes what the search costs, not what
+it finds. A bucket is compared in tiles (``simhash.tiles``): numpy exclusive-or
+and bit counts of the fingerprints within a wide ``radius`` (five deviations
+beyond what 0.8 gives), with the sizes of the sets and the places of the shared
+shingle, which bound what two texts can share. Pairs that are left are verified
+on the sets themselves, in cells of texts that meet often.
 
 Where large groups would make many pairs, each text is first verified against
 one other in rounds, and pairs within one component are not made any more.
 
 Equal texts are one; texts without words link to one another. Nulls are empty
-texts. An empty table gives no rows.
+texts. Repeated rows and ties leave one row. A null id comes after all others.
+An empty table gives no rows. Other columns are handed on.
 """
 
 from __future__ import annotations
@@ -22,27 +28,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut_lineage, stored
+from evidentia.llm.common import cut_lineage, fresh, stored
 from evidentia.llm.graph import connected_components
+from evidentia.llm.simhash import facing, majority, tiles
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted distinct hashes of the runs of ``width`` words, A-Z lower-cased; one zero for no words."""
-    import xxhash
+class _WordHashes(dict):
+    """Word -> its 64-bit hash; starts anew at ``limit`` words."""
+
+    def __init__(self, limit: int = 500_000):
+        import xxhash
+
+        super().__init__()
+        self.digest, self.limit = xxhash.xxh64_intdigest, limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = self.digest(word, 42)
+        return value
+
 
+_WORDS: list[_WordHashes] = []
+
+
+def hashes(text: str | None, width: int) -> np.ndarray:
+    """The hashes of the runs of ``width`` words in turn, A-Z lower-cased, mixed from those of the words; one zero for no words."""
+    if not _WORDS:
+        _WORDS.append(_WordHashes())
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return np.zeros(1, np.int64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.append(0, ends[:-1] + 1)
-    width = min(width, len(words))
-    spans = zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64).view(np.int64))
+        return np.zeros(1, np.uint64)
+    w = np.fromiter(map(_WORDS[0].__getitem__, words), np.uint64, len(words))
+    width = min(width, len(w))
+    n = len(w) - width + 1
+    h = np.full(n, width, np.uint64)
+    for i in range(width):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The sorted distinct hashes."""
+    return np.unique(hashes(text, width).view(np.int64))
 
 
 def _often(texts: DataFrame, width: int, sample: int, most: int) -> np.ndarray:
@@ -68,93 +100,188 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def first_shingles(texts: DataFrame, width: int, often: np.ndarray) -> DataFrame:
-    """``h``, ``key``, ``n`` (the size of the set) and ``at`` (the place in the order), a row for each of a text's first shingles."""
+    """A row for each of a text's first shingles: ``h``, ``key``, ``n`` (the size of the set), ``at`` (the place in the order), ``fp``."""
     late = texts.sparkSession.sparkContext.broadcast(often)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hs, keys, ns, places = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                own = shingles(text.as_py(), width)
-                n = len(own)
-                order = np.argsort(_within(own, late.value), kind="stable")
-                own = own[order[: n - (4 * n + 4) // 5 + 1]]
-                hs.append(own)
-                keys.append(np.full(len(own), key))
-                ns.append(np.full(len(own), n, np.int32))
-                places.append(np.arange(len(own), dtype=np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, keys, ns, places)], ["h", "key", "n", "at"])
-
-    return texts.select("key", "text").mapInArrow(cut, "h long, key long, n int, at int")
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """Those of the pairs ``a``, ``b`` whose texts resemble each other by 0.8 or more."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    slim = texts.join(needed, "key", "left_semi")
-    left, right = slim.select(F.col("key").alias("a"), F.col("text").alias("x")), slim.select(F.col("key").alias("b"), F.col("text").alias("y"))
-
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                s, t = shingles(x.as_py(), width), shingles(y.as_py(), width)
-                keep.append(9 * len(np.intersect1d(s, t, assume_unique=True)) >= 4 * (len(s) + len(t)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for first in range(0, batch.num_rows, 500):
+                out = []
+                for key, text in zip(batch.column(0).slice(first, 500).to_pylist(), batch.column(1).slice(first, 500)):
+                    every = hashes(text.as_py(), width)
+                    own = np.unique(every.view(np.int64))
+                    n = len(own)
+                    own = own[np.argsort(_within(own, late.value), kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+                    same = np.ones(len(own), np.int64)
+                    out.append((own, key * same, (n * same).astype(np.int32), np.arange(len(own), dtype=np.int32), same * np.uint64(majority(every)).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "key", "n", "at", "fp"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+    return texts.select("key", "text").mapInArrow(cut, "h long, key long, n int, at int, fp long")
 
 
-def _must_share(m: Column, n: Column) -> Column:
+def _must_share(m, n):
     """How many shingles sets of ``m`` and ``n`` share at least when they resemble each other by 0.8."""
-    return F.floor((4 * (m + n) + 8) / 9)
+    return (4 * (m + n) + 8) // 9
+
+
+def candidates(placed: DataFrame, *, radius: int, tile: int = 512) -> DataFrame:
+    """Pairs ``a``, ``m``, ``b``, ``n`` of texts and sizes that may link; ``placed``: the shingles of more than one text, with ``root``."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [np.stack([c.flatten().field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in _HELD], axis=1) for c in batch.columns[:2]]
+            sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in batch.columns[:2]]
+            ends = [np.cumsum(x) for x in sizes]
+            within = batch.column(2).to_numpy(zero_copy_only=False)
+            small = within & (sizes[0] <= 32)
+            starts = ends[0] - sizes[0]
+            found = [_small(sides[0], starts[small], sizes[0][small], radius)]
+            held = 0
+            for k in np.flatnonzero(~small):
+                left, right = (rows[end[k] - size[k] : end[k]] for rows, end, size in zip(sides, ends, sizes))
+                for part, other in facing(left, right, within[k], 2 * tile):
+                    found.append(_between(part, other, radius))
+                    held += len(found[-1])
+                    if held > 200_000:
+                        yield _batch(found)
+                        found, held = [], 0
+            if found:
+                yield _batch(found)
+
+    met = placed.select(F.col("h").alias("key"), F.col("key").alias("id"), "size", "fp", "n", "at", "root")
+    return tiles(met, _HELD, radius=radius, tile=tile).mapInArrow(compared, "a long, m long, b long, n long").distinct()
+
+
+_HELD = ["fp", "id", "n", "at", "root"]
+
+
+def _batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    every = np.unique(np.concatenate(pairs), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in every.T.copy()], ["a", "m", "b", "n"])
 
 
-def similar_texts(texts: DataFrame, *, width: int = 5, sample: int = 20_000, most_often: int = 500_000, pairs_a_row: int = 10, most_rounds: int = 6) -> DataFrame:
+def _possible(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
+    """``a``, ``m``, ``b``, ``n``, the smaller id first, of the rows left and right that fingerprints, sizes and places leave possible."""
+    (f, a, m, i, p), (g, b, n, j, q) = left.T, right.T
+    # The first shingle that both have leaves room behind it for the others that they must share.
+    least = _must_share(m, n)
+    ok = (np.bitwise_count((f ^ g).view(np.uint64)) <= radius) & (p != q) & (a != b) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (i + least <= m) & (j + least <= n)
+    a, m, b, n = a[ok], m[ok], b[ok], n[ok]
+    turned = a > b
+    return np.stack([np.where(turned, b, a), np.where(turned, n, m), np.where(turned, a, b), np.where(turned, m, n)], axis=1)
+
+
+def _between(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
+    """The pairs of one part of a tile and another, or (None) itself."""
+    other = left if right is None else right
+    near = np.bitwise_count((left[:, None, 0] ^ other[None, :, 0]).view(np.uint64)) <= radius
+    x, y = np.nonzero(np.triu(near, 1) if right is None else near)
+    return _possible(left[x], other[y], radius)
+
+
+def _small(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """The pairs within many small tiles at once; a tile is ``sizes`` rows from ``starts`` on."""
+    found = [np.zeros((0, 4), np.int64)]
+    for size in np.unique(sizes):
+        x, y = np.triu_indices(size, 1)
+        at = starts[sizes == size]
+        for k in range(0, len(at), 4096):
+            part = at[k : k + 4096, None]
+            found.append(_possible(rows[(part + x).ravel()], rows[(part + y).ravel()], radius))
+    return np.concatenate(found)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, *, cell: int = 400_000, broadcast_rows: int = 200_000) -> DataFrame:
+    """``a``, ``b`` of those pairs whose texts resemble each other by 0.8 or more.
+
+    Pairs with a common neighbour meet in one cell, so that a set of shingles
+    goes to few places; groups of more than ``cell`` shingles are split by salts.
+    """
+    pairs = cut_lineage(pairs)
+    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("met")).union(pairs.select("b", "a"))
+    least = ends.groupBy("key").agg(F.least(F.first("key"), F.min("met")).alias("label"))
+    marked = pairs.join(least.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(least.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
+    grouped = marked.select("a", "m", "b", "n", F.least("x", "y").alias("g"))
+    members = grouped.select("g", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("m").alias("n")), F.struct(F.col("b").alias("key"), "n"))).alias("e")).distinct()
+    salts = members.groupBy("g").agg(F.ceil(F.sum("e.n") / cell).cast("int").alias("k"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
+    celled = grouped.join(salts, "g").select("g", part("a").alias("s"), part("b").alias("t"), "a", "b")
+    places = celled.select("g", "s", "t", F.explode(F.array("a", "b")).alias("key")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], ["key", "set"])
+
+    needed = least.select("key")
+    if 2 * pairs.count() <= broadcast_rows:
+        needed = F.broadcast(needed)
+    sets = texts.select("key", "text").join(needed, "key", "left_semi").mapInArrow(hashed, "key long, set array<long>")
+    here = ["g", "s", "t"]
+    held = places.join(sets, "key").groupBy(*here).agg(F.collect_list(F.struct("key", "set")).alias("sets"))
+    asked = celled.groupBy(*here).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for sets, pairs in zip(batch.column(0), batch.column(1)):
+                members, lists = sets.values.field("key").to_pylist(), sets.values.field("set")
+                own = {key: lists[k].values.to_numpy() for k, key in enumerate(members)}
+                for x, y in zip(pairs.values.field("a").to_pylist(), pairs.values.field("b").to_pylist()):
+                    s, t = own[x], own[y]
+                    if 9 * int(_within(s, t).sum()) >= 4 * (len(s) + len(t)):
+                        a.append(x)
+                        b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return asked.join(held, here).select("sets", "pairs").mapInArrow(alike, "a long, b long")
+
+
+def similar_texts(texts: DataFrame, *, width: int = 5, radius: int = 24, sample: int = 5_000, most_often: int = 500_000, pairs_a_row: int = 10, most_rounds: int = 6) -> DataFrame:
     """Edges ``a``, ``b`` that connect all texts of one component; ``texts`` has distinct ``key`` and ``text``."""
-    rows = stored(first_shingles(texts, width, _often(texts, width, sample, most_often)))
-    shared = stored(rows.join(rows.groupBy("h").count().filter("count > 1"), "h", "left_semi"))
+    rows = first_shingles(texts, width, _often(texts, width, sample, most_often))
+    shared = stored(rows.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1"))
     most = 1_000_000 + pairs_a_row * shared.count()
     edges = None
     placed = shared.withColumn("root", F.col("key"))
-    near = lambda m, n: 5 * F.least(m, n) >= 4 * F.greatest(m, n)
     # What a text is found by as the smaller, or the equal, of two.
-    own = F.col("at") <= F.col("n") - _must_share(F.col("n"), F.col("n"))
+    own = F.col("at") <= F.col("n") - F.floor((8 * F.col("n") + 8) / 9)
     for number in range(most_rounds):
         sizes = placed.groupBy("h", "root").agg(F.count("*").alias("m"), F.count_if(own).alias("s")).groupBy("h").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("same"))
         if (sizes.agg(F.sum(F.col("m").cast("double") * F.col("s") - F.col("same"))).first()[0] or 0) <= most:
             break
         small = placed.filter(own)
         centre = small.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", F.lit(number)).alias("r"), F.xxhash64("key").alias("k"), F.col("key").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))).alias("s")).select("h", "s.*")
-        met = small.join(centre, "h").filter((F.col("root") != F.col("c_root")) & near(F.col("n"), F.col("c_n")))
-        best = met.groupBy("key", "c").count().groupBy("key").agg(F.max(F.struct("count", "c")).alias("s"))
-        asked = cut_lineage(best.select(F.col("key").alias("a"), F.col("s.c").alias("b")))
-        found = cut_lineage(_alike(asked, texts, width))
+        near = 5 * F.least("n", "c_n") >= 4 * F.greatest("n", "c_n")
+        met = small.join(centre, "h").filter((F.col("root") != F.col("c_root")) & near)
+        best = met.groupBy("key", "n", "c", "c_n").count().groupBy("key", "n").agg(F.max(F.struct("count", "c", "c_n")).alias("s"))
+        first = F.col("key") < F.col("s.c")
+        turn = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).cast("long").alias(name)
+        asked = cut_lineage(best.select(turn("key", "s.c", "a"), turn("n", "s.c_n", "m"), turn("s.c", "key", "b"), turn("s.c_n", "n", "n")).distinct())
+        found = cut_lineage(verified(asked, texts, width))
         edges = found if edges is None else edges.union(found)
         roots = cut_lineage(connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("r")))
-        placed = shared.join(roots, "key", "left").select("h", "key", "n", "at", F.coalesce("r", "key").alias("root"))
+        placed = shared.join(roots, "key", "left").select("h", "size", "key", "n", "at", "fp", F.coalesce("r", "key").alias("root"))
         if 5 * found.count() < asked.count():
             break
-    left = placed.filter(own).select("h", F.col("key").alias("a"), F.col("n").alias("m"), F.col("at").alias("i"), F.col("root").alias("p"))
-    right = placed.select("h", F.col("key").alias("b"), "n", F.col("at").alias("j"), F.col("root").alias("q"))
-    smaller = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("a") < F.col("b"))
-    least = _must_share(F.col("m"), F.col("n"))
-    # The first shingle that both have leaves room behind it for the others that they must share.
-    possible = left.join(right, "h").filter(smaller & (F.col("p") != F.col("q")) & near(F.col("m"), F.col("n")) & (F.col("i") + least <= F.col("m")) & (F.col("j") + least <= F.col("n")))
-    found = cut_lineage(_alike(cut_lineage(possible.select("a", "b").distinct()), texts, width))
+    found = cut_lineage(verified(candidates(placed, radius=radius), texts, width))
     return found if edges is None else edges.union(found)
 
 
-def one_of_each(docs: DataFrame, *, width: int = 5, **parameters) -> DataFrame:
+def one_of_each(docs: DataFrame, *, width: int = 5, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of the smallest id and, in a tie, of the smallest text hash."""
-    keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    first = keyed.groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), F.col("doc_id").alias("id"))).alias("s"))
-    first = first.select(F.col("key").alias("f_key"), F.col("s.id").alias("f_id"))
-    of_first = (F.col("key") == F.col("f_key")) & F.col("doc_id").eqNullSafe(F.col("f_id"))
-    distinct = stored(keyed.join(first, of_first, "left_semi").dropDuplicates(["key"]))
-    roots = connected_components(similar_texts(distinct.select("key", "text"), width=width, **parameters))
-    placed = distinct.select("key", "doc_id").join(roots, F.col("key") == F.col("node"), "left")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "key")
-    winner = placed.groupBy(F.coalesce("root", "key").alias("class")).agg(F.min(order).alias("w")).select(F.col("w.key").alias("key"))
-    return distinct.join(winner, "key", "left_semi").select(*docs.columns)
+    key, turn = fresh(docs, "key", "turn")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    # The first of each text; a task keeps no more before the rows are dealt out.
+    by_text = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last())
+    distinct = stored(keyed.withColumn(turn, F.row_number().over(by_text)).filter(F.col(turn) == 1).drop(turn))
+    texts = distinct.select(F.col(key).alias("key"), "doc_id", "text")
+    roots = connected_components(similar_texts(texts.select("key", "text"), width=width, **parameters))
+    placed = roots.join(texts.select(F.col("key").alias("node"), "doc_id"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
+    winner = placed.groupBy("root").agg(F.min(order).alias("w")).select("root", F.col("w.node").alias("keep"))
+    gone = cut_lineage(placed.select("node", "root").join(winner, "root").filter("node <> keep").select(F.col("node").alias(key)))
+    if gone.count() <= broadcast_rows:
+        gone = F.broadcast(gone)
+    return distinct.join(gone, key, "left_anti").select(*docs.columns)

@@ -26,10 +26,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm.common import cut_lineage
+from evidentia.llm.common import cut_lineage, fresh
 from evidentia.llm.graph import connected_components
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The unsigned number whose bits are those that more than half of the hashes have; 0 for none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 4096):
+        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def simhash(text: str, shingle: int) -> int:
     """The unsigned 64-bit fingerprint of the words of ``text``, A-Z lower-cased."""
     import xxhash
@@ -44,12 +53,7 @@ def simhash(text: str, shingle: int) -> int:
     n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
     spans = zip(starts[:n].tolist(), ends[width - 1 :].tolist())
-    hashes = np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, 4096):
-        bits = np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, n))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
@@ -100,52 +104,67 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np
     return nodes[own], nodes[root[own]]
 
 
-def links(distinct: DataFrame, *, radius: int = 4, blocks: int = 6, agree: int = 2, tile: int = 512) -> DataFrame:
-    """Edges ``a``, ``b`` that connect all of the distinct ``fp`` within ``radius`` bits of each other."""
-    assert blocks - radius >= agree, "the blocks would lose links"
-    rows = distinct.select("fp", F.explode(F.array(*bucket_keys(F.col("fp"), blocks, agree))).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    met = rows.join(sizes, "key").withColumn("pop", F.bit_count("fp").cast("int"))
-    # Small buckets are one tile. A large one has tiles by population count and salt.
+def tiles(met: DataFrame, columns: list[str], *, radius: int, tile: int) -> DataFrame:
+    """Tiles in which any two rows of one ``key`` within ``radius`` bits meet once: ``left``, ``right``, ``within``.
+
+    ``met`` has ``key``, ``size`` (how many rows have it), ``fp`` and the ``columns``
+    that the tiles hold. A tile meets itself (``within``) or another. Small keys
+    are one tile. A large one has tiles by population count and salt; pairs of
+    tiles whose population counts differ by more than the radius are not made.
+    """
+    held = met.select("key", "size", F.bit_count("fp").cast("int").alias("pop"), F.xxhash64("fp", *columns).alias("mixed"), F.struct(*columns).alias("item"))
     salts = F.ceil(F.col("size") / (4 * tile)).cast("int")
-    salted = met.withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("fp"), salts).cast("int"))
+    salted = held.withColumn("salts", salts).withColumn("salt", F.pmod(F.col("mixed"), salts).cast("int"))
     no = F.lit(0)
-    one = salted.filter(F.col("size") <= tile).select("key", no.alias("p"), no.alias("s"), no.alias("q"), no.alias("t"), F.lit(True).alias("first"), "fp")
+    one = salted.filter(F.col("size") <= tile).select("key", no.alias("p"), no.alias("s"), no.alias("q"), no.alias("t"), F.lit(True).alias("first"), "item")
     cells = salted.filter(F.col("size") > tile).withColumn("u", F.explode(F.sequence(no, F.col("salts") - 1)))
     ahead = cells.withColumn("q", F.explode(F.sequence(F.col("pop"), F.col("pop") + radius)))
     ahead = ahead.filter((F.col("q") > F.col("pop")) | (F.col("u") >= F.col("salt")))
-    ahead = ahead.select("key", F.col("pop").alias("p"), F.col("salt").alias("s"), "q", F.col("u").alias("t"), F.lit(True).alias("first"), "fp")
+    ahead = ahead.select("key", F.col("pop").alias("p"), F.col("salt").alias("s"), "q", F.col("u").alias("t"), F.lit(True).alias("first"), "item")
     behind = cells.withColumn("p", F.explode(F.sequence(F.col("pop") - radius, F.col("pop"))))
     behind = behind.filter((F.col("p") < F.col("pop")) | (F.col("u") < F.col("salt")))
-    behind = behind.select("key", "p", F.col("u").alias("s"), F.col("pop").alias("q"), F.col("salt").alias("t"), F.lit(False).alias("first"), "fp")
-    tiles = (
+    behind = behind.select("key", "p", F.col("u").alias("s"), F.col("pop").alias("q"), F.col("salt").alias("t"), F.lit(False).alias("first"), "item")
+    return (
         one.union(ahead)
         .union(behind)
         .groupBy("key", "p", "s", "q", "t")
-        .agg(F.collect_list(F.when(F.col("first"), F.col("fp"))).alias("left"), F.collect_list(F.when(~F.col("first"), F.col("fp"))).alias("right"))
+        .agg(F.collect_list(F.when(F.col("first"), F.col("item"))).alias("left"), F.collect_list(F.when(~F.col("first"), F.col("item"))).alias("right"))
         .withColumn("within", (F.col("p") == F.col("q")) & (F.col("s") == F.col("t")))
         .filter("size(left) > 0 AND (size(right) > 0 OR within AND size(left) > 1)")
         .select("left", "right", "within")
     )
 
+
+def facing(left, right, within: bool, step: int) -> Iterator[tuple]:
+    """The parts of a tile that meet, ``step`` rows a side at most; None for a part that meets itself."""
+    for at in range(0, len(left), step):  # cells that a rare popcount makes large stay small in memory
+        part = left[at : at + step]
+        if within:
+            yield part, None
+        other = left if within else right
+        for to in range(at + step if within else 0, len(other), step):
+            yield part, other[to : to + step]
+
+
+def links(distinct: DataFrame, *, radius: int = 4, blocks: int = 6, agree: int = 2, tile: int = 512) -> DataFrame:
+    """Edges ``a``, ``b`` that connect all of the distinct ``fp`` within ``radius`` bits of each other."""
+    assert blocks - radius >= agree, "the blocks would lose links"
+    rows = distinct.select("fp", F.explode(F.array(*bucket_keys(F.col("fp"), blocks, agree))).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for left, right, within in zip(batch.column(0), batch.column(1), batch.column(2)):
-                left, right = (x.values.to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
-                for at in range(0, len(left), 4 * tile):  # cells that a rare popcount makes large stay small in memory
-                    part = left[at : at + 4 * tile]
-                    if within.as_py():
-                        found = [_forest(part, None, radius)] + [_forest(part, left[to : to + 4 * tile], radius) for to in range(at + 4 * tile, len(left), 4 * tile)]
-                    else:
-                        found = [_forest(part, right[to : to + 4 * tile], radius) for to in range(0, len(right), 4 * tile)]
-                    for x, y in found:
-                        a.append(x)
-                        b.append(y)
+                left, right = (x.values.field("fp").to_numpy(zero_copy_only=False).view(np.uint64) for x in (left, right))
+                for part, other in facing(left, right, within.as_py(), 4 * tile):
+                    x, y = _forest(part, other, radius)
+                    a.append(x)
+                    b.append(y)
             cols = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
             yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["a", "b"])
 
-    return tiles.mapInArrow(compared, "a long, b long")
+    return tiles(rows.join(sizes, "key"), ["fp"], radius=radius, tile=tile).mapInArrow(compared, "a long, b long")
 
 
 def components(fps: DataFrame, **parameters) -> DataFrame:
@@ -166,9 +185,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, **parameters) -> DataF
 def one_of_each(docs: DataFrame, *, shingle: int = 5, **parameters) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of the smallest id and, in a tie, of the smallest text hash."""
     found = near_duplicates(docs, shingle=shingle, **parameters)
+    key, w_id, w_key = fresh(docs, "key", "w_id", "w_key")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
     winner = found.withColumn("class", F.coalesce("component_id", "fp")).groupBy("class", F.col("component_id").isNull()).agg(F.min(order).alias("w"))
-    winner = winner.select(F.col("w.doc_id").alias("w_doc_id"), F.col("w.text_key").alias("w_key"))
-    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(winner, keyed["doc_id"].eqNullSafe(winner["w_doc_id"]) & (keyed["__key"] == winner["w_key"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+    winner = winner.select(F.col("w.doc_id").alias(w_id), F.col("w.text_key").alias(w_key))
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(winner, F.col("doc_id").cast("long").eqNullSafe(F.col(w_id)) & (F.col(key) == F.col(w_key)), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
