@@ -68,35 +68,37 @@ def phases(blocks: Mapping[int, int], weights: Mapping[int, int]) -> list[dict]:
 
 def mix_sources(docs: DataFrame, weights: Mapping[str | None, int], *, default_weight: int = 1, source: str = "source", block_docs: int = 32, most_sources: int = 256) -> DataFrame:
     """``docs`` with ``block``, ``release``, ``deadline``, ``slot`` and ``position``; sorted by the last they are the mix."""
-    block, release, deadline, slot, position, src, rank, order, part = fresh(docs, "block", "release", "deadline", "slot", "position", "src", "rank", "order", "part")
+    wanted = ["block", "release", "deadline", "slot", "position", "rank", "order", "part", "name", "digits", "before", "start", "first", "end", "weight", "total", "slots"]
+    block, release, deadline, slot, position, rank, order, part, name, digits, before, start, first, end, weight, total, slots = fresh(docs, *wanted)
     spark = docs.sparkSession
     ordered = docs.withColumn(order, F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     # The order's first digits cut each source into parts: ranks need no task with a whole source.
-    digits = 3
-    ordered = ordered.withColumn(part, F.substring(order, 1, digits))
-    sizes = ordered.groupBy(F.col(source).alias("name"), F.col(part).alias("p")).agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("name").orderBy("p")) - F.col("n")
-    offsets = sizes.select("name", "p", before.alias("before"))  # at most sources * 16**digits rows
-    counts = sizes.groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.col("name").asc_nulls_first()).limit(most_sources + 1).collect()
+    n_digits = 3
+    ordered = ordered.withColumn(part, F.substring(order, 1, n_digits))
+    sizes = ordered.groupBy(F.col(source).alias(name), F.col(part).alias(digits)).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy(name).orderBy(digits)) - F.col("n")
+    offsets = sizes.select(name, digits, so_far.alias(before))  # at most sources * 16**n_digits rows
+    counts = sizes.groupBy(F.col(name).alias("name")).agg(F.sum("n").alias("n")).orderBy(F.col("name").asc_nulls_first()).limit(most_sources + 1).collect()
     if len(counts) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
     names = [r["name"] for r in counts]
     plan = phases({k: -(-r["n"] // block_docs) for k, r in enumerate(counts)}, {k: weights.get(x, default_weight) for k, x in enumerate(names)})
+    kind = sizes.schema[name].dataType.simpleString()
     schedule = spark.createDataFrame(
         [(names[p["src"]], p["start"], p["first"], p["end"], p["weight"], p["total"], p["slots"]) for p in plan],
-        "s_name string, s_start long, s_first long, s_end long, s_weight long, s_total long, s_slots array<int>",
-    )  # at most most_sources**2 rows
+        f"`{name}` {kind}, `{start}` long, `{first}` long, `{end}` long, `{weight}` long, `{total}` long, `{slots}` array<int>",
+    ).alias("plan")  # at most most_sources**2 rows
     within = Window.partitionBy(source, part).orderBy(order, "doc_id", *(["text"] if "text" in docs.columns else []))
     ranked = ordered.withColumn(rank, F.row_number().over(within) - 1)
-    placed = ranked.join(F.broadcast(offsets), F.col(source).eqNullSafe(F.col("name")) & (F.col(part) == F.col("p"))).withColumn(rank, F.col(rank) + F.col("before"))
+    placed = ranked.join(F.broadcast(offsets), F.col(source).eqNullSafe(F.col(name)) & (F.col(part) == F.col(digits))).withColumn(rank, F.col(rank) + F.col(before)).drop(name, digits, before)
     numbered = placed.withColumn(block, F.floor(F.col(rank) / block_docs))
-    timed = numbered.join(F.broadcast(schedule), F.col(source).eqNullSafe(F.col("s_name")) & (F.col(block) >= F.col("s_first")) & (F.col(block) < F.col("s_end")))
-    i = F.col(block) - F.col("s_first")
-    turn, into = F.floor(i / F.col("s_weight")), (i % F.col("s_weight")).cast("int")
+    timed = numbered.join(F.broadcast(schedule), F.col(source).eqNullSafe(F.col(name)) & (F.col(block) >= F.col(first)) & (F.col(block) < F.col(end)))
+    i = F.col(block) - F.col(first)
+    turn, into = F.floor(i / F.col(weight)), (i % F.col(weight)).cast("int")
     timed = (
-        timed.withColumn(release, F.col("s_start") + F.expr(f"(`{block}` - s_first) * s_total div s_weight"))
-        .withColumn(deadline, F.col("s_start") + F.expr(f"((`{block}` - s_first + 1) * s_total + s_weight - 1) div s_weight"))
-        .withColumn(slot, F.col("s_start") + turn * F.col("s_total") + F.get("s_slots", into))
+        timed.withColumn(release, F.col(start) + F.expr(f"(`{block}` - `{first}`) * `{total}` div `{weight}`"))
+        .withColumn(deadline, F.col(start) + F.expr(f"((`{block}` - `{first}` + 1) * `{total}` + `{weight}` - 1) div `{weight}`"))
+        .withColumn(slot, F.col(start) + turn * F.col(total) + F.get(slots, into))
         .withColumn(position, F.col(slot) * block_docs + F.col(rank) % block_docs)
     )
     return timed.select(*docs.columns, block, release, deadline, slot, position)

@@ -11,11 +11,13 @@ many texts make no buckets; the sample changes what the search costs, not what
 it finds. A bucket is compared in tiles (``simhash.tiles``): numpy exclusive-or
 and bit counts of the fingerprints within a wide ``radius`` (five deviations
 beyond what 0.8 gives), with the sizes of the sets and the places of the shared
-shingle, which bound what two texts can share. Pairs that are left are verified
-on the sets themselves, in cells of texts that meet often.
+shingle, which bound what two texts can share. A tile hands on a forest of what
+it leaves possible, not all pairs.
 
-Where large groups would make many pairs, each text is first verified against
-one other in rounds, and pairs within one component are not made any more.
+The components of these forests are clusters. In a cluster all fingerprints are
+compared again in tiles, and the pairs within the radius are verified on the
+sets themselves; a tile hands on a forest of the links. A cluster with more than
+``cell`` shingles is split by salts, and each of its sets goes to as many tiles.
 
 Equal texts are one; texts without words link to one another. Nulls are empty
 texts. Repeated rows and ties leave one row. A null id comes after all others.
@@ -28,12 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.llm.common import cut_lineage, fresh, stored
 from evidentia.llm.graph import connected_components
-from evidentia.llm.simhash import facing, majority, tiles
+from evidentia.llm.simhash import facing, majority, spanning, tiles
 
 
 class _WordHashes(dict):
@@ -124,8 +126,11 @@ def _must_share(m, n):
     return (4 * (m + n) + 8) // 9
 
 
-def candidates(placed: DataFrame, *, radius: int, tile: int = 512) -> DataFrame:
-    """Pairs ``a``, ``m``, ``b``, ``n`` of texts and sizes that may link; ``placed``: the shingles of more than one text, with ``root``."""
+_HELD = ["fp", "id", "n", "at"]
+
+
+def clusters(shared: DataFrame, *, radius: int, tile: int = 4096, step: int = 1024) -> DataFrame:
+    """``node``, ``root`` of texts that may link; ``shared``: the first shingles that more than one text has, with the ``size`` of each."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,142 +139,144 @@ def candidates(placed: DataFrame, *, radius: int, tile: int = 512) -> DataFrame:
             ends = [np.cumsum(x) for x in sizes]
             within = batch.column(2).to_numpy(zero_copy_only=False)
             small = within & (sizes[0] <= 32)
-            starts = ends[0] - sizes[0]
-            found = [_small(sides[0], starts[small], sizes[0][small], radius)]
-            held = 0
+            found = [_small(sides[0], (ends[0] - sizes[0])[small], sizes[0][small], radius)]
             for k in np.flatnonzero(~small):
                 left, right = (rows[end[k] - size[k] : end[k]] for rows, end, size in zip(sides, ends, sizes))
-                for part, other in facing(left, right, within[k], 2 * tile):
+                for part, other in facing(left, right, within[k], step):
                     found.append(_between(part, other, radius))
-                    held += len(found[-1])
-                    if held > 200_000:
-                        yield _batch(found)
-                        found, held = [], 0
-            if found:
-                yield _batch(found)
-
-    met = placed.select(F.col("h").alias("key"), F.col("key").alias("id"), "size", "fp", "n", "at", "root")
-    return tiles(met, _HELD, radius=radius, tile=tile).mapInArrow(compared, "a long, m long, b long, n long").distinct()
-
+            every = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in every.T.copy()], ["a", "b"])
 
-_HELD = ["fp", "id", "n", "at", "root"]
-
-
-def _batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
-    every = np.unique(np.concatenate(pairs), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in every.T.copy()], ["a", "m", "b", "n"])
+    met = shared.select(F.col("h").alias("key"), F.col("key").alias("id"), "size", "fp", "n", "at")
+    return connected_components(tiles(met, _HELD, radius=radius, tile=tile).mapInArrow(compared, "a long, b long"))
 
 
 def _possible(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    """``a``, ``m``, ``b``, ``n``, the smaller id first, of the rows left and right that fingerprints, sizes and places leave possible."""
-    (f, a, m, i, p), (g, b, n, j, q) = left.T, right.T
+    """Which of the rows left and right fingerprints, sizes and places leave possible."""
+    (f, a, m, i), (g, b, n, j) = left.T, right.T
     # The first shingle that both have leaves room behind it for the others that they must share.
     least = _must_share(m, n)
-    ok = (np.bitwise_count((f ^ g).view(np.uint64)) <= radius) & (p != q) & (a != b) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (i + least <= m) & (j + least <= n)
-    a, m, b, n = a[ok], m[ok], b[ok], n[ok]
-    turned = a > b
-    return np.stack([np.where(turned, b, a), np.where(turned, n, m), np.where(turned, a, b), np.where(turned, m, n)], axis=1)
+    return (np.bitwise_count((f ^ g).view(np.uint64)) <= radius) & (a != b) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (i + least <= m) & (j + least <= n)
 
 
 def _between(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
-    """The pairs of one part of a tile and another, or (None) itself."""
+    """Edges of a forest of one part of a tile and another, or (None) itself."""
     other = left if right is None else right
     near = np.bitwise_count((left[:, None, 0] ^ other[None, :, 0]).view(np.uint64)) <= radius
     x, y = np.nonzero(np.triu(near, 1) if right is None else near)
-    return _possible(left[x], other[y], radius)
+    ok = _possible(left[x], other[y], radius)
+    x, y = x[ok], y[ok]
+    nodes = left[:, 1] if right is None else np.concatenate([left[:, 1], right[:, 1]])
+    return np.stack(spanning(nodes, x, y if right is None else y + len(left)), axis=1)
 
 
 def _small(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
-    """The pairs within many small tiles at once; a tile is ``sizes`` rows from ``starts`` on."""
-    found = [np.zeros((0, 4), np.int64)]
+    """The possible pairs within many small tiles at once; a tile is ``sizes`` rows from ``starts`` on."""
+    found = [np.zeros((0, 2), np.int64)]
     for size in np.unique(sizes):
         x, y = np.triu_indices(size, 1)
         at = starts[sizes == size]
         for k in range(0, len(at), 4096):
             part = at[k : k + 4096, None]
-            found.append(_possible(rows[(part + x).ravel()], rows[(part + y).ravel()], radius))
+            i, j = (part + x).ravel(), (part + y).ravel()
+            ok = _possible(rows[i], rows[j], radius)
+            found.append(np.stack([rows[i[ok], 1], rows[j[ok], 1]], axis=1))
     return np.concatenate(found)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, *, cell: int = 400_000, broadcast_rows: int = 200_000) -> DataFrame:
-    """``a``, ``b`` of those pairs whose texts resemble each other by 0.8 or more.
+def in_common(left: list[np.ndarray], right: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """How many values the sorted sets left and right share, a row for each on the left."""
+    values = np.concatenate([np.zeros(0, np.int64), *left, *right])
+    distinct, number, count = np.unique(values, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(count > 1)
+    place = np.full(len(distinct), -1)
+    place[twice] = np.arange(len(twice))
+    row = np.repeat(np.arange(len(left) + len(right)), list(map(len, [*left, *right])))
+    column = place[number]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(twice), block):
+        here = slice(*np.searchsorted(column, [at, at + block]))
+        held = np.zeros((len(left) + len(right), min(block, len(twice) - at)), np.float32)
+        held[row[here], column[here] - at] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _links(left: dict, right: dict | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest of the texts that resemble each other by 0.8 or more, of one part of a tile and another, or itself."""
+    other = left if right is None else right
+    sizes = [np.array(list(map(len, x["set"]))) for x in (left, other)]
+    m, n = sizes[0][:, None], sizes[1][None, :]
+    near = (np.bitwise_count(left["fp"][:, None] ^ other["fp"][None, :]) <= radius) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (left["key"][:, None] != other["key"][None, :])
+    x, y = np.nonzero(np.triu(near, 1) if right is None else near)
+    if len(x) <= 64:
+        common = np.array([int(_within(left["set"][i], other["set"][j]).sum()) for i, j in zip(x, y)], np.int64)
+    else:
+        common = in_common(left["set"], other["set"])[x, y]
+    ok = 9 * common >= 4 * (sizes[0][x] + sizes[1][y])
+    x, y = x[ok], y[ok]
+    nodes = left["key"] if right is None else np.concatenate([left["key"], right["key"]])
+    return spanning(nodes, x, y if right is None else y + len(left["key"]))
 
-    Pairs with a common neighbour meet in one cell, so that a set of shingles
-    goes to few places; groups of more than ``cell`` shingles are split by salts.
-    """
-    pairs = cut_lineage(pairs)
-    ends = pairs.select(F.col("a").alias("key"), F.col("b").alias("met")).union(pairs.select("b", "a"))
-    least = ends.groupBy("key").agg(F.least(F.first("key"), F.min("met")).alias("label"))
-    marked = pairs.join(least.select(F.col("key").alias("a"), F.col("label").alias("x")), "a").join(least.select(F.col("key").alias("b"), F.col("label").alias("y")), "b")
-    grouped = marked.select("a", "m", "b", "n", F.least("x", "y").alias("g"))
-    members = grouped.select("g", F.explode(F.array(F.struct(F.col("a").alias("key"), F.col("m").alias("n")), F.struct(F.col("b").alias("key"), "n"))).alias("e")).distinct()
-    salts = members.groupBy("g").agg(F.ceil(F.sum("e.n") / cell).cast("int").alias("k"))
-    part = lambda c: F.pmod(F.xxhash64(c), F.col("k")).cast("int")
-    celled = grouped.join(salts, "g").select("g", part("a").alias("s"), part("b").alias("t"), "a", "b")
-    places = celled.select("g", "s", "t", F.explode(F.array("a", "b")).alias("key")).distinct()
+
+def verified(placed: DataFrame, texts: DataFrame, width: int, *, radius: int, cell: int = 100_000, step: int = 512, broadcast_rows: int = 100_000) -> DataFrame:
+    """Edges ``a``, ``b`` that connect the texts of each cluster (``node``, ``root``) as their links do."""
+    placed = cut_lineage(placed)
+    n = placed.count()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), width) for t in part.column(1)], pa.list_(pa.int64()))], ["key", "set"])
+                every = [hashes(t.as_py(), width) for t in part.column(2)]
+                fp = np.array([majority(h) for h in every], np.uint64).view(np.int64)
+                sets = pa.array([np.unique(h.view(np.int64)) for h in every], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), sets], ["root", "key", "fp", "set"])
 
-    needed = least.select("key")
-    if 2 * pairs.count() <= broadcast_rows:
+    needed = placed.select(F.col("node").alias("key"), "root")
+    if n <= broadcast_rows:
         needed = F.broadcast(needed)
-    sets = texts.select("key", "text").join(needed, "key", "left_semi").mapInArrow(hashed, "key long, set array<long>")
-    here = ["g", "s", "t"]
-    held = places.join(sets, "key").groupBy(*here).agg(F.collect_list(F.struct("key", "set")).alias("sets"))
-    asked = celled.groupBy(*here).agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
-
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = stored(texts.select("key", "text").join(needed, "key").select("root", "key", "text").mapInArrow(hashed, "root long, key long, fp long, set array<long>"))
+    salts = sets.groupBy("root").agg(F.ceil(F.sum(F.size("set")) / cell).cast("int").alias("k"))
+    if n <= broadcast_rows:
+        salts = F.broadcast(salts)
+    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
+    spread = sets.join(salts, "root").withColumn("s", own).withColumn("u", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    item = F.struct("key", "fp", "set")
+    first = F.col("s") <= F.col("u")
+    cells = spread.groupBy("root", F.least("s", "u").alias("p"), F.greatest("s", "u").alias("q")).agg(F.collect_list(F.when(first, item)).alias("left"), F.collect_list(F.when(~first, item)).alias("right"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for sets, pairs in zip(batch.column(0), batch.column(1)):
-                members, lists = sets.values.field("key").to_pylist(), sets.values.field("set")
-                own = {key: lists[k].values.to_numpy() for k, key in enumerate(members)}
-                for x, y in zip(pairs.values.field("a").to_pylist(), pairs.values.field("b").to_pylist()):
-                    s, t = own[x], own[y]
-                    if 9 * int(_within(s, t).sum()) >= 4 * (len(s) + len(t)):
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return asked.join(held, here).select("sets", "pairs").mapInArrow(alike, "a long, b long")
-
-
-def similar_texts(texts: DataFrame, *, width: int = 5, radius: int = 24, sample: int = 5_000, most_often: int = 500_000, pairs_a_row: int = 10, most_rounds: int = 6) -> DataFrame:
+            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for k in range(batch.num_rows):
+                left, right = ([batch.column(c)[k].values.field(f) for f in ("key", "fp", "set")] for c in (0, 1))
+                left, right = ({"key": x[0].to_numpy(), "fp": x[1].to_numpy().view(np.uint64), "set": [v.values.to_numpy() for v in x[2]]} for x in (left, right))
+                sides = [[{f: v[at : at + step] for f, v in x.items()} for at in range(0, len(x["key"]), step)] for x in (left, right)]
+                if batch.column(2)[k].as_py():
+                    pairs = [(x, y if x is not y else None) for i, x in enumerate(sides[0]) for y in sides[0][i:]]
+                else:
+                    pairs = [(x, y) for x in sides[0] for y in sides[1]]
+                for x, y in pairs:
+                    i, j = _links(x, y, radius)
+                    a.append(i)
+                    b.append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+    return cells.select("left", "right", (F.col("p") == F.col("q")).alias("within")).mapInArrow(linked, "a long, b long")
+
+
+def similar_texts(texts: DataFrame, *, width: int = 5, radius: int = 24, sample: int = 5_000, most_often: int = 500_000, **parameters) -> DataFrame:
     """Edges ``a``, ``b`` that connect all texts of one component; ``texts`` has distinct ``key`` and ``text``."""
     rows = first_shingles(texts, width, _often(texts, width, sample, most_often))
-    shared = stored(rows.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1"))
-    most = 1_000_000 + pairs_a_row * shared.count()
-    edges = None
-    placed = shared.withColumn("root", F.col("key"))
-    # What a text is found by as the smaller, or the equal, of two.
-    own = F.col("at") <= F.col("n") - F.floor((8 * F.col("n") + 8) / 9)
-    for number in range(most_rounds):
-        sizes = placed.groupBy("h", "root").agg(F.count("*").alias("m"), F.count_if(own).alias("s")).groupBy("h").agg(F.sum("m").alias("m"), F.sum("s").alias("s"), F.sum(F.col("m") * F.col("s")).alias("same"))
-        if (sizes.agg(F.sum(F.col("m").cast("double") * F.col("s") - F.col("same"))).first()[0] or 0) <= most:
-            break
-        small = placed.filter(own)
-        centre = small.groupBy("h").agg(F.min(F.struct(F.xxhash64("root", F.lit(number)).alias("r"), F.xxhash64("key").alias("k"), F.col("key").alias("c"), F.col("n").alias("c_n"), F.col("root").alias("c_root"))).alias("s")).select("h", "s.*")
-        near = 5 * F.least("n", "c_n") >= 4 * F.greatest("n", "c_n")
-        met = small.join(centre, "h").filter((F.col("root") != F.col("c_root")) & near)
-        best = met.groupBy("key", "n", "c", "c_n").count().groupBy("key", "n").agg(F.max(F.struct("count", "c", "c_n")).alias("s"))
-        first = F.col("key") < F.col("s.c")
-        turn = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).cast("long").alias(name)
-        asked = cut_lineage(best.select(turn("key", "s.c", "a"), turn("n", "s.c_n", "m"), turn("s.c", "key", "b"), turn("s.c_n", "n", "n")).distinct())
-        found = cut_lineage(verified(asked, texts, width))
-        edges = found if edges is None else edges.union(found)
-        roots = cut_lineage(connected_components(edges).select(F.col("node").alias("key"), F.col("root").alias("r")))
-        placed = shared.join(roots, "key", "left").select("h", "size", "key", "n", "at", "fp", F.coalesce("r", "key").alias("root"))
-        if 5 * found.count() < asked.count():
-            break
-    found = cut_lineage(verified(candidates(placed, radius=radius), texts, width))
-    return found if edges is None else edges.union(found)
-
-
-def one_of_each(docs: DataFrame, *, width: int = 5, broadcast_rows: int = 200_000, **parameters) -> DataFrame:
+    shared = rows.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")
+    return verified(clusters(shared, radius=radius), texts, width, radius=radius, **parameters)
+
+
+def one_of_each(docs: DataFrame, *, width: int = 5, broadcast_rows: int = 100_000, **parameters) -> DataFrame:
     """The rows of ``docs`` with one row of each component: that of the smallest id and, in a tie, of the smallest text hash."""
     key, turn = fresh(docs, "key", "turn")
     keyed = docs.withColumn(key, F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -277,7 +284,7 @@ def one_of_each(docs: DataFrame, *, width: int = 5, broadcast_rows: int = 200_00
     by_text = Window.partitionBy(key).orderBy(F.col("doc_id").asc_nulls_last())
     distinct = stored(keyed.withColumn(turn, F.row_number().over(by_text)).filter(F.col(turn) == 1).drop(turn))
     texts = distinct.select(F.col(key).alias("key"), "doc_id", "text")
-    roots = connected_components(similar_texts(texts.select("key", "text"), width=width, **parameters))
+    roots = connected_components(similar_texts(texts.select("key", "text"), width=width, broadcast_rows=broadcast_rows, **parameters))
     placed = roots.join(texts.select(F.col("key").alias("node"), "doc_id"), "node")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "node")
     winner = placed.groupBy("root").agg(F.min(order).alias("w")).select("root", F.col("w.node").alias("keep"))

@@ -79,17 +79,8 @@ def bucket_keys(fp, blocks: int, agree: int) -> list:
     return keys
 
 
-def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links within a tile, or between two."""
-    other = left if right is None else right
-    i, j = np.nonzero(np.bitwise_count(left[:, None] ^ other[None, :]) <= radius)
-    if right is None:
-        up = i < j
-        i, j = i[up], j[up]
-    if not len(i):
-        return left[:0], left[:0]
-    nodes = left if right is None else np.concatenate([left, right])
-    j = j if right is None else j + len(left)
+def spanning(nodes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest that connects ``nodes`` as the links between places ``i`` and ``j`` do: each node and its component's first."""
     root = np.arange(len(nodes))
     while True:  # labels sink to the smallest of their component
         low = np.minimum(root[i], root[j])
@@ -104,6 +95,18 @@ def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np
     return nodes[own], nodes[root[own]]
 
 
+def _forest(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links within a tile, or between two."""
+    other = left if right is None else right
+    i, j = np.nonzero(np.bitwise_count(left[:, None] ^ other[None, :]) <= radius)
+    if right is None:
+        up = i < j
+        i, j = i[up], j[up]
+    if not len(i):
+        return left[:0], left[:0]
+    return spanning(left, i, j) if right is None else spanning(np.concatenate([left, right]), i, j + len(left))
+
+
 def tiles(met: DataFrame, columns: list[str], *, radius: int, tile: int) -> DataFrame:
     """Tiles in which any two rows of one ``key`` within ``radius`` bits meet once: ``left``, ``right``, ``within``.
 

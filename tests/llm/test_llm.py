@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, queries, simhash, toxicity
+from evidentia.llm import fingerprints, graph, langid, licenses, linededup, mixing, neardup, packing, pii, quality, queries, simhash, toxicity
 
 LONG = "alpha beta gamma delta " * 3000
 ROWS = [
@@ -45,6 +45,10 @@ def test_mixing(docs, empty):
         slots.setdefault(r.slot, set()).add(r.source)
     assert sorted(slots) == list(range(len(slots))) and all(len(s) == 1 for s in slots.values())
     assert mixing.mix_sources(empty, {}).count() == 0
+    clash = ["name", "p", "before", "s_name", "s_start", "src", "digits", "start", "first", "end", "weight", "total", "slots", "position", "n"]
+    wide = docs.select("doc_id", "source", *(F.lit(k).alias(c) for k, c in enumerate(clash)))
+    rows = mixing.mix_sources(wide, {"s0": 2}, block_docs=2).collect()
+    assert len(rows) == len(ROWS) and all(r[c] == k for r in rows for k, c in enumerate(clash))
 
 
 def test_pfair_deviation_stays_under_a_block():
@@ -143,6 +147,15 @@ def test_simhash(docs, empty):
     assert {r.doc_id: r.component_id for r in got} == want and len(got) == len(ROWS)
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.one_of_each(docs).select("doc_id").distinct().count() == len(set(want.values()))
+    clash = docs.withColumn("key", F.lit("k")).withColumn("w_id", F.lit("i")).withColumn("__key", F.lit("o")).withColumn("turn", F.lit("t"))
+    for kept in (simhash.one_of_each(clash), neardup.one_of_each(clash)):
+        assert {(r.key, r.w_id, r["__key"], r.turn) for r in kept.collect()} == {("k", "i", "o", "t")} and kept.columns == clash.columns
+
+
+def test_components_with_a_hub(spark):
+    edges = spark.range(1, 100_001).select(F.lit(500_000).cast("long").alias("a"), F.col("id").alias("b")).union(spark.createDataFrame([(7, 600_001), (800_000, 800_001)], "a long, b long"))
+    got = graph.connected_components(edges).groupBy("root").count().collect()
+    assert {r.root: r["count"] for r in got} == {1: 100_002, 800_000: 2}
 
 
 def test_simhash_tiles_lose_no_link(spark):
@@ -193,6 +206,11 @@ def test_language(spark, docs, empty):
     assert mixed[3].lang_pred == mixed[4].lang_pred == mixed[7].lang_pred == "und" and mixed[3].score == 0
     assert langid.fit_languages(empty, F.lit(True)) is None
     assert langid.identify_languages(docs, None).filter("lang_pred <> 'und'").count() == 0
+    both = langid.identify_languages(docs.withColumn("lang_pred", F.lit("x")).withColumn("score", F.lit("y")), model, ("doc_id", "lang_pred", "score"))
+    assert both.columns == ["doc_id", "lang_pred", "score", "lang_pred_", "score_"] and both.filter("lang_pred = 'x' AND score = 'y'").count() == len(ROWS)
+    # More languages than are learnt: the most frequent ones are.
+    many = train.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("x"), F.col("doc_id"))).otherwise(F.col("lang")))
+    assert {r.lang_pred for r in langid.identify_languages(train, langid.fit_languages(many, F.lit(True), sample_rows=80, most_languages=4)).collect()} <= {"en", "de", "fr", "es", "und"}
 
 
 def test_line_dedup(docs, empty):

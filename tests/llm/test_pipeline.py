@@ -42,9 +42,9 @@ def test_near_dedup_verifies_resemblance(spark):
     want = _kept(rows)
     got = [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
     assert len(got) == len(set(got)) and set(got) == want
-    # Rounds against one other text each, and no common shingle put last, find the same.
-    rounds = [r.doc_id for r in neardup.one_of_each(docs, sample=1, most_often=1, pairs_a_row=-10**6).collect()]
-    assert sorted(rounds) == sorted(got)
+    # Clusters cut into many cells, and no common shingle put last, find the same.
+    cells = [r.doc_id for r in neardup.one_of_each(docs, sample=1, most_often=1, cell=200, step=2, broadcast_rows=1).collect()]
+    assert sorted(cells) == sorted(got)
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
