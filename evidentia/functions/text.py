@@ -21,6 +21,13 @@ which who why how does did do this these those there their its not no
 """.split()
 
 
+#: What is left of a citation, white space that goes before a closing mark, an address, and how a sentence ends.
+EMPTY_CITATION = r"\s*[\[(][\s,;]*[\])]"
+BEFORE_MARK = r"\s+([,.;:!?)\]])"
+URL = r"https?://[^\s)>\]]+"
+SENTENCE_END = r"""[.!?][)"'\]]?$|\]$"""
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end, of any kind."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -41,10 +48,24 @@ def content_tokens(text: Column) -> Column:
 
 
 def normalise(text: Column) -> Column:
-    """Empty citation brackets out, white space to one blank, none before closing marks, stripped; in that order."""
-    text = F.regexp_replace(text, r"(?U)\[[\s,;]*\]|\([\s,;]*\)", "")
+    """White space to one blank, empty citation brackets out with what is before them, none before closing marks, stripped."""
+    text = F.regexp_replace(text, "(?U)" + EMPTY_CITATION, "")
     text = F.regexp_replace(text, r"(?U)\s+", " ")
-    return strip(F.regexp_replace(text, r" ([,.;:!?)\]])", "$1"))
+    return strip(F.regexp_replace(text, "(?U)" + BEFORE_MARK, "$1"))
+
+
+def blocks(text: Column, separator: str = "\n\n") -> Column:
+    """``char_start``, ``char_end`` and ``text`` of the pieces between separators, trimmed, blank ones left out."""
+    pieces = F.split(text, separator)
+    bare = F.transform(pieces, lambda p: F.struct(F.length(p).alias("size"), (F.length(p) - F.length(F.regexp_replace(p, r"(?U)^\s+", ""))).alias("lead"), strip(p).alias("text")))
+    none = F.array().cast("array<struct<char_start:bigint,char_end:bigint,text:string>>")
+
+    def laid(acc: Column, p: Column) -> Column:
+        start = (acc["at"] + p["lead"]).cast("long")
+        one = F.array(F.struct(start.alias("char_start"), (start + F.length(p["text"])).alias("char_end"), p["text"].alias("text")))
+        return F.struct((acc["at"] + p["size"] + len(separator)).cast("long").alias("at"), F.when(p["text"] != "", F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(bare, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), laid, lambda acc: acc["out"])
 
 
 def same_refusal(answer: Column, refusal: Column) -> Column:

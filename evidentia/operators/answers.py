@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import band, judge_terms, same_refusal, share_of, words
+from evidentia.functions.text import band, judge_terms, same_refusal, share_of, strip, words
 
 VERDICTS = ["correct", "partially_correct", "incorrect", "abstained", "unparsed"]
 
@@ -75,6 +75,68 @@ def judge_summary(judged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rolling_load(calls: DataFrame, ts: str, tokens: Column, seconds: int = 60) -> DataFrame:
-    """Requests and tokens of the ``seconds`` before and up to each call, of one client (``client``)."""
-    window = Window.partitionBy("client").orderBy(F.col(ts).cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
-    return calls.withColumn("tokens", tokens).withColumn("window_requests", F.count("*").over(window)).withColumn("window_tokens", F.sum("tokens").over(window))
+    """Requests and tokens of the ``seconds`` before and up to each call, of one client (``client``).
+
+    Calls are dealt out by client and span of ``seconds``; each span also has the
+    calls of the one before, so that no task holds all calls of a client.
+    """
+    at = F.unix_seconds(F.col(ts).cast("timestamp"))
+    timed = calls.withColumn("tokens", tokens).withColumn("_at", at).withColumn("_span", F.floor(at / seconds))
+    copies = F.explode(F.array(F.struct(F.col("_span").alias("span"), F.lit(False).alias("guest")), F.struct((F.col("_span") + 1).alias("span"), F.lit(True).alias("guest"))))
+    spread = timed.withColumn("_in", copies)
+    window = Window.partitionBy("client", "_in.span").orderBy("_at").rangeBetween(-seconds, 0)
+    counted = spread.withColumn("window_requests", F.count("*").over(window)).withColumn("window_tokens", F.sum("tokens").over(window))
+    return counted.filter("NOT _in.guest").drop("_at", "_span", "_in")
+
+
+#: The scales of a judgement, their range, and the reasons why a reply is none.
+SCALES = ("faithfulness", "relevance", "completeness")
+LOWEST, HIGHEST = 1, 5
+
+
+def json_object(reply: Column) -> Column:
+    """From the first opening brace to the last closing one, of what a fence holds if there is one; null where there is none."""
+    bare = strip(reply)
+    opened = F.when(F.contains(bare, F.lit("\n")), F.regexp_replace(bare, r"(?s)\A[^\n]*\n", "")).otherwise(bare)
+    inside = F.when(F.startswith(bare, F.lit("```")), F.regexp_replace(opened, r"(?s)```(?!.*```).*\z", "")).otherwise(bare)
+    return F.nullif(F.regexp_extract(inside, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def parse_verdicts(rows: DataFrame, reply: str = "reply") -> DataFrame:
+    """``rows`` with ``verdict``, the three scales, ``rationale`` and ``error``.
+
+    A reply outside the vocabulary or the range is ``unparsed`` with the reason:
+    nothing is coerced. An abstention has no scales, even where the reply names some.
+    """
+    found = rows.withColumn("_o", json_object(F.col(reply)))
+    field = lambda name: F.get_json_object("_o", f"$.{name}")
+    named = F.replace(F.lower(strip(F.coalesce(field("verdict"), F.lit("")))), F.lit(" "), F.lit("_"))
+    number = {s: F.when(field(s) == "true", F.lit(1.0)).when(field(s) == "false", F.lit(0.0)).otherwise(F.expr(f"try_cast(get_json_object(_o, '$.{s}') AS double)")) for s in SCALES}
+    reason = F.when(F.col("_o").isNull(), "no object").when(F.expr("try_parse_json(_o) IS NULL"), "broken object").when(~named.isin(*VERDICTS[:-1]), "unknown verdict").when(named == "abstained", F.lit(None))
+    for s in SCALES:
+        reason = reason.when(field(s).isNull(), f"{s} is missing").when(number[s].isNull(), f"{s} is no number").when(~number[s].between(LOWEST, HIGHEST), f"{s} is out of range")
+    held = found.withColumn("error", reason).withColumn("verdict", F.when(F.col("error").isNull(), named).otherwise("unparsed"))
+    scored = F.col("error").isNull() & (F.col("verdict") != "abstained")
+    for s in SCALES:
+        held = held.withColumn(s, F.when(scored, number[s]))
+    return held.withColumn("rationale", F.when(F.col("error").isNull(), strip(F.coalesce(field("rationale"), F.lit(""))))).drop("_o")
+
+
+def judge_view(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """Scale means over passes and the verdict of the lowest pass, with ``correct`` and ``abstained``; an unparsed one is not correct."""
+    means = [F.round(F.avg(s), 6).alias(s) for s in SCALES]
+    per = judged.groupBy(*keys).agg(F.count("*").alias("n_passes"), F.min_by("verdict", "pass_index").alias("verdict"), *means)
+    flag = lambda v: (F.col("verdict") == v).cast("int")
+    return per.withColumn("correct", flag("correct")).withColumn("abstained", flag("abstained"))
+
+
+def self_consistency(judged: DataFrame, keys: list[str]) -> DataFrame:
+    """How the two lowest passes agree on each scale, over the questions of both: a row for each scale and the verdict."""
+    passes = judged.select("pass_index").distinct().orderBy("pass_index").limit(2).collect()
+    first, second = [r["pass_index"] for r in passes] if len(passes) == 2 else (None, None)
+    of = lambda p, side: judged.filter(F.col("pass_index").eqNullSafe(F.lit(p))).select(*keys, F.array(*(F.struct(F.lit(s).alias("scale"), F.col(s).alias("v")) for s in SCALES), F.struct(F.lit("verdict").alias("scale"), F.when(F.col("verdict") != "unparsed", F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict"))).cast("double").alias("v"))).alias(side))
+    both = of(first, "l").join(of(second, "r"), keys).select(F.explode(F.arrays_zip("l", "r")).alias("x")).select(F.col("x.l.scale").alias("scale"), F.col("x.l.v").alias("l"), F.col("x.r.v").alias("r"))
+    rated = F.col("l").isNotNull() & F.col("r").isNotNull()
+    share = lambda c: F.round(F.avg(F.when(rated, c.cast("double"))), 6)
+    near = F.when(F.col("scale") != "verdict", F.abs(F.col("l") - F.col("r")) <= 1)
+    return both.groupBy("scale").agg(F.count("*").alias("n_items"), F.count_if(rated).alias("n"), share(F.col("l") == F.col("r")).alias("exact"), share(near).alias("within_one"))

@@ -9,9 +9,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-SCHEMA = "doc_id long, chunk_index int, chunk_id string, n_tokens int, char_start int, char_end int, level int, text string, content_sha256 string"
+SCHEMA = "doc_id long, chunk_index int, chunk_id string, n_tokens int, char_start int, char_end int, level int, text string, content_sha256 string, is_last boolean"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_()]
 _TOKEN = re.compile(r"\S+")
 
 Span = tuple[int, int]
@@ -78,19 +78,21 @@ def recursive_pieces(text: str, target: int, separators: Sequence[str]) -> list[
 
 
 def chunks(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int, int | None]]]) -> DataFrame:
-    """Non-blank pieces, stripped, numbered in order, with offsets in code points. A null text has none."""
+    """Non-blank pieces, stripped, numbered in order, with offsets in code points and whether they are their document's last. A null text has none."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text, index = value.as_py() or "", 0
+                own = []
                 for a, b, level in pieces(text):
                     piece = text[a:b]
                     a, piece = a + len(piece) - len(piece.lstrip()), piece.strip()
                     if piece:
-                        rows.append((doc_id, index, f"{doc_id}-{index:04d}", len(_TOKEN.findall(piece)), a, a + len(piece), level, piece, hashlib.sha256(piece.encode()).hexdigest()))
+                        own.append((doc_id, index, f"{doc_id}-{index:04d}", len(_TOKEN.findall(piece)), a, a + len(piece), level, piece, hashlib.sha256(piece.encode()).hexdigest()))
                         index += 1
+                rows += [(*row, k + 1 == index) for k, row in enumerate(own)]
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], _NAMES)
                     rows = []

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def main_effect(facts: DataFrame, factor: str, low: str, high: str, n_cells: int = 4) -> DataFrame:
@@ -54,39 +57,42 @@ def holm(tests: DataFrame, keys: list[str], p: str = "p_value") -> DataFrame:
     return stepped.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.round(F.least(F.lit(1.0), F.max("_step").over(run)), 6))).drop("_step")
 
 
-def _signed_rank(values: np.ndarray, exact_up_to: int = 50) -> tuple[float | None, float | None]:
-    values = values[values != 0]
-    n = len(values)
-    if not n:
-        return None, None
-    ranks = pd.Series(np.abs(values)).rank().to_numpy()
-    plus, minus = ranks[values > 0].sum(), ranks[values < 0].sum()
-    effect = float((plus - minus) / (plus + minus))
-    if n > exact_up_to:
-        from math import erfc, sqrt
-
-        z = (plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24)
-        return min(1.0, erfc(abs(z) / sqrt(2))), effect
-    # Ranks doubled are whole numbers: multiply out the generating function of their signed sum.
-    law = np.ones(1)
-    for r in np.rint(2 * ranks).astype(int):
-        factor = np.zeros(r + 1)
-        factor[[0, r]] = 0.5
-        law = np.convolve(law, factor)
-    at = int(round(2 * plus))
-    return float(min(1.0, 2 * min(law[: at + 1].sum(), law[at:].sum()))), effect
-
-
-def wilcoxon(diffs: DataFrame, keys: list[str]) -> DataFrame:
-    """Two-sided signed-rank p-value and rank-biserial effect; a group is the questions of one comparison."""
-    schema = ", ".join([*(f"{k} string" for k in keys), "n long, p_value double, effect_size double"])
-
-    def tested(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf["diff"].dropna().to_numpy(float)
-        p, effect = _signed_rank(values)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), int((values != 0).sum()), p, effect]], columns=[*keys, "n", "p_value", "effect_size"])
-
-    return diffs.groupBy(*keys).applyInPandas(tested, schema)
+@F.pandas_udf(DoubleType())
+def _two_tails(z: pd.Series) -> pd.Series:
+    """The chance that a standard normal value is as far from 0 as ``z``."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+
+
+def rank_sum_chances(doubled: Column) -> Column:
+    """The chances of each sum, from 0 on, of a random half of the whole numbers ``doubled``: one number after another joins or stays out."""
+
+    def joined(law: Column, r: Column) -> Column:
+        at = lambda k: F.coalesce(F.when(k >= 0, F.get(law, k.cast("int"))), F.lit(0.0))
+        return F.transform(F.sequence(F.lit(0), F.size(law) - 1 + r), lambda k: (at(k) + at(k - r)) / 2)
+
+    return F.aggregate(doubled, F.array(F.lit(1.0)), joined)
+
+
+def wilcoxon(diffs: DataFrame, keys: list[str], exact_up_to: int = 50) -> DataFrame:
+    """``n``, two-sided signed-rank ``p_value`` and rank-biserial ``effect_size``; null where all differences are 0.
+
+    Equal magnitudes are counted before they are ranked, so a comparison's rows
+    are never in one place. Up to ``exact_up_to`` the law of the rank sum is
+    exact, ties included: ranks are doubled to whole numbers. Beyond, it is normal.
+    """
+    sizes = diffs.filter("diff <> 0").groupBy(*keys, F.abs("diff").alias("size")).agg(F.count("*").alias("m"), F.count_if(F.col("diff") > 0).alias("pos"))
+    upto = F.sum("m").over(Window.partitionBy(*keys).orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = sizes.withColumn("doubled", (2 * upto - F.col("m") + 1).cast("int"))
+    few = F.when(F.col("m") <= exact_up_to, F.array_repeat("doubled", F.col("m").cast("int")))
+    per = ranked.groupBy(*keys).agg(F.sum("m").alias("n"), F.sum(F.col("pos") * F.col("doubled")).alias("plus"), F.slice(F.flatten(F.collect_list(few)), 1, exact_up_to).alias("ranks"))
+    n, plus = F.col("n"), F.col("plus").cast("int")
+    law = F.when(n <= exact_up_to, rank_sum_chances(F.col("ranks")))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    exact = 2 * F.least(total(F.slice("law", F.lit(1), plus + 1)), total(F.slice("law", plus + 1, F.size("law"))))
+    z = (F.col("plus") / 2 - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+    p = F.when(n <= exact_up_to, exact).otherwise(_two_tails(z))
+    tested = per.withColumn("law", law).select(*keys, "n", F.least(F.lit(1.0), p).alias("p_value"), (2 * F.col("plus") / (n * (n + 1)) - 1).alias("effect_size"))
+    return diffs.select(*keys).distinct().join(tested, keys, "left").na.fill(0, ["n"])
 
 
 def interval_of_mean(values: np.ndarray, resamples: int, seed: int, level: float) -> np.ndarray:

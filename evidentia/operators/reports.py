@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MID_SENTENCE = r"([.!?][\"')\]]?|\])$"
+from evidentia.functions.text import SENTENCE_END
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -17,21 +17,18 @@ def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def tiny_census(chunks: DataFrame, thresholds: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
     """For each threshold the chunks under it: their share, how many end their document and how many don't."""
-    last = chunks.groupBy("doc_id").agg(F.max("chunk_index").alias("last"))
-    marked = chunks.select("doc_id", "chunk_index", "n_tokens").join(last, "doc_id")
     tiny = [F.col("n_tokens") < t for t in thresholds]
-    ends = F.col("chunk_index") == F.col("last")
-    one = marked.agg(F.count("*").alias("total"), *(F.count_if(x).alias(f"n{i}") for i, x in enumerate(tiny)), *(F.count_if(x & ends).alias(f"l{i}") for i, x in enumerate(tiny)))
+    ends = F.col("is_last")
+    one = chunks.agg(F.count("*").alias("total"), *(F.count_if(x).alias(f"n{i}") for i, x in enumerate(tiny)), *(F.count_if(x & ends).alias(f"l{i}") for i, x in enumerate(tiny)))
     rows = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{i}").alias("n"), F.col(f"l{i}").alias("n_last")) for i, t in enumerate(thresholds)))
     return one.select("total", F.explode(rows).alias("r")).select("r.*", F.round(F.col("r.n") / F.col("total"), 4).alias("share"), (F.col("r.n") - F.col("r.n_last")).alias("n_mid"))
 
 
 def mid_sentence(chunks: DataFrame) -> DataFrame:
     """Chunks that don't end with a sentence, in all and among those that aren't their document's last."""
-    last = chunks.groupBy("doc_id").agg(F.max("chunk_index").alias("last"))
-    cut = ~F.rlike(F.col("text"), F.lit(MID_SENTENCE))
-    inner = F.col("chunk_index") < F.col("last")
-    out = chunks.join(last, "doc_id").agg(F.count("*").alias("n"), F.count_if(cut).alias("n_cut"), F.count_if(inner).alias("n_inner"), F.count_if(cut & inner).alias("n_inner_cut"))
+    cut = ~F.rlike(F.col("text"), F.lit(SENTENCE_END))
+    inner = ~F.col("is_last")
+    out = chunks.agg(F.count("*").alias("n"), F.count_if(cut).alias("n_cut"), F.count_if(inner).alias("n_inner"), F.count_if(cut & inner).alias("n_inner_cut"))
     return out.select("*", F.round(F.col("n_cut") / F.col("n"), 4).alias("share_cut"))
 
 

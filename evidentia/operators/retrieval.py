@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -24,51 +24,80 @@ def _halves(word: str) -> tuple[int, int]:
     return int(digest[:8], 16), int(digest[8:16], 16)
 
 
-def hash_vector(text: str | None, dim: int) -> np.ndarray:
-    """Each word adds 1 at one place and takes 0.5 at another, both by its hash; unit length, or zero without words."""
-    v = np.zeros(dim)
-    for word in _WORD.findall((text or "").lower()):
-        up, down = _halves(word)
-        v[up % dim] += 1
-        v[down % dim] -= 0.5
-    return v / (np.linalg.norm(v) or 1)
+def hash_vectors(text: str | None, dims: Sequence[int]) -> list[np.ndarray]:
+    """For each size: a word adds 1 at one place and takes 0.5 at another, both by its hash; unit length, or zero without words."""
+    halves = np.array([_halves(w) for w in _WORD.findall((text or "").lower())], np.int64).reshape(-1, 2)
+    out = []
+    for dim in dims:
+        v = np.bincount(halves[:, 0] % dim, minlength=dim) - 0.5 * np.bincount(halves[:, 1] % dim, minlength=dim)
+        out.append(v / (np.linalg.norm(v) or 1))
+    return out
 
 
-def hash_embed(text: Column, dim: int) -> Column:
-    @F.pandas_udf("array<double>")
+def hash_embed(text: Column, dims: Sequence[int]) -> Column:
+    """An array of the text's vectors, one of each size, from one pass over its words."""
+
+    @F.pandas_udf("array<array<double>>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_vector(t, dim).tolist())
+        return texts.map(lambda t: [v.tolist() for v in hash_vectors(t, dims)])
 
     return embed(text)
 
 
+def _leading(query: np.ndarray, score: np.ndarray, name: np.ndarray, depth: int) -> np.ndarray:
+    """Places of the ``depth`` best of each query, ties by name."""
+    order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, query))
+    rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+    return order[rank < depth]
+
+
 def nearest(queries: DataFrame, items: DataFrame, depth: int, *, most_queries: int = 20_000, block: int = 512) -> DataFrame:
     """``query_id``, ``item_id``, ``score`` (6 digits) and ``rank`` of the ``depth`` items of largest dot product.
 
-    ``queries`` (``query_id``, ``vector``) is the small side, of checked size,
-    and goes to every task; items (``item_id``, ``vector``) stay where they
-    are. Each task keeps the best of each of its batches, and a window ranks
-    what is left. Ties go by ``item_id``.
+    Queries (``query_id``, ``vector``) go to every task in blocks of about
+    ``most_queries``, a pass over the items (``item_id``, ``vector``) for each
+    block. A task keeps the best of each query over all its items and hands them
+    on once, at its end; a window ranks what is left. Ties go by ``item_id``.
     """
-    rows = queries.orderBy("query_id").limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search in several calls")
+    blocks = max(1, -(-queries.count() // most_queries))
+    passes = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [_nearest(part, items, depth, block) for part in passes])
+
+
+def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int) -> DataFrame:
+    rows = queries.orderBy("query_id").collect()
     ids = [r["query_id"] for r in rows]
-    matrix = np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1)
+    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *items.schema.fields]}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]
+        waiting, count = [held], 0
+
+        def settled() -> list[np.ndarray]:
+            query, score, name = (np.concatenate(x) for x in zip(*waiting))
+            keep = _leading(query, score, name, depth)
+            return [query[keep], score[keep], name[keep]]
+
         for batch in batches:
             if not len(ids) or not batch.num_rows:
                 continue
-            names = batch.column(0).to_pylist()
-            order = np.array(sorted(range(len(names)), key=names.__getitem__))
+            names = np.array(batch.column(0).to_pylist(), object)
+            order = np.argsort(names, kind="stable")
+            names = names[order]
             vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64)[order]
             for at in range(0, len(ids), block):
-                score = np.round(matrix[at : at + block] @ vectors.T, 6)
+                score = np.round(matrix.value[at : at + block] @ vectors.T, 6)
                 kept = np.argsort(-score, axis=1, kind="stable")[:, :depth]
                 q, c = np.repeat(np.arange(len(kept)), kept.shape[1]), kept.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([ids[at + i] for i in q]), pa.array([names[order[i]] for i in c]), pa.array(score[q, c])], ["query_id", "item_id", "score"])
+                waiting.append([q + at, score[q, c], names[c]])
+                count += len(q)
+            if count > 1_000_000:
+                waiting, count = [settled()], 0
+        query, score, name = settled()
+        for at in range(0, len(query), 50_000):
+            part = slice(at, at + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in query[part]]), pa.array(name[part].tolist()), pa.array(score[part])], ["query_id", "item_id", "score"])
 
     found = items.select("item_id", "vector").mapInArrow(best, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

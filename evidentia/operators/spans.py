@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -12,12 +13,17 @@ from pyspark.sql import functions as F
 def contained_passages(docs: DataFrame, passages: DataFrame, *, most_passages: int = 100_000) -> DataFrame:
     """``item_id``, ``doc_id``, ``gold_start``, ``gold_end``: where a passage first stands in a document.
 
-    One pass over each document finds all passages together; the passages, of
-    checked number, go to every task. Empty passages match nothing.
+    A pass over each document finds all passages of a block together; blocks of
+    about ``most_passages`` go to every task in turn. Empty passages match nothing.
     """
-    rows = passages.select("item_id", "text").filter("text <> ''").limit(most_passages + 1).collect()
-    if len(rows) > most_passages:
-        raise ValueError(f"more than {most_passages} passages: search in several calls")
+    asked = passages.select("item_id", "text").filter("text <> ''")
+    blocks = max(1, -(-asked.count() // most_passages))
+    parts = [asked.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else asked for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [_contained(docs, part) for part in parts])
+
+
+def _contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    rows = passages.collect()
     by_text: dict[str, list[int]] = {}
     for r in rows:
         by_text.setdefault(r["text"], []).append(r["item_id"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import answers, chunking, effects, reports, retrieval, spans
+from evidentia.sources.tables import stored
 
 DEPTH, BUDGET = 30, 512
 TARGETS = {"coarse": 256, "fine": 128}
@@ -43,38 +44,43 @@ def questions(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select("item_id", F.array_join(words, " ").alias("question"), F.col("text").alias("reference"))
 
 
-def dense(spark, d) -> DataFrame:
+def index(spark, d) -> DataFrame:
+    """All chunks with their vectors, made in one pass and stored: ``v`` has one of each of ``DIMS``."""
+    return stored(chunk_table(spark, d).select("chunking", "item", "doc_id", "n_tokens", "char_start", "char_end", "text", retrieval.hash_embed(F.col("text"), list(DIMS.values())).alias("v")))
+
+
+def dense(spark, d, chunks: DataFrame | None = None) -> DataFrame:
     """The nearest chunks of each question for each chunking and embedding."""
-    chunks, asked, out = chunk_table(spark, d), questions(spark, d), []
+    chunks, out = chunks or index(spark, d), []
+    asked = questions(spark, d).select(F.col("item_id").alias("query_id"), retrieval.hash_embed(F.col("question"), list(DIMS.values())).alias("v"))
     for name in TARGETS:
-        for arm, dim in DIMS.items():
-            items = chunks.filter(F.col("chunking") == name).select(F.col("item").alias("item_id"), retrieval.hash_embed(F.col("text"), dim).alias("vector"))
-            q = asked.select(F.col("item_id").alias("query_id"), retrieval.hash_embed(F.col("question"), dim).alias("vector"))
-            found = retrieval.nearest(q, items, DEPTH)
+        for k, arm in enumerate(DIMS):
+            items = chunks.filter(F.col("chunking") == name).select(F.col("item").alias("item_id"), F.get("v", F.lit(k)).alias("vector"))
+            found = retrieval.nearest(asked.select("query_id", F.get("v", F.lit(k)).alias("vector")), items, DEPTH)
             out.append(found.select(F.lit(name).alias("chunking"), F.lit(arm).alias("embedding"), F.col("query_id").alias("item_id"), F.col("item_id").alias("item"), "score", "rank"))
     return reduce(DataFrame.unionByName, out)
 
 
-def ranked(spark, d) -> DataFrame:
-    """Candidates of all eight cells with their chunks."""
-    cols = ["chunking", "item", "doc_id", "n_tokens", "char_start", "char_end", "text"]
-    met = dense(spark, d).join(chunk_table(spark, d).select(*cols), ["chunking", "item"])
+def ranked(spark, d, chunks: DataFrame | None = None) -> DataFrame:
+    """Candidates of all eight cells with their chunks; the search runs once for both reranks."""
+    chunks = chunks or index(spark, d)
+    met = stored(dense(spark, d, chunks).join(chunks.drop("v"), ["chunking", "item"]))
     off = met.withColumn("rerank", F.lit("off"))
     asked = questions(spark, d).select("item_id", "question")
     on = retrieval.rerank(met.join(asked, "item_id").withColumn("rerank", F.lit("on")), ["chunking", "embedding", "item_id"], retrieval.lexical_score(F.col("question"), F.col("text"))).drop("question")
     return off.unionByName(on)
 
 
-def selected(spark, d) -> DataFrame:
-    return retrieval.fill_budget(ranked(spark, d), CELL, BUDGET)
+def selected(spark, d, chunks: DataFrame | None = None) -> DataFrame:
+    return retrieval.fill_budget(ranked(spark, d, chunks), CELL, BUDGET)
 
 
 def metrics(spark, d) -> DataFrame:
-    g = gold(spark, d)
-    chunks = chunk_table(spark, d)
+    g = stored(gold(spark, d))
+    chunks = index(spark, d)
     met = chunks.join(g, (chunks["doc_id"] == g["gold_doc"]) & (chunks["char_start"] < g["gold_end"]) & (chunks["char_end"] > g["gold_start"]))
     n_rel = met.groupBy("chunking", "item_id").agg(F.count("*").alias("n_rel"))
-    return spans.context_metrics(selected(spark, d).drop("text", "item", "score", "used"), g, CELL, n_rel)
+    return spans.context_metrics(selected(spark, d, chunks).drop("text", "item", "score", "used"), g, CELL, n_rel)
 
 
 def facts(spark, d) -> DataFrame:
@@ -96,7 +102,7 @@ def raters(spark, d) -> DataFrame:
 
 
 def effect_rows(spark, d) -> DataFrame:
-    f = facts(spark, d)
+    f = stored(facts(spark, d))
     return reduce(DataFrame.unionByName, [effects.main_effect(f, "chunking", "coarse", "fine"), effects.main_effect(f, "embedding", "d32", "d64"), effects.main_effect(f, "rerank", "off", "on")])
 
 
@@ -228,21 +234,32 @@ def content_token_df(spark, d):
     return table(spark, d, "documents").select(terms).groupBy("term").agg(F.count("*").alias("df"))
 
 
+_EMPTY = T.EMPTY_CITATION
+
+
 @query(
-    r"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '\[[\s,;]*\]|\([\s,;]*\)', '', 'g'), '\s+', ' ', 'g'), ' ([,.;:!?)\]])', '\1', 'g'))) AS clean_sha256,
-  len(regexp_extract_all(html, '\[[\s,;]*\]|\([\s,;]*\)')) AS n_empty FROM pages"""
+    rf"""SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(html, '{_EMPTY}', '', 'g'), '\s+', ' ', 'g'), '{T.BEFORE_MARK}', '\1', 'g'))) AS clean_sha256,
+  len(regexp_extract_all(html, '{_EMPTY}')) AS n_empty FROM pages"""
 )
 def text_normalise(spark, d):
-    return table(spark, d, "pages").select("page_id", F.sha2(T.normalise(F.col("html")).cast("binary"), 256).alias("clean_sha256"), F.regexp_count("html", F.lit(r"\[[\s,;]*\]|\([\s,;]*\)")).alias("n_empty"))
+    return table(spark, d, "pages").select("page_id", F.sha2(T.normalise(F.col("html")).cast("binary"), 256).alias("clean_sha256"), F.regexp_count("html", F.lit(_EMPTY)).alias("n_empty"))
+
+
+SQL_BLOCKS = r"""
+piece AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i FROM documents),
+laid AS (SELECT doc_id, p, i, CAST(sum(length(p) + 2) OVER (PARTITION BY doc_id ORDER BY i) - length(p) - 2 AS BIGINT) AS s FROM piece),
+cut AS (SELECT doc_id, i, s + length(p) - length(regexp_replace(p, '^\s+', '')) AS char_start, regexp_replace(p, '^\s+|\s+$', '', 'g') AS block FROM laid),
+blk AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS block_no, char_start, char_start + length(block) AS char_end, block AS text FROM cut WHERE block <> '')"""
+
+
+def block_table(spark, d) -> DataFrame:
+    """The blocks between blank lines, trimmed, with their places; a document's blocks never leave its row."""
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.blocks(F.col("text"))).alias("block_no", "b")).select("doc_id", "block_no", "b.*")
 
 
-@query("""SELECT doc_id, i - 1 AS block, CAST(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(l) - 1 AS BIGINT) AS char_start, length(l) AS n_chars
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)""")
+@query(f"WITH {SQL_BLOCKS} SELECT doc_id, block_no, char_start, char_end, sha256(text) AS block_sha256 FROM blk")
 def blocks(spark, d):
-    lines = F.split("text", "\n")
-    each = table(spark, d, "documents").select("doc_id", F.posexplode(lines).alias("block", "line"))
-    run = Window.partitionBy("doc_id").orderBy("block")
-    return each.select("doc_id", "block", (F.sum(F.length("line") + 1).over(run) - F.length("line") - 1).alias("char_start"), F.length("line").alias("n_chars"))
+    return block_table(spark, d).select("doc_id", "block_no", "char_start", "char_end", F.sha2(F.col("text").cast("binary"), 256).alias("block_sha256"))
 
 
 # --- chunks -------------------------------------------------------------------
@@ -285,7 +302,7 @@ def tiny_census(spark, d):
 
 
 @query(
-    rf"""WITH {SQL_CHUNKS}, f AS (SELECT *, max(chunk_index) OVER (PARTITION BY doc_id) AS last, NOT regexp_matches(text, '([.!?]["'')\]]?|\])$') AS cut FROM chunks WHERE chunking = 'fine')
+    rf"""WITH {SQL_CHUNKS}, f AS (SELECT *, max(chunk_index) OVER (PARTITION BY doc_id) AS last, NOT regexp_matches(text, '{T.SENTENCE_END.replace("'", "''")}') AS cut FROM chunks WHERE chunking = 'fine')
 SELECT count(*) AS n, count(*) FILTER (cut) AS n_cut, count(*) FILTER (chunk_index < last) AS n_inner, count(*) FILTER (cut AND chunk_index < last) AS n_inner_cut, round(count(*) FILTER (cut) / count(*), 4) AS share_cut FROM f"""
 )
 def mid_sentence(spark, d):

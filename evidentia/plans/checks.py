@@ -18,12 +18,12 @@ COVERAGE, LEAST_TERMS = 0.8, 1
 
 
 def candidates(spark, d) -> DataFrame:
-    """Passages with their document: the first words ask, the last words answer, the document's beginning is the abstract."""
+    """Passages with their document: the first words ask, the last words answer, the document without the passage is the abstract."""
     words = F.filter(F.split(F.col("b.text"), r"\s"), lambda w: w != "")
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     met = passages.alias("b").join(gold(spark, d), "item_id").join(docs.alias("d"), F.col("d.doc_id") == F.col("gold_doc"))
     last = F.slice(words, F.greatest(F.lit(1), F.size(words) - 7), F.lit(8))
-    return met.select("item_id", F.col("gold_doc").alias("source"), F.col("b.text").alias("span"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.array_join(last, " ").alias("answer"), F.substring("d.text", 1, 400).alias("abstract"), F.col("d.text").alias("body"))
+    return met.select("item_id", F.col("gold_doc").alias("source"), F.col("b.text").alias("span"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.array_join(last, " ").alias("answer"), F.concat(F.substring("d.text", F.lit(1), F.col("gold_start").cast("int")), F.lit(" "), F.substring("d.text", F.col("gold_end").cast("int") + 1, F.length("d.text"))).alias("abstract"), F.col("d.text").alias("body"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -48,7 +48,7 @@ SQL_CANDIDATES = (
     SQL_GOLD
     + r""",
 bw AS (SELECT item_id, text, list_filter(string_split_regex(text, '\s'), lambda w: w <> '') AS w FROM benchmark),
-cand AS (SELECT bw.item_id, gold_doc AS source, bw.text AS span, array_to_string(w[1:8], ' ') AS question, array_to_string(w[greatest(1, len(w) - 7):len(w)], ' ') AS answer, substr(d.text, 1, 400) AS abstract, d.text AS body,
+cand AS (SELECT bw.item_id, gold_doc AS source, bw.text AS span, array_to_string(w[1:8], ' ') AS question, array_to_string(w[greatest(1, len(w) - 7):len(w)], ' ') AS answer, concat(substr(d.text, 1, gold_start), ' ', substr(d.text, gold_end + 1)) AS abstract, d.text AS body,
   array_to_string(w[1:3], ' ') AS prefix, array_to_string(w[greatest(1, len(w) - 2):len(w)], ' ') AS suffix FROM bw JOIN gold USING (item_id) JOIN documents d ON d.doc_id = gold_doc)"""
     + f""",
 tok AS (SELECT *, {_CT("answer")} AS ta, {_CT("question")} AS tq, {_CT("span")} AS ts, {_CT("abstract")} AS tb FROM cand),
@@ -133,9 +133,9 @@ def refusals(spark, d):
     return rows.groupBy("chunking", "embedding", "rerank").agg(F.count("*").alias("n"), F.count_if(T.same_refusal(F.col("answer"), F.lit(REFUSAL))).alias("n_refused"))
 
 
-@query(r"SELECT page_id, rtrim(regexp_extract(html, 'https?://[^\s<>\"'']+'), ').,;') AS first_url FROM pages")
+@query(rf"SELECT page_id, rtrim(regexp_extract(html, '{T.URL}'), ').,;') AS first_url FROM pages")
 def first_urls(spark, d):
-    return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract("html", r"https?://[^\s<>\"']+", 0), F.lit(").,;")).alias("first_url"))
+    return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract("html", T.URL, 0), F.lit(").,;")).alias("first_url"))
 
 
 @query()

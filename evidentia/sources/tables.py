@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -11,6 +15,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back, so that what several passes need is made once.
+
+    Only a local master may do without that setting; it then uses a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="stored-")
+    path = f"{folder}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A CSV file whose header and row lengths must be the schema's; blanks are null, and rows of blanks alone are left out."""
+    rows = spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", nullValue="", multiLine=True, escape='"').csv(path)
+    return rows.na.drop("all")
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, its keys in order, anew."""
+    rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines under an explicit schema: a missing path is an empty table, unknown keys go, a broken line fails."""
     if not exists(spark, path):

@@ -1,9 +1,14 @@
+import itertools
+import json
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import answers, chunking, effects, retrieval, spans
-from evidentia.sources.tables import append_new, read_jsonl
+from evidentia.sources.tables import append_new, read_jsonl, read_sheet, write_jsonl
 
 
 def test_fixed_windows():
@@ -54,8 +59,8 @@ def test_touching_intervals_merge(spark):
 
 
 def test_text(spark):
-    rows = spark.createDataFrame([("human APP in flies []. ",), ("works (;;;) and more [,,]",)], "t string")
-    assert [r[0] for r in rows.select(T.normalise(F.col("t"))).collect()] == ["human APP in flies.", "works and more"]
+    rows = spark.createDataFrame([("the tide turned [].  ",), ("gone (; ,) and  left [,]",), ("word []next",), ("a (;] b",)], "t string")
+    assert [r[0] for r in rows.select(T.normalise(F.col("t"))).collect()] == ["the tide turned.", "gone and left", "wordnext", "a b"]
     same = spark.createDataFrame([(" Not said... ", "Not said.", True), ("", "", False), ("x", "Not said", False)], "a string, r string, want boolean")
     assert all(r.got == r.want for r in same.withColumn("got", T.same_refusal(F.col("a"), F.col("r"))).collect())
 
@@ -65,6 +70,21 @@ def test_template_values_are_not_searched(spark):
     assert one.t == "{b}-x-{b}"
 
 
+def by_enumeration(values):
+    """Signed ranks over every way to choose the signs; the normal law beyond 50."""
+    if not values:
+        return 0, None, None
+    size = sorted(map(abs, values))
+    rank = {s: sum(i + 1 for i, x in enumerate(size) if x == s) / size.count(s) for s in size}
+    n, plus = len(values), sum(rank[abs(v)] for v in values if v > 0)
+    effect = 2 * plus / (n * (n + 1) / 2) - 1
+    if n > 50:
+        return n, math.erfc(abs(plus - n * (n + 1) / 4) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24) / math.sqrt(2)), effect
+    sums = [sum(rank[abs(v)] for v, on in zip(values, signs) if on) for signs in itertools.product((0, 1), repeat=n)]
+    tail = min(sum(s <= plus for s in sums), sum(s >= plus for s in sums)) / len(sums)
+    return n, min(1.0, 2 * tail), effect
+
+
 def test_sign_wilcoxon_holm(spark):
     diffs = spark.createDataFrame([("all", float(i)) for i in range(1, 6)] + [("even", x) for x in (1.0, 2.0, 3.0, -1.0, -2.0, -3.0)] + [("ties", 0.0)], "effect string, diff double")
     got = {r.effect: r for r in effects.sign_test(diffs, ["effect"]).collect()}
@@ -72,6 +92,13 @@ def test_sign_wilcoxon_holm(spark):
     three = spark.createDataFrame([("x", v) for v in (1.0, 2.0, 3.0, 0.0)], "effect string, diff double")
     row = effects.wilcoxon(three, ["effect"]).first()
     assert (row.n, round(row.p_value, 9), row.effect_size) == (3, 0.25, 1.0)
+    rng = np.random.default_rng(4)
+    groups = {f"g{n}": [float(x) for x in rng.integers(-3, 4, n)] for n in (1, 2, 5, 8, 10)} | {"many": [float(x) for x in rng.normal(0.2, 1, 80)], "zeros": [0.0, 0.0]}
+    rows = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "effect string, diff double")
+    for r in effects.wilcoxon(rows, ["effect"]).collect():
+        n, p, effect = by_enumeration([v for v in groups[r.effect] if v])
+        assert r.n == n and (r.p_value is None) == (p is None)
+        assert p is None or (abs(r.p_value - p) < 1e-9 and abs(r.effect_size - effect) < 1e-9)
     tests = spark.createDataFrame([("f", n, p) for n, p in zip("abcdef", (0.01, 0.02, None, None, None, None))], "family string, name string, p_value double")
     assert {r.name: r.p_holm for r in effects.holm(tests, ["family"]).collect()} == {"a": 0.06, "b": 0.1, "c": None, "d": None, "e": None, "f": None}
 
@@ -111,3 +138,52 @@ def test_streamed_append_once(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string").parquet(source)
         append_stream(stream, str(tmp_path / "out"), ["k"], str(tmp_path / f"cp{run}")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_verdicts_are_parsed_strictly(spark):
+    def reply(**fields):
+        return json.dumps({"verdict": "correct", "faithfulness": 5, "relevance": 4, "completeness": 3} | fields)
+
+    cases = {
+        "Sure:\n" + reply(): ("correct", None),
+        "```json\n" + reply(verdict=" Partially Correct ") + "\n```": ("partially_correct", None),
+        "``` " + reply() + " ```": ("correct", None),
+        reply(verdict="abstained", relevance=None): ("abstained", None),
+        reply(relevance="4"): ("correct", None),
+        reply(verdict="good"): ("unparsed", "unknown verdict"),
+        reply(relevance=None): ("unparsed", "relevance is missing"),
+        reply(completeness="many"): ("unparsed", "completeness is no number"),
+        reply(faithfulness=7): ("unparsed", "faithfulness is out of range"),
+        "no braces": ("unparsed", "no object"),
+        "{broken": ("unparsed", "no object"),
+        "{broken}": ("unparsed", "broken object"),
+        "": ("unparsed", "no object"),
+    }
+    rows = spark.createDataFrame([(r,) for r in cases] + [(None,)], "reply string")
+    got = {r.reply: r for r in answers.parse_verdicts(rows).collect()}
+    assert {r: (got[r].verdict, got[r].error) for r in cases} == cases and got[None].verdict == "unparsed"
+    assert got[reply(verdict="abstained", relevance=None)].faithfulness is None
+
+
+def test_nearest_in_blocks_of_queries(spark):
+    rng = np.random.default_rng(0)
+    vectors = np.round(rng.normal(size=(300, 8)), 1)
+    items = spark.createDataFrame([(f"i{k:03d}", v.tolist()) for k, v in enumerate(vectors)], "item_id string, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors[:40])], "query_id long, vector array<double>")
+    got = {}
+    for r in retrieval.nearest(queries, items, 7, most_queries=9, block=4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.item_id
+    score = np.round(vectors[:40] @ vectors.T, 6)
+    assert got == {k: {i + 1: f"i{j:03d}" for i, j in enumerate(sorted(range(300), key=lambda j: (-score[k, j], j))[:7])} for k in range(40)}
+
+
+def test_sheet_and_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("item,verdict,score\n1,correct,4\n2,,\n,,\n")
+    rows = read_sheet(spark, str(tmp_path / "a.csv"), "item int, verdict string, score double").collect()
+    assert sorted((r.item, r.verdict, r.score) for r in rows) == [(1, "correct", 4.0), (2, None, None)]
+    for bad in ("item,mark,score\n1,x,2\n", "item,verdict,score\n1,x\n", "item,verdict,score\n1,x,2,3\n"):
+        (tmp_path / "b.csv").write_text(bad)
+        with pytest.raises(Exception):
+            read_sheet(spark, str(tmp_path / "b.csv"), "item int, verdict string, score double").collect()
+    write_jsonl(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":null,"b":1}']
