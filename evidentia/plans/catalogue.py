@@ -52,7 +52,7 @@ def index(spark, d) -> DataFrame:
 def dense(spark, d, chunks: DataFrame | None = None) -> DataFrame:
     """The nearest chunks of each question for each chunking and embedding."""
     chunks, out = chunks or index(spark, d), []
-    asked = questions(spark, d).select(F.col("item_id").alias("query_id"), retrieval.hash_embed(F.col("question"), list(DIMS.values())).alias("v"))
+    asked = stored(questions(spark, d).select(F.col("item_id").alias("query_id"), retrieval.hash_embed(F.col("question"), list(DIMS.values())).alias("v")))
     for name in TARGETS:
         for k, arm in enumerate(DIMS):
             items = chunks.filter(F.col("chunking") == name).select(F.col("item").alias("item_id"), F.get("v", F.lit(k)).alias("vector"))

@@ -180,10 +180,69 @@ def test_licenses(docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-def test_license_suppression(spark):
-    rows = spark.createDataFrame([(1, "CC BY-NC-SA 4.0"), (2, "gnu lesser general public license v2.1 or later")], "doc_id long, text string")
-    got = {r.doc_id: r.labels for r in licenses.scan_licenses(rows).collect()}
-    assert got == {1: "cc-by,cc-by-nc-sa", 2: "lgpl"}
+def _scan(text):
+    """Every rule tried at every word over the whole rest of the text; labels and score of what nothing covers."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    hits, base, turn = [], [], 0
+    order = {id(r): k for k, r in enumerate(r for rs in licenses.rules().values() for r in rs)}
+    for i in range(len(words)):
+        rest = " ".join(words[i:])
+        for rs in licenses.rules().values():
+            for pattern, label, priority, is_base in rs:
+                if m := re.match(pattern, rest, re.ASCII):
+                    found = (i, i + m[0].count(" ") + 1, priority, label)
+                    (base if is_base else hits).append(found)
+    hits = sorted(set(hits), key=lambda h: (h[0], -h[1], -h[2], h[3]))
+    labels, score = {h[3] for h in base}, 0.0
+    for k, h in enumerate(hits):
+        if not any(o[0] <= h[0] and o[1] >= h[1] and o[2] >= h[2] for o in hits[:k]):
+            labels.add(h[3])
+            score = max(score, 0.2 + 0.2 * h[2])
+    starts = [h[0] for h in base]
+    return len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({h[3] for h in base})), ",".join(sorted(labels)), round(score, 9)
+
+
+def test_license_signatures_against_brute_force(spark, docs):
+    texts = [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Neither the name of the Example Corp nor the names of its contributors may be used to endorse or promote products",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License, version 3 of the License, or (at your option) any later version",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. http://www.apache.org/licenses/LICENSE-2.0",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0 and https://creativecommons.org/licenses/by-sa/4.0/ CC BY-NC-SA 4.0",
+        "gnu lesser general public license v2.1 or later", "This is free and unencumbered software released into the public domain.", "the permission to use a mit hammer was granted", "gplv3 GPL 2 0 or later, MIT License MIT license",
+        "Tous droits réservés. Licensed and distributed under the terms of the MIT", "",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.scan_licenses(rows).collect()}
+    assert got == {k: _scan(t) for k, t in enumerate(texts)}
+    labels = [got[k][5].split(",") for k in range(9)]
+    assert "mit" in labels[0] and {"bsd", "bsd-3"} <= set(labels[1]) and labels[2] == ["isc"] and "agpl" in labels[3] and "apache" in labels[4]
+    assert {"cc-by-nc-sa", "cc-by-sa"} <= set(labels[5]) and labels[8] == [""]
+
+
+def test_license_rules_are_bounded():
+    from re import _parser
+
+    def most(tree):
+        n = 0
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                n += arg == 32
+            elif name == "BRANCH":
+                n += max(most(x) for x in arg[1])
+            elif name == "SUBPATTERN":
+                n += most(arg[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                inner = most(arg[2])
+                assert not inner or arg[1] < 100
+                n += arg[1] * inner if inner else 0
+        return n
+
+    written = licenses.SIGNATURES.strip().splitlines()
+    assert len(written) == len(set(written)) > 200
+    assert all(most(_parser.parse(p)) < licenses.REACH for rs in licenses.rules().values() for p, *_ in rs)
 
 
 def test_toxicity(spark, docs, empty):
