@@ -1,7 +1,8 @@
 """Personal data by patterns, and by what the corpus says about words beside it.
 
-Emails, addresses, card and phone numbers are found by patterns; these are the
-protected entities. The corpus then says how strongly a word in an entity's
+Emails, addresses, card and phone numbers, and secrets (a named value with a
+digit, or a key of a known form) are found by patterns; these are the protected
+entities. The corpus then says how strongly a word in an entity's
 documents gives it away. With n(e), n(t) and n(t, e) the texts that hold the
 entity, the term, and both, of N in all, the information that t gives on e is
 ``log2(N n(t, e) / (n(t) n(e)))``, and what there is to know of e is
@@ -11,7 +12,8 @@ meetings would be rarer than ``chance`` if e and t were independent, by
 Chernoff's bound. Copies of one text say a thing once.
 
 Documents that hold the entity have all occurrences of its disclosing terms
-covered by spans of the kind ``term``, except where a pattern's span lies.
+covered by spans of the kind ``term``, except where a pattern's span lies. A
+secret's span takes in its name, and yields to the other patterns.
 Offsets are code points, ends exclusive. Nulls are empty texts without spans.
 Repeated rows get equal results and count as documents of their own. An empty
 table gives no rows. Other columns are not read.
@@ -34,6 +36,12 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
+#: Names of secrets with a value of eight characters and more, one a digit, and keys of known forms.
+SECRET = (
+    r"(?i:\b(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?=[^\s\"'<>]*[0-9])[^\s\"'<>]{8,}+)"
+    r"|\b(?:AKIA[0-9A-Z]{16}|gh[pos]_[A-Za-z0-9]{36}|sk_(?:live|test)_[A-Za-z0-9]{16,}+)"
+)
+
 #: A cheap sign without which a pattern can't match.
 SIGNS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 
@@ -62,7 +70,7 @@ def _small(part: Column) -> Column:
 
 def _spans(text: Column, kind: str) -> Column:
     """Valid matches, leftmost and non-overlapping: pieces between matches and the matches, laid end to end."""
-    pattern, number = PATTERNS[kind], KINDS.index(kind)
+    pattern, number = (PATTERNS[kind], KINDS.index(kind)) if kind in KINDS else (SECRET, len(KINDS))
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
     none = F.array().cast(f"array<{_SPAN}>")
@@ -75,8 +83,8 @@ def _spans(text: Column, kind: str) -> Column:
 
     zipped = let(hits, lambda h: F.arrays_zip(F.slice(pieces, F.lit(1), F.size(h)).alias("piece"), h.alias("hit")))
     found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    sign = SIGNS[kind]
-    possible = F.contains(text, F.lit(sign)) if sign else F.lit(True)
+    sign = SIGNS.get(kind)
+    possible = F.contains(text, F.lit(sign)) if sign else F.lit(True) if kind in KINDS else F.rlike(text, F.lit(pattern))
     return F.when(possible, found).otherwise(none)
 
 
@@ -85,6 +93,11 @@ def base_spans(text: Column) -> Column:
     return F.concat(*(_spans(text, kind) for kind in KINDS))
 
 
+def secret_spans(text: Column, found: Column) -> Column:
+    """Secrets that no span of ``found`` overlaps."""
+    return F.filter(_spans(text, "secret"), lambda s: ~F.exists(found, lambda f: (f["start"] < s["end"]) & (f["end"] > s["start"])))
+
+
 def term_of(token: Column) -> Column:
     return F.lower(F.btrim(token, F.lit(_MARKS)))
 
@@ -129,7 +142,7 @@ def disclosing_terms(found: DataFrame, *, generalise: float, remove: float, chan
 
 
 def _term_spans(text: Column, terms: Column, found: Column) -> Column:
-    """Occurrences of the terms as spans of kind 4, whose ``hit`` is what takes their place."""
+    """Occurrences of the terms as spans of kind 5, whose ``hit`` is what takes their place."""
 
     def of_tokens(tokens):
         at = F.filter(F.transform(tokens, lambda t, i: F.when(F.map_contains_key(terms, term_of(t)), i)), lambda i: i.isNotNull())
@@ -139,7 +152,7 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
             lead = F.length(token) - F.length(F.ltrim(token, F.lit(_MARKS)))
             start = i + F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda acc, t: acc + F.length(t)) + lead
             put = F.when(terms[term_of(token)], F.lit("")).otherwise(F.regexp_replace(F.regexp_replace(F.btrim(token, F.lit(_MARKS)), r"\p{L}", "x"), r"\p{N}", "0"))
-            return let(start, lambda s: F.struct(F.lit(len(KINDS)).alias("kind"), s.alias("start"), (s + F.length(F.btrim(token, F.lit(_MARKS)))).alias("end"), put.alias("hit")))
+            return let(start, lambda s: F.struct(F.lit(len(KINDS) + 1).alias("kind"), s.alias("start"), (s + F.length(F.btrim(token, F.lit(_MARKS)))).alias("end"), put.alias("hit")))
 
         free = F.filter(F.transform(at, span), lambda x: ~F.exists(found, lambda f: (f["start"] < x["end"]) & (f["end"] > x["start"])))
         return free.cast(f"array<{_SPAN}>")
@@ -148,21 +161,22 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
 
 
 def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, broadcast_rows: int = 5_000) -> DataFrame:
-    """``doc_id``, ``text``, ``found`` (pattern spans) and ``terms`` (spans of disclosing terms), a row per document."""
+    """``doc_id``, ``text``, ``found`` (base spans), ``secrets`` and ``terms`` (spans of disclosing terms), a row per document."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    found = slim.withColumn("found", base_spans(F.col("text")))
-    strong = cut_lineage(disclosing_terms(found, generalise=generalise, remove=remove, chance=chance))
+    found = slim.withColumn("found", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text"), F.col("found")))
+    entities = found.withColumn("found", F.concat("found", "secrets"))
+    strong = cut_lineage(disclosing_terms(entities, generalise=generalise, remove=remove, chance=chance))
     strong = strong.select(F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
     if strong.count() <= broadcast_rows:
         strong = F.broadcast(strong)
     joined = found.join(strong, F.col("text_key") == F.col("s_key"), "left")
-    return joined.select("doc_id", "text", "found", _term_spans(F.col("text"), F.col("s_terms"), F.col("found")).alias("terms"))
+    return joined.select("doc_id", "text", "found", "secrets", _term_spans(F.col("text"), F.col("s_terms"), F.concat("found", "secrets")).alias("terms"))
 
 
 def sanitised(text: Column, found: Column, terms: Column) -> Column:
     """The text with pattern spans as ``<KIND>`` and terms generalised or removed; of overlapping pattern spans the first counts."""
-    labels = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
+    labels = F.array(*(F.lit(f"<{k.upper()}>") for k in (*KINDS, "secret")))
     shown = F.transform(found, lambda f: F.struct(f["start"].alias("start"), f["end"].alias("end"), F.get(labels, f["kind"]).alias("put")))
     hidden = F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), t["hit"].alias("put")))
     ordered = F.array_sort(F.concat(shown, hidden))
@@ -177,8 +191,9 @@ def sanitised(text: Column, found: Column, terms: Column) -> Column:
 
 def digest(personal: DataFrame) -> DataFrame:
     """Counts by kind, a hash of the pattern spans, and all spans as text."""
-    names = F.array(*map(F.lit, (*KINDS, "term")))
+    names = F.array(*map(F.lit, (*KINDS, "secret", "term")))
     spelled = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
     kinds = F.transform("found", lambda f: f["kind"])
     counts = [F.size(F.filter(kinds, lambda x: x == F.lit(KINDS.index(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS]  # noqa: B023
-    return personal.select("doc_id", *counts, F.sha2(spelled(F.col("found")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("found", "terms")).alias("spans"))
+    counts.append(F.size("secrets").cast("long").alias("n_secret"))
+    return personal.select("doc_id", *counts, F.sha2(spelled(F.col("found")).cast("binary"), 256).alias("base_sha256"), spelled(F.concat("found", "secrets", "terms")).alias("spans"))
