@@ -110,13 +110,17 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(_tokens(text), term_of)), lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit("@")))
 
 
-def disclosing_terms(found: DataFrame, *, generalise: float, remove: float, chance: float) -> DataFrame:
-    """``text_key`` and ``terms``, a map from term to whether it is removed, for texts with disclosing terms."""
-    held = found.filter(F.size("found") > 0).dropDuplicates(["text_key"])
-    entities = F.array_distinct(F.transform("found", lambda f: F.lower(f["hit"])))
+def disclosing_terms(slim: DataFrame, holding: DataFrame, *, generalise: float, remove: float, chance: float, broadcast_rows: int) -> DataFrame:
+    """``text_key`` and ``terms``, a map from term to whether it is removed, for texts with disclosing terms.
+
+    ``slim``: all rows' ``text_key`` and ``text``; ``holding``: those with entities, and their spans ``hits``.
+    """
+    held = holding.dropDuplicates(["text_key"])
+    entities = F.array_distinct(F.transform("hits", lambda f: F.lower(f["hit"])))
     held = stored(held.select("text_key", entities.alias("entities"), _terms(F.col("text")).alias("terms")))
     holds = held.select("text_key", F.explode("entities").alias("entity"))
-    n = float(max(2, found.select("text_key").distinct().count()))
+    copies = cut_lineage(slim.groupBy("text_key").agg(F.count("*").alias("copies")))
+    n = float(max(2, copies.count()))
     n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
     # At this count or less can a term say enough of an entity that n_e texts hold.
     most = F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(F.col("n_e"), F.lit(generalise)) * (1 + 1e-9)
@@ -124,8 +128,12 @@ def disclosing_terms(found: DataFrame, *, generalise: float, remove: float, chan
     if top is None:
         return held.select("text_key", F.create_map().cast("map<string,boolean>").alias("terms")).limit(0)
     # Counted over all terms before the join: a common term is one row there, not one for each document.
-    own = found.select("text_key", "text").dropDuplicates(["text_key"])
-    n_t = own.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).filter(F.col("n_t") <= top)
+    # Each of so many copies counts for its share, so the texts need not be dealt out to leave one of each.
+    several = copies.filter("copies > 1")
+    if several.count() <= broadcast_rows:
+        several = F.broadcast(several)
+    own = slim.select("text_key", "text").join(several, "text_key", "left").select(_terms(F.col("text")).alias("terms"), (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    n_t = own.select(F.explode("terms").alias("term"), "share").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")).filter(F.col("n_t") <= top)
     rare = held.select("text_key", F.explode("terms").alias("term")).join(n_t, "term")
     sized = holds.join(n_e.withColumn("most", most), "entity")
     met = stored(sized.join(rare, "text_key").filter(F.col("n_t") <= F.col("most")))
@@ -160,18 +168,23 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
     return F.when(terms.isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(let(_tokens(text), of_tokens))
 
 
-def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, broadcast_rows: int = 5_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, broadcast_rows: int = 5_000, broadcast_copies: int = 200_000) -> DataFrame:
     """``doc_id``, ``text``, ``found`` (base spans), ``secrets`` and ``terms`` (spans of disclosing terms), a row per document."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
     found = slim.withColumn("found", base_spans(F.col("text"))).withColumn("secrets", secret_spans(F.col("text"), F.col("found")))
-    entities = found.withColumn("found", F.concat("found", "secrets"))
-    strong = cut_lineage(disclosing_terms(entities, generalise=generalise, remove=remove, chance=chance))
+    some = F.size(F.concat("found", "secrets")) > 0
+    # Few documents hold an entity; only these are stored and joined, the others keep where they are.
+    holding = stored(found.filter(some))
+    hits = holding.select("text_key", "text", F.concat("found", "secrets").alias("hits"))
+    strong = cut_lineage(disclosing_terms(slim, hits, generalise=generalise, remove=remove, chance=chance, broadcast_rows=broadcast_copies))
     strong = strong.select(F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
     if strong.count() <= broadcast_rows:
         strong = F.broadcast(strong)
-    joined = found.join(strong, F.col("text_key") == F.col("s_key"), "left")
-    return joined.select("doc_id", "text", "found", "secrets", _term_spans(F.col("text"), F.col("s_terms"), F.concat("found", "secrets")).alias("terms"))
+    joined = holding.join(strong, F.col("text_key") == F.col("s_key"), "left")
+    with_entities = joined.select("doc_id", "text", "found", "secrets", _term_spans(F.col("text"), F.col("s_terms"), F.concat("found", "secrets")).alias("terms"))
+    none = F.array().cast(f"array<{_SPAN}>")
+    return with_entities.unionByName(found.filter(~some).select("doc_id", "text", none.alias("found"), none.alias("secrets"), none.alias("terms")))
 
 
 def sanitised(text: Column, found: Column, terms: Column) -> Column:
