@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, simhash, toxicity
 from evidentia.llm.common import table
+from evidentia.llm.oracles import ORACLE_SQL  # noqa: F401  for the entry point
 
 
 #: Target weights of the sources that differ from 1.
@@ -82,5 +83,3 @@ QUERIES = {
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
 }
-
-ORACLE_SQL: dict[str, str] = {}
