@@ -7,9 +7,8 @@ that differ, each is cut into ``edits + 1`` segments: two lines within
 Segments are indexed by length, number and hash; a line meets the index and probes the
 segments of lines up to ``edits`` shorter at the shifts left of that bound.
 A pair that meets goes on if the counts of ten letters, which an edit changes
-by two at most, allow it. It is then verified on its texts with Spark's
-``levenshtein`` under a threshold, which computes the band of the matrix within
-it; lines link when the distance is also at most ``share`` of the longer one.
+by two at most, allow it. It is then verified on its texts by a bit-parallel
+edit distance in the band of that threshold; lines link when the distance is also at most ``share`` of the longer one.
 Classes of lines are the components of the links; the first line of a class by
 document and place stays, the others are removed. The normalised lines are
 written once to the shared folder, as later passes need them again.
@@ -92,6 +91,44 @@ def segments(lines: DataFrame, moves: list[tuple[int, int, int]], edits: int) ->
     return within.select(F.xxhash64("i", "total", slice_).alias("key"), "line", "shorter", "letters")
 
 
+def edit_distance(a: Column, b: Column, edits: int) -> Column:
+    """The edit distance of two texts if it is ``edits`` at most, else -1, by a bit-parallel band.
+
+    For each number of errors up to ``edits`` a register has a bit for each of the
+    ``2 edits + 1`` diagonals of the matrix: whether that diagonal can be reached with
+    so many. A character of ``a`` moves all of them at once.
+    """
+    full = (1 << 2 * edits + 1) - 1
+
+    def ran(left, right):
+        def moved(state, same, i):
+            out = []
+            for e in range(edits + 1):
+                reached = state[f"r{e}"].bitwiseAND(same)
+                if e:
+                    fewer = state[f"r{e - 1}"]
+                    reached = reached.bitwiseOR(fewer).bitwiseOR(F.shiftright(fewer, 1)).bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full))
+                out.append(reached)
+            return F.struct((i + 1).alias("i"), *(r.alias(f"r{e}") for e, r in enumerate(out)))
+
+        def step(state, char):
+            i = state["i"]
+            same = [F.when(F.get(right, i + d) == char, 1 << d + edits).otherwise(0) for d in range(-edits, edits + 1)]
+            dead = state[f"r{edits}"] == 0  # what fewer errors reach, more reach as well
+            return F.when(dead, state).otherwise(let(sum(same[1:], same[0]), lambda same: moved(state, same, i)))
+
+        start = F.struct(F.lit(0).alias("i"), *(F.lit((1 << e + 1) - 1 << edits).alias(f"r{e}") for e in range(edits + 1)))
+        end = F.size(right) - F.size(left)
+
+        def least(state):
+            hit = lambda e: state[f"r{e}"].bitwiseAND(F.element_at(F.array(*(F.lit(1 << d) for d in range(2 * edits + 1))), end + edits + 1)) != 0
+            return F.coalesce(*(F.when(hit(e), e) for e in range(edits + 1)), F.lit(-1))
+
+        return F.when(F.abs(end) > edits, -1).otherwise(F.aggregate(left, start, step, least))
+
+    return let(F.split(a, ""), lambda left: let(F.split(b, ""), lambda right: ran(left, right)))
+
+
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id``, ``text_key``, ``pos``, ``norm``, ``line`` (the hash of ``norm``) and ``letters`` for the lines that take part."""
     text = F.coalesce("text", F.lit(""))
@@ -118,7 +155,7 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
         involved = F.broadcast(involved)
     texts = near.join(involved, "line", "left_semi").groupBy("line").agg(F.first("norm").alias("norm"))
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
-    distance = F.levenshtein("na", "nb", edits)
+    distance = edit_distance(F.col("na"), F.col("nb"), edits)
     allowed = F.greatest(F.length("na"), F.length("nb")) * share
     return both.filter((distance >= 0) & (distance <= allowed)).select("a", "b")
 

@@ -1,14 +1,16 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import fingerprints, graph, langid, licenses, linededup, mixing, neardup, packing, pii, quality, queries, simhash, toxicity
+from evidentia.llm import fingerprints, graph, langid, licenses, linededup, mixing, neardup, oracles, packing, pii, quality, queries, simhash, toxicity
 
 LONG = "alpha beta gamma delta " * 3000
 ROWS = [
@@ -308,6 +310,22 @@ def test_segments_meet_for_all_edits(spark):
     assert found == want
 
 
+def test_bit_parallel_distance(spark):
+    dice = random.Random(5)
+    rows = [("", ""), ("", "ab"), ("abc", ""), ("same", "same"), ("x" * 700, "x" * 699 + "y")]
+    for _ in range(600):
+        a = [dice.choice("abcé😀") for _ in range(dice.randint(0, 14))]
+        b = list(a)
+        for _ in range(dice.randint(0, 4)):
+            at = dice.randint(0, len(b))
+            b[at : at + dice.randint(0, 1)] = dice.choice(["", "a", "b", "é"])
+        rows.append(("".join(a), "".join(b)))
+    pairs = spark.createDataFrame(rows, "a string, b string")
+    for edits in (1, 2, 3):
+        got = pairs.select(F.levenshtein("a", "b").alias("whole"), linededup.edit_distance(F.col("a"), F.col("b"), edits).alias("banded")).collect()
+        assert all(r["banded"] == (r["whole"] if r["whole"] <= edits else -1) for r in got)
+
+
 def test_personal_data(spark, docs, empty):
     got = {r.doc_id: r for r in pii.digest(pii.find_personal_data(docs)).collect()}
     assert (got[5].n_email, got[5].n_phone, got[8].n_card, got[3].spans) == (1, 1, 1, "")
@@ -355,3 +373,24 @@ def test_quality(spark, docs, empty):
     assert kept[0].depleted and not kept[0].kept and kept[1].kept and kept[1].removed_words == 15
     words = b"a b c x a b c y b c y".split()
     assert quality.repeated_words(words) == 10
+
+
+def in_sql(docs, sql):
+    """Columns and rows that DuckDB gives for the query over ``docs`` as `documents`."""
+    connection = duckdb.connect()
+    connection.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    connection.executemany("INSERT INTO documents VALUES (?, ?, ?)", [list(r) for r in docs.select("doc_id", "text", "source").collect()])
+    got = connection.execute(sql)
+    return by_name([c[0] for c in got.description], got.fetchall())
+
+
+def by_name(columns, rows):
+    order = sorted(range(len(columns)), key=columns.__getitem__)
+    return sorted(columns), sorted([repr(row[k]) for k in order] for row in rows)
+
+
+def test_quality_and_mixing_equal_their_sql(docs):
+    judged = quality.quality_rules(docs)
+    assert by_name(judged.columns, judged.collect()) == in_sql(docs, oracles.OP10)
+    mixed = mixing.mix_sources(docs.select("doc_id", "source"), queries.SOURCE_WEIGHTS)
+    assert by_name(mixed.columns, mixed.collect()) == in_sql(docs, oracles.OP1)
