@@ -157,7 +157,7 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     both = pairs.join(texts.select(F.col("line").alias("a"), F.col("norm").alias("na")), "a").join(texts.select(F.col("line").alias("b"), F.col("norm").alias("nb")), "b")
     distance = edit_distance(F.col("na"), F.col("nb"), edits)
     allowed = F.greatest(F.length("na"), F.length("nb")) * share
-    return both.filter((distance >= 0) & (distance <= allowed)).select("a", "b")
+    return both.filter(let(distance, lambda d: (d >= 0) & (d <= allowed))).select("a", "b")
 
 
 def without_copies(lines: DataFrame, distinct: DataFrame, place: Column, shares: int = 32768) -> DataFrame:
