@@ -73,4 +73,27 @@ WITH texts AS (
 SELECT * EXCLUDE (line_words), NOT base_failed AND NOT depleted AS kept FROM judged
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op10_quality_rules": OP10}
+OP11 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS k, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), words AS (
+  SELECT k, doc_id, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), tfs AS (
+  SELECT k, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM words GROUP BY k, term
+), sizes AS (
+  SELECT k, CAST(sum(tf) AS BIGINT) AS n FROM tfs GROUP BY k
+), totals AS (
+  SELECT count(*) AS N_, CAST(sum(n) AS BIGINT) AS L FROM sizes
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * N_ + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, N_
+), scored AS (
+  SELECT item_id, k, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * N_) // L)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN sizes USING (k), totals GROUP BY item_id, k
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0) WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_mixing": OP1, "op10_quality_rules": OP10, "op11_lexical_search": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.llm import fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, simhash, toxicity
+from evidentia.llm import alignment, binpack, fingerprints, langid, licenses, linededup, mixing, packing, pii, quality, simhash, toxicity, wavelet
 from evidentia.llm.common import table
 from evidentia.llm.oracles import ORACLE_SQL  # noqa: F401  for the entry point
 
@@ -71,6 +71,21 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.pack_best_fit(table(spark, sf_dir, "documents"), word_tokenizer(), end_id=0, seq_len=2048)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_and_count(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -82,4 +97,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii": op9_pii,
     "op10_quality_rules": op10_quality_rules,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_best_fit": op12_best_fit,
+    "op13_alignment": op13_alignment,
 }
