@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, chunk_index int, chunk_id string, n_tokens int, char_start int, char_end int, level int, text string, content_sha256 string, is_last boolean"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -16,6 +18,9 @@ _TOKEN = re.compile(r"\S+")
 
 Span = tuple[int, int]
 
+#: From coarse to fine; the empty one cuts between tokens.
+SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+
 
 def windows(n: int, target: int, overlap: int) -> Iterator[Span]:
     """Token windows; near the end, where one holds no more than the overlap, they advance by one."""
@@ -28,9 +33,32 @@ def windows(n: int, target: int, overlap: int) -> Iterator[Span]:
         at += max(1, take - overlap)
 
 
+class Tokens:
+    """The places of a text's tokens, found once; what lies between two offsets is then a matter of bisection."""
+
+    def __init__(self, text: str):
+        self.starts, self.ends = zip(*found) if (found := [m.span() for m in _TOKEN.finditer(text)]) else ((), ())
+
+    def within(self, a: int, b: int) -> tuple[int, int]:
+        """The first token that ends after ``a`` and the first that starts at ``b`` or later: those between lie in the span, cut off at its ends."""
+        return (bisect_right(self.ends, a), bisect_left(self.starts, b)) if a < b else (0, 0)
+
+    def count(self, a: int, b: int) -> int:
+        first, end = self.within(a, b)
+        return max(0, end - first)
+
+    def spans(self, a: int, b: int) -> list[Span]:
+        first, end = self.within(a, b)
+        return [(max(a, self.starts[k]), min(b, self.ends[k])) for k in range(first, end)]
+
+
+def count_tokens(text: str) -> int:
+    return len(_TOKEN.findall(text))
+
+
 def fixed_pieces(text: str, target: int, overlap: int) -> list[tuple[int, int, int | None]]:
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    return [(spans[a][0], spans[b - 1][1], None) for a, b in windows(len(spans), target, overlap)]
+    tokens = Tokens(text)
+    return [(tokens.starts[a], tokens.ends[b - 1], None) for a, b in windows(len(tokens.starts), target, overlap)]
 
 
 def recursive_pieces(text: str, target: int, separators: Sequence[str]) -> list[tuple[int, int, int | None]]:
@@ -38,43 +66,70 @@ def recursive_pieces(text: str, target: int, separators: Sequence[str]) -> list[
 
     The separator stays with what is before it. An empty separator, or none
     left, cuts between tokens. A text that fits is one piece without a level.
+    Tokens are found once; each piece is counted by bisection.
     """
-    size = lambda a, b: len(_TOKEN.findall(text, a, b))
+    tokens = Tokens(text)
 
     def by_tokens(a: int, b: int, level: int) -> Iterator[tuple[int, int, int | None]]:
-        spans = [m.span() for m in _TOKEN.finditer(text, a, b)]
+        spans = tokens.spans(a, b)
         if not spans:
             yield a, b, level
         for i in range(0, len(spans), target):
             yield spans[i][0], spans[min(i + target, len(spans)) - 1][1], level
 
-    def cut(a: int, b: int, level: int) -> Iterator[tuple[int, int, int | None]]:
-        while level < len(separators) and separators[level] and separators[level] not in text[a:b]:
+    def edges(a: int, b: int, separator: str) -> list[int]:
+        """The ends of the parts between ``a`` and ``b``."""
+        out, at = [], text.find(separator, a, b)
+        while at >= 0:
+            out.append(at + len(separator))
+            at = text.find(separator, out[-1], b)
+        return out if out and out[-1] == b else [*out, b]
+
+    if tokens.count(0, len(text)) <= target:
+        return [(0, len(text), None)] if text else []
+    # A stack in place of recursion: pieces that are whole wait their turn beside parts that are still too long.
+    waiting: list[tuple[int, int, int, bool]] = [(0, len(text), 0, False)]
+    done: list[tuple[int, int, int | None]] = []
+    while waiting:
+        a, b, level, whole = waiting.pop()
+        if whole:
+            done.append((a, b, level))
+            continue
+        while level < len(separators) and separators[level] and text.find(separators[level], a, b) < 0:
             level += 1
         if level == len(separators) or not separators[level]:
-            yield from by_tokens(a, b, min(level, len(separators) - 1))
-            return
-        ends = [a + m.end() for m in re.finditer(re.escape(separators[level]), text[a:b])]
-        edges = [a, *ends, *([b] if ends[-1] < b else [])]
-        if len(edges) == 2:  # it stands at the end only
-            yield from cut(a, b, level + 1)
-            return
-        held = None  # start, end and tokens of the open piece
-        for x, y in zip(edges, edges[1:]):
-            n = size(x, y)
-            if held and (n > target or held[2] + n > target):
-                yield held[0], held[1], level
-                held = None
+            done += by_tokens(a, b, min(level, len(separators) - 1))
+            continue
+        ends = edges(a, b, separators[level])
+        if len(ends) == 1:  # it stands at the end only
+            waiting.append((a, b, level + 1, False))
+            continue
+        parts: list[tuple[int, int, int, bool]] = []
+        held = 0  # tokens of the open piece
+        for x, y in zip([a, *ends], ends):
+            n = tokens.count(x, y)
             if n > target:
-                yield from cut(x, y, level + 1)
+                parts.append((x, y, level + 1, False))
+            elif parts and parts[-1][3] and held + n <= target:
+                parts[-1] = (parts[-1][0], y, level, True)
+                held += n
+                continue
             else:
-                held = (held[0] if held else x, y, (held[2] if held else 0) + n)
-        if held:
-            yield held[0], held[1], level
+                parts.append((x, y, level, True))
+            held = n
+        waiting += reversed(parts)
+    return done
 
-    if not text:
-        return []
-    return [(0, len(text), None)] if size(0, len(text)) <= target else list(cut(0, len(text), 0))
+
+def bare_spans(text: str, pieces: list[tuple[int, int, int | None]]) -> list[Span]:
+    """The pieces without white space at their ends, blank ones left out."""
+    out = []
+    for a, b, *_ in pieces:
+        piece = text[a:b]
+        if bare := piece.strip():
+            a += len(piece) - len(piece.lstrip())
+            out.append((a, a + len(bare)))
+    return out
 
 
 def chunks(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int, int | None]]]) -> DataFrame:
@@ -87,10 +142,9 @@ def chunks(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int, int | N
                 text, index = value.as_py() or "", 0
                 own = []
                 for a, b, level in pieces(text):
-                    piece = text[a:b]
-                    a, piece = a + len(piece) - len(piece.lstrip()), piece.strip()
-                    if piece:
-                        own.append((doc_id, index, f"{doc_id}-{index:04d}", len(_TOKEN.findall(piece)), a, a + len(piece), level, piece, hashlib.sha256(piece.encode()).hexdigest()))
+                    for a, b in bare_spans(text, [(a, b, level)]):
+                        piece = text[a:b]
+                        own.append((doc_id, index, f"{doc_id}-{index:04d}", count_tokens(piece), a, b, level, piece, hashlib.sha256(piece.encode()).hexdigest()))
                         index += 1
                 rows += [(*row, k + 1 == index) for k, row in enumerate(own)]
                 if len(rows) > 5000:
@@ -106,5 +160,24 @@ def fixed_chunks(docs: DataFrame, target: int = 128, overlap: int = 0) -> DataFr
     return chunks(docs, lambda text: fixed_pieces(text, target, overlap))
 
 
-def recursive_chunks(docs: DataFrame, target: int = 128, separators: Sequence[str] = ("\n\n", "\n", ". ", " ", "")) -> DataFrame:
+def recursive_chunks(docs: DataFrame, target: int = 128, separators: Sequence[str] = SEPARATORS) -> DataFrame:
     return chunks(docs, lambda text: recursive_pieces(text, target, separators))
+
+
+CHUNK_ROW = "chunk_index int, n_tokens int, char_start int, char_end int, level int, text string"
+
+
+class ChunkTable:
+    """The table function ``recursive_chunks(text, target)``: a row for each chunk of a text; none for a null one."""
+
+    def eval(self, text: str, target: int) -> Iterator[tuple]:
+        index = 0
+        for a, b, level in recursive_pieces(text or "", target, SEPARATORS):
+            for a, b in bare_spans(text, [(a, b, level)]):
+                yield index, count_tokens(text[a:b]), a, b, level, text[a:b]
+                index += 1
+
+
+def register_chunk_table(spark: SparkSession, name: str = "recursive_chunks") -> None:
+    """From now on SQL can say ``FROM documents, LATERAL recursive_chunks(text, 128)``."""
+    spark.udtf.register(name, F.udtf(ChunkTable, returnType=CHUNK_ROW, useArrow=True))

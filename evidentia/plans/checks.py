@@ -1,4 +1,4 @@
-"""Queries on candidate questions, evidence, topics and planning, each beside SQL that says the same."""
+"""Queries on candidate questions, evidence, topics, each beside SQL that says the same."""
 
 from __future__ import annotations
 
@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import chunking, goldset, planning
-from evidentia.plans.catalogue import REFUSAL, SQL_ANSWERS, SQL_GOLD, answered, effect_rows, gold, query, table
+from evidentia.operators import goldset
+from evidentia.plans.catalogue import REFUSAL, SQL_ANSWERS, SQL_GOLD, answered, gold, query, table
 
 UNITS = ["rows", "items", "samples", "people", "dollars", "days", "hours", "years"]
 MARKERS = {"vendor": ["inc.", " gmbh"], "kit": [" kit ", "package", "software"]}
@@ -136,18 +136,3 @@ def refusals(spark, d):
 @query(rf"SELECT page_id, rtrim(regexp_extract(html, '{T.URL}'), ').,;') AS first_url FROM pages")
 def first_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract("html", T.URL, 0), F.lit(").,;")).alias("first_url"))
-
-
-@query()
-def simulated_fills(spark, d):
-    return planning.simulated_fills(chunking.fixed_chunks(table(spark, d, "documents"), 128), 512, 20_000)
-
-
-@query()
-def sampled_windows(spark, d):
-    return planning.sampled_windows(gold(spark, d), chunking.fixed_chunks(table(spark, d, "documents"), 128), 512, 20)
-
-
-@query()
-def questions_needed(spark, d):
-    return planning.questions_needed(effect_rows(spark, d), ["effect", "metric"])
