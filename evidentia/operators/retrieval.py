@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,14 +35,24 @@ def hash_vectors(text: str | None, dims: Sequence[int]) -> list[np.ndarray]:
 
 def hash_embed(text: Column, dims: Sequence[int]) -> Column:
     """An array of the text's vectors, one of each size, from one pass over its words."""
+    ends = np.cumsum(dims)
 
-    @F.pandas_udf("array<array<double>>")
-    def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [v.tolist() for v in hash_vectors(t, dims)])
+    @F.arrow_udf("array<array<double>>")
+    def embed(texts: pa.Array) -> pa.Array:
+        flat = np.concatenate([np.zeros(0), *(v for text in texts for v in hash_vectors(text.as_py(), dims))])
+        inner = (np.arange(len(texts))[:, None] * ends[-1] + np.append(0, ends[:-1])).ravel()
+        vectors = pa.ListArray.from_arrays(pa.array(np.append(inner, len(flat)), pa.int32()), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(dims), pa.int32()), vectors)
 
     return embed(text)
 
 
+def flat_vectors(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as a matrix, without a Python value for each number."""
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return values.reshape(len(column), -1) if len(column) else values.reshape(0, 0)
+
+
 def _leading(query: np.ndarray, score: np.ndarray, name: np.ndarray, depth: int) -> np.ndarray:
     """Places of the ``depth`` best of each query, ties by name."""
     order = np.lexsort((np.unique(name, return_inverse=True)[1], -score, query))
@@ -64,40 +73,56 @@ def nearest(queries: DataFrame, items: DataFrame, depth: int, *, most_queries: i
     return reduce(DataFrame.unionByName, [_nearest(part, items, depth, block) for part in passes])
 
 
+def best_of_each(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+    """The ``depth`` best items of each query over all blocks, ties by name, as parts of (query, score, name).
+
+    A block is queries by number, names of items, and the score of each query and item. What
+    is held is cut down to the best whenever it exceeds ``most``.
+    """
+    waiting, count = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]], 0
+
+    def settled() -> list[np.ndarray]:
+        query, score, name = (np.concatenate(x) for x in zip(*waiting))
+        keep = _leading(query, score, name, depth)
+        return [query[keep], score[keep], name[keep]]
+
+    for query, names, score in blocks:
+        if not score.size:
+            continue
+        score = np.round(score, 6)
+        if len(names) > depth:
+            # All that are no worse than the last of the best, so that ties are settled by name later.
+            last = -np.partition(-score, depth - 1, axis=1)[:, depth - 1 : depth]
+            q, c = np.nonzero(score >= last)
+        else:
+            q, c = (x.ravel() for x in np.indices(score.shape))
+        waiting.append([query[q], score[q, c], names[c]])
+        count += len(q)
+        if count > most:
+            waiting = [settled()]
+            count = len(waiting[0][0])
+            most = max(most, 2 * count)
+    found = settled()
+    for at in range(0, len(found[0]), 50_000):
+        yield [x[at : at + 50_000] for x in found]
+
+
 def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int) -> DataFrame:
-    rows = queries.orderBy("query_id").collect()
-    ids = [r["query_id"] for r in rows]
-    matrix = queries.sparkSession.sparkContext.broadcast(np.array([r["vector"] for r in rows], dtype=np.float64).reshape(len(rows), -1))
+    asked = queries.orderBy("query_id").select("query_id", "vector").toArrow()
+    ids = asked.column(0).to_pylist()
+    matrix = queries.sparkSession.sparkContext.broadcast(flat_vectors(asked.column(1).combine_chunks()))
     kinds = {f.name: f.dataType.simpleString() for f in [*queries.schema.fields, *items.schema.fields]}
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]
-        waiting, count = [held], 0
-
-        def settled() -> list[np.ndarray]:
-            query, score, name = (np.concatenate(x) for x in zip(*waiting))
-            keep = _leading(query, score, name, depth)
-            return [query[keep], score[keep], name[keep]]
-
-        for batch in batches:
-            if not len(ids) or not batch.num_rows:
-                continue
-            names = np.array(batch.column(0).to_pylist(), object)
-            order = np.argsort(names, kind="stable")
-            names = names[order]
-            vectors = np.array(batch.column(1).to_pylist(), dtype=np.float64)[order]
-            for at in range(0, len(ids), block):
-                score = np.round(matrix.value[at : at + block] @ vectors.T, 6)
-                kept = np.argsort(-score, axis=1, kind="stable")[:, :depth]
-                q, c = np.repeat(np.arange(len(kept)), kept.shape[1]), kept.ravel()
-                waiting.append([q + at, score[q, c], names[c]])
-                count += len(q)
-            if count > 1_000_000:
-                waiting, count = [settled()], 0
-        query, score, name = settled()
-        for at in range(0, len(query), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in query[part]]), pa.array(name[part].tolist()), pa.array(score[part])], ["query_id", "item_id", "score"])
+        def blocks():
+            for batch in batches:
+                names, vectors = np.array(batch.column(0).to_pylist(), object), flat_vectors(batch.column(1))
+                for at in range(0, len(ids) if len(names) else 0, block):
+                    part = matrix.value[at : at + block]
+                    yield np.arange(at, at + len(part)), names, part @ vectors.T
+
+        for query, score, name in best_of_each(blocks(), depth):
+            yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in query]), pa.array(name.tolist()), pa.array(score)], ["query_id", "item_id", "score"])
 
     found = items.select("item_id", "vector").mapInArrow(best, f"query_id {kinds['query_id']}, item_id {kinds['item_id']}, score double")
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

@@ -15,20 +15,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back, so that what several passes need is made once.
-
-    Only a local master may do without that setting; it then uses a temporary folder.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local master may do without that setting, and has a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="stored-")
-    path = f"{folder}/{uuid.uuid4()}"
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back, so that what several passes need is made once."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
