@@ -2,8 +2,9 @@
 
 Centroids are fitted on a bounded sample; each vector lies in the list of its
 nearest centroid, a partition of the table. A search compares a query with the
-vectors of the ``probes`` lists nearest to it, and the scan reads no other
-partition; with all lists probed it is exact. An upsert takes the rows of the
+vectors of the lists nearest to it, and the scan reads no other partition; with
+all lists it is exact. How many lists hold a wanted share of the best depends on
+the vectors: it is measured on the sample and kept beside the centroids. An upsert takes the rows of the
 new ids out of the lists that hold them and writes only the lists that change.
 """
 
@@ -40,6 +41,20 @@ def fit_centroids(vectors: np.ndarray, lists: int, *, rounds: int = 12, seed: in
     return centre
 
 
+def recall_curve(vectors: np.ndarray, centre: np.ndarray, depth: int = 30, queries: int = 1000, among: int = 20_000) -> np.ndarray:
+    """The share of the ``depth`` best of some of the vectors, among the others, that the nearest 1, 2, ... lists hold."""
+    some = vectors[:among]
+    asked = some[:queries]
+    own = (some @ centre.T).argmax(axis=1)
+    score = asked @ some.T
+    np.fill_diagonal(score, -np.inf)
+    best = np.argsort(-score, axis=1)[:, : min(depth, max(0, len(some) - 1))]
+    place = np.argsort(np.argsort(-(asked @ centre.T), axis=1, kind="stable"), axis=1)
+    needed = np.take_along_axis(place, own[best], axis=1).ravel()
+    met = np.cumsum(np.bincount(needed, minlength=len(centre)))
+    return met / max(1, len(needed)) if len(needed) else np.ones(len(centre))
+
+
 def sampled(rows: DataFrame, most: int, vector: str = "vector") -> np.ndarray:
     """About ``most`` of the vectors, chosen by the hash of their id, so that the same ones are taken again."""
     share = min(1.0, most / max(1, rows.count()))
@@ -48,7 +63,7 @@ def sampled(rows: DataFrame, most: int, vector: str = "vector") -> np.ndarray:
 
 
 class VectorStore:
-    """``centroids`` and ``vectors`` (``id``, ``vector``, other columns, ``list``) under one folder."""
+    """``centroids``, ``recall`` and ``vectors`` (``id``, ``vector``, other columns, ``list``) under one folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -61,7 +76,10 @@ class VectorStore:
         """
         store = cls(rows.sparkSession, path)
         lists = lists or max(1, min(4096, round(rows.count() ** 0.5)))
-        centre = fit_centroids(sampled(rows, sample), lists)
+        known = sampled(rows, sample)
+        centre = fit_centroids(known, lists)
+        curve = [(k + 1, float(r)) for k, r in enumerate(recall_curve(known, centre))]
+        store.spark.createDataFrame(curve, "probes int, recall double").coalesce(1).write.parquet(f"{path}/recall")
         store.spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centre)], "list int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
         # Each list is written by one or a few tasks, in files of a bounded number of rows.
         store._listed(rows).repartition("list").write.partitionBy("list").option("maxRecordsPerFile", 1_000_000).parquet(f"{path}/vectors")
@@ -71,6 +89,11 @@ class VectorStore:
         rows = self.spark.read.parquet(f"{self.path}/centroids").orderBy("list").collect()
         return np.array([r["centroid"] for r in rows])
 
+    def probes(self, recall: float) -> int:
+        """The fewest lists that held this share of the best in the sample; all of them where none did."""
+        curve = self.spark.read.parquet(f"{self.path}/recall")
+        return curve.agg(F.coalesce(F.min(F.when(F.col("recall") >= recall, F.col("probes"))), F.max("probes"))).first()[0]
+
     def rows(self) -> DataFrame:
         """What the store holds; rows without an id only keep a list's folder from being skipped when it runs empty."""
         return self.spark.read.parquet(f"{self.path}/vectors").filter("id IS NOT NULL")

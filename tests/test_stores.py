@@ -35,7 +35,9 @@ def test_all_lists_are_exact_and_few_are_nearly_so(spark, rows, tmp_path):
     assert store and not VectorStore(spark, str(tmp_path / "none"))
     full = exact(rows)
     assert listed(store.search(asked(rows), 30)) == full and listed(store.search(asked(rows), 30, most_queries=4)) == full
-    near = {(q, i) for q, _, i, _ in listed(store.search(asked(rows), 30, probes=8))}
+    few = store.probes(0.95)
+    assert 1 < few < 20 and store.probes(2.0) == 39 and store.probes(0.0) == 1
+    near = {(q, i) for q, _, i, _ in listed(store.search(asked(rows), 30, probes=few))}
     assert len(near & {(q, i) for q, _, i, _ in full}) >= 0.9 * len(full)
     one = store.search(asked(rows).limit(1), 30, probes=2)
     read = one._jdf.queryExecution().executedPlan().toString()
@@ -68,6 +70,18 @@ def test_a_list_that_runs_empty_holds_nothing_any_more(spark, tmp_path):
     assert store.search(two.limit(0).select(F.col("id").alias("query_id"), "vector"), 3).count() == 0
 
 
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_recall_on_the_whole_table_of_embeddings(spark, tmp_path, size):
+    """These vectors point in all directions: nine tenths of the best need most of the lists."""
+    from evidentia.plans import stores
+
+    vectors = stores._vectors(spark, f"/root/testdata/sf{size}")
+    store = VectorStore.create(vectors, str(tmp_path / "s"))
+    full = {(r.query_id, r.item_id) for r in store.search(stores._asked(vectors), 30).collect()}
+    part = {(r.query_id, r.item_id) for r in store.search(stores._asked(vectors), 30, probes=store.probes(stores.RECALL)).collect()}
+    assert len(full & part) >= 0.9 * len(full)
+
+
 def test_ties_go_by_name_in_every_block():
     names = np.array([f"n{k}" for k in range(9, -1, -1)], object)
     blocks = [(np.array([0, 1]), names[at : at + 5], np.ones((2, 5))) for at in (0, 5)]
