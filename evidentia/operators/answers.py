@@ -111,7 +111,9 @@ def parse_verdicts(rows: DataFrame, reply: str = "reply") -> DataFrame:
     found = rows.withColumn("_o", json_object(F.col(reply)))
     field = lambda name: F.get_json_object("_o", f"$.{name}")
     named = F.replace(F.lower(strip(F.coalesce(field("verdict"), F.lit("")))), F.lit(" "), F.lit("_"))
-    number = {s: F.when(field(s) == "true", F.lit(1.0)).when(field(s) == "false", F.lit(0.0)).otherwise(F.expr(f"try_cast(get_json_object(_o, '$.{s}') AS double)")) for s in SCALES}
+    # A boolean counts as 1 or 0, a text only if it is a number: the type is the JSON value's own.
+    boolean = {s: F.expr(f"schema_of_variant(try_variant_get(try_parse_json(_o), '$.{s}', 'variant'))") == "BOOLEAN" for s in SCALES}
+    number = {s: F.when(boolean[s], (field(s) == "true").cast("double")).otherwise(F.expr(f"try_cast(get_json_object(_o, '$.{s}') AS double)")) for s in SCALES}
     reason = F.when(F.col("_o").isNull(), "no object").when(F.expr("try_parse_json(_o) IS NULL"), "broken object").when(~named.isin(*VERDICTS[:-1]), "unknown verdict").when(named == "abstained", F.lit(None))
     for s in SCALES:
         reason = reason.when(field(s).isNull(), f"{s} is missing").when(number[s].isNull(), f"{s} is no number").when(~number[s].between(LOWEST, HIGHEST), f"{s} is out of range")
@@ -140,3 +142,38 @@ def self_consistency(judged: DataFrame, keys: list[str]) -> DataFrame:
     share = lambda c: F.round(F.avg(F.when(rated, c.cast("double"))), 6)
     near = F.when(F.col("scale") != "verdict", F.abs(F.col("l") - F.col("r")) <= 1)
     return both.groupBy("scale").agg(F.count("*").alias("n_items"), F.count_if(rated).alias("n"), share(F.col("l") == F.col("r")).alias("exact"), share(near).alias("within_one"))
+
+
+def passes_side_by_side(judged: DataFrame, cell: list[str], key: str) -> DataFrame:
+    """``scale``, ``ordinal``, ``l`` and ``r`` of the two lowest passes of each cell, for the questions of both; verdicts by their number, none if unparsed."""
+    order = F.dense_rank().over(Window.partitionBy(*cell).orderBy("pass_index"))
+    lowest = judged.select(*cell, "pass_index").distinct().withColumn("turn", order).filter("turn <= 2")  # a row a pass
+    code = F.when(F.col("verdict") != "unparsed", F.array_position(F.array(*map(F.lit, VERDICTS)), F.col("verdict")).cast("double"))
+    each = F.array(*(F.struct(F.lit(s).alias("scale"), F.lit(True).alias("ordinal"), F.col(s).alias("v")) for s in SCALES), F.struct(F.lit("verdict").alias("scale"), F.lit(False).alias("ordinal"), code.alias("v")))
+    long = judged.join(F.broadcast(lowest), [*cell, "pass_index"]).select(*cell, key, "turn", F.explode(each).alias("x")).select(*cell, key, "turn", "x.*")
+    turn = lambda k: F.max(F.when(F.col("turn") == k, F.col("v")))
+    held = long.groupBy(*cell, key, "scale", "ordinal").agg(turn(1).alias("l"), turn(2).alias("r"), F.count_distinct("turn").alias("passes"))
+    return held.filter("passes = 2").drop("passes")
+
+
+def judge_report(judged: DataFrame, cell: list[str], key: str) -> DataFrame:
+    """A row a cell, over all passes: a scale's mean is that of the questions' means over passes; verdicts and rates are the lowest pass's.
+
+    Rates are 0.0 where there is no answer; a scale that no one rated has a null mean.
+    """
+    first = F.min("pass_index").over(Window.partitionBy(*cell))
+    per = judged.withColumn("first", first).groupBy(*cell, key).agg(
+        F.count("*").alias("rows"),
+        F.max(F.when(F.col("pass_index") == F.col("first"), F.col("verdict"))).alias("verdict"),
+        *(F.avg(s).alias(s) for s in SCALES),
+    )
+    passes = judged.groupBy(*cell).agg(F.count_distinct("pass_index").alias("n_passes"))
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    total = F.count("*")
+    out = per.groupBy(*cell).agg(
+        F.sum("rows").alias("n_judgements"), total.alias("n_answers"),
+        *(x for s in SCALES for x in (F.round(F.avg(s), 3).alias(s), F.count(s).alias(f"{s}_n"))),
+        *(of(v).alias(v) for v in VERDICTS), (total - of("abstained") - of("unparsed")).alias("n_scored"),
+        F.round(of("abstained") / total, 4).alias("abstention_rate"), F.round(of("correct") / total, 4).alias("correct_rate"),
+    )
+    return out.join(passes, cell)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,25 +94,93 @@ def wilcoxon(diffs: DataFrame, keys: list[str], exact_up_to: int = 50) -> DataFr
     return diffs.select(*keys).distinct().join(tested, keys, "left").na.fill(0, ["n"])
 
 
-def interval_of_mean(values: np.ndarray, resamples: int, seed: int, level: float) -> np.ndarray:
-    """The two ends of the percentile interval of the mean."""
-    rng = np.random.default_rng(seed)
-    means = [values[rng.integers(0, len(values), len(values))].mean() for _ in range(resamples)]
-    return np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
+def drawn(resample: Column, draw: Column, n: Column, seed: int) -> Column:
+    """Which of ``n`` rows a draw of a resample takes: a few rounds of squaring modulo a prime, the same on any engine."""
+    prime = F.lit(2_147_483_647).cast("long")
+    x = (resample.cast("long") * 1_000_003 + draw.cast("long") * 7_919 + F.lit(seed).cast("long") * 104_729 + 17) % prime
+    for k in (12_345, 67_891, 23_456):
+        x = (x * x + k) % prime
+    return x % n
 
 
 def bootstrap_interval(diffs: DataFrame, keys: list[str], resamples: int = 10_000, seed: int = 7, level: float = 0.95) -> DataFrame:
-    """Percentile interval of the mean over questions; none for fewer than two."""
-    schema = ", ".join([*(f"{k} string" for k in keys), "n long, mean double, ci_low double, ci_high double"])
+    """Percentile interval of the mean over questions, ``mean`` and ``n``; no interval for fewer than two.
 
-    def drawn(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = np.sort(pdf["diff"].dropna().to_numpy(float))
-        low = high = None
-        if len(values) > 1:
-            low, high = interval_of_mean(values, resamples, seed, level)
-        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), len(values), values.mean() if len(values) else None, low, high]], columns=[*keys, "n", "mean", "ci_low", "ci_high"])
-
-    return diffs.groupBy(*keys).applyInPandas(drawn, schema)
+    Resamples are rows: for each number of questions that occurs, each resample and
+    draw, the place drawn, counted before it meets the differences of that place. So
+    all comparisons share the draws, and none of them is in one task. Differences
+    count to nine digits, so that sums do not depend on their order.
+    """
+    spark = diffs.sparkSession
+    exact = diffs.filter(F.col("diff").isNotNull()).withColumn("diff", F.col("diff").cast("decimal(28,9)"))
+    place = Window.partitionBy(*keys).orderBy("diff")
+    numbered = exact.select(*keys, "diff", (F.row_number().over(place) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    sizes = numbered.filter("n > 1").select("n").distinct()
+    draws = spark.range(resamples).withColumnRenamed("id", "resample").join(F.broadcast(sizes)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    counts = draws.groupBy("n", "resample", drawn(F.col("resample"), F.col("draw"), F.col("n"), seed).alias("place")).agg(F.count("*").alias("k"))
+    means = numbered.join(counts, ["n", "place"]).groupBy(*keys, "resample").agg((F.sum(F.col("diff") * F.col("k")).cast("double") / F.max("n")).alias("m"))
+    tails = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
+    per = exact.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("diff").cast("double") / F.count("*")).alias("mean"))
+    both = diffs.select(*keys).distinct().join(per, keys, "left").join(tails, keys, "left")
+    low, high = (F.round(F.get("q", F.lit(i)), 9).alias(name) for i, name in enumerate(("ci_low", "ci_high")))
+    return both.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.round("mean", 6).alias("mean"), low, high)
+
+
+def planned_tests(diffs: DataFrame, plan: DataFrame, **resampling) -> DataFrame:
+    """Every test of the plan, with data or without: the metric's kind picks the test, and the plan says what is corrected together.
+
+    ``diffs``: ``effect``, ``metric``, ``query_id``, ``diff``. ``plan``: ``effect``,
+    ``metric``, ``kind`` (``binary`` for the sign test, else signed ranks), ``role`` and
+    ``correction`` (tests of the same one are corrected together by Holm; null: not at
+    all). A test without a p-value counts in its correction.
+    """
+    keys = ["effect", "metric"]
+    met = diffs.join(F.broadcast(plan.select(*keys, "kind")), keys)  # a plan is written by hand
+    signs = sign_test(met.filter("kind = 'binary'"), keys).select(*keys, "n_ties", "effect_size", "p_value", F.lit("sign test").alias("test"))
+    ties = met.filter("kind <> 'binary'").groupBy(*keys).agg(F.count_if(F.col("diff") == 0).alias("n_ties"))
+    ranks = wilcoxon(met.filter("kind <> 'binary'"), keys).join(ties, keys)
+    ranks = ranks.select(*keys, "n_ties", F.round("effect_size", 6).alias("effect_size"), F.round("p_value", 6).alias("p_value"), F.lit("signed ranks").alias("test"))
+    spread = bootstrap_interval(met, keys, **resampling)
+    every = plan.join(signs.union(ranks), keys, "left").join(spread, keys, "left").na.fill(0, ["n", "n_ties"])
+    corrected = holm(every.filter("correction IS NOT NULL").select("correction", *keys, "p_value"), ["correction"]).select(*keys, "p_holm")
+    return every.join(corrected, keys, "left").select(*keys, "role", "correction", "test", "n", "n_ties", "mean", "ci_low", "ci_high", "effect_size", "p_value", "p_holm")
+
+
+def agreement(pairs: DataFrame, keys: list[str], least: float, most: float) -> DataFrame:
+    """How ``l`` and ``r`` agree for each of ``keys``, in one pass: ``n``, ``exact``, ``within_one``, ``kappa``, ``rho``, four digits.
+
+    ``pairs`` has ``ordinal`` too: kappa is quadratic where it is true, over the range
+    from ``least`` to ``most`` or what lies beyond, and there alone one point apart and
+    ranks mean anything. Pairs with a null are left out; a key without others has
+    ``n`` = 0 and nulls. Pairs are counted by value first, so a task holds a key's
+    different values, never its rows.
+    """
+    keyed = [*keys, "ordinal"]
+    both = pairs.filter("l IS NOT NULL AND r IS NOT NULL").groupBy(*keyed, "l", "r").agg(F.count("*").alias("c"))
+    own = Window.partitionBy(*keyed)
+
+    def side(name: str) -> DataFrame:
+        """A value's share of the pairs, and its average rank."""
+        sizes = both.groupBy(*keyed, name).agg(F.sum("c").alias("m"))
+        upto = F.sum("m").over(own.orderBy(name).rowsBetween(Window.unboundedPreceding, 0))
+        return sizes.select(*keyed, name, F.col("m").alias("n_" + name), (upto - (F.col("m") - 1) / 2.0).alias("rank_" + name))
+
+    full = side("l").join(side("r"), keyed).join(both, [*keyed, "l", "r"], "left").na.fill(0, ["c"])
+    span = F.greatest(F.lit(most), F.max(F.greatest("l", "r")).over(own)) - F.least(F.lit(least), F.min(F.least("l", "r")).over(own))
+    apart = F.abs(F.col("l") - F.col("r"))
+    full = full.withColumn("penalty", F.when(F.col("ordinal"), F.pow(apart / span, F.lit(2))).otherwise((apart > 0).cast("double")))
+    x, y, c = F.col("rank_l"), F.col("rank_r"), F.col("c")
+    sums = full.groupBy(*keyed).agg(
+        F.sum("c").alias("n"), F.sum(c * (apart == 0).cast("int")).alias("same"), F.sum(c * (apart <= 1).cast("int")).alias("near"),
+        F.sum(F.col("penalty") * c).alias("seen"), F.sum(F.col("penalty") * F.col("n_l") * F.col("n_r")).alias("chance"),
+        F.sum(c * x).alias("sx"), F.sum(c * y).alias("sy"), F.sum(c * x * y).alias("sxy"), F.sum(c * x * x).alias("sxx"), F.sum(c * y * y).alias("syy"),
+    )
+    n = F.col("n")
+    kappa_ = F.when(F.col("chance") == 0, F.when(F.col("seen") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("seen") * n / F.col("chance"))
+    spread = (n * F.col("sxx") - F.col("sx") ** 2) * (n * F.col("syy") - F.col("sy") ** 2)
+    rho = F.when(F.col("ordinal") & (n > 1) & (spread > 0), (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(spread))
+    figures = sums.select(*keyed, "n", F.round(F.col("same") / n, 4).alias("exact"), F.round(F.when(F.col("ordinal"), F.col("near") / n), 4).alias("within_one"), F.round(kappa_, 4).alias("kappa"), F.round(rho, 4).alias("rho"))
+    return pairs.select(*keyed).distinct().join(figures, keyed, "left").na.fill(0, ["n"]).drop("ordinal")
 
 
 def kappa(pairs: DataFrame, levels: list[float], weights: str = "quadratic") -> DataFrame:
@@ -124,11 +191,9 @@ def kappa(pairs: DataFrame, levels: list[float], weights: str = "quadratic") ->
     declared = pairs.sparkSession.createDataFrame([(float(x),) for x in levels], "v double")
     scale = declared.union(left.select("l")).union(right.select("r")).distinct()
     size = scale.agg(F.count("*").alias("k"), F.max("v").alias("hi"), F.min("v").alias("lo"))
-    number = scale.withColumn("i", F.row_number().over(Window.orderBy("v")) - 1)
     total = cells.agg(F.sum("n").alias("total"))
     full = left.crossJoin(right).join(cells, ["l", "r"], "left").crossJoin(total).crossJoin(size)
-    full = full.join(number.select(F.col("v").alias("l"), F.col("i").alias("li")), "l").join(number.select(F.col("v").alias("r"), F.col("i").alias("ri")), "r")
-    apart = F.abs(F.col("li") - F.col("ri")) / F.greatest(F.lit(1), F.col("k") - 1)
+    apart = F.abs(F.col("l") - F.col("r")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     w = {"quadratic": apart * apart, "linear": apart, "none": F.when(F.col("l") == F.col("r"), 0.0).otherwise(1.0)}[weights]
     sums = full.agg(F.sum(w * F.coalesce("n", F.lit(0)) / F.col("total")).alias("seen"), F.sum(w * F.col("nl") * F.col("nr") / F.col("total") / F.col("total")).alias("chance"), F.max("total").alias("n"), F.max("k").alias("k"))
     value = F.when(F.col("k") <= 1, 1.0).when(F.col("chance") == 0, F.when(F.col("seen") == 0, 1.0).otherwise(0.0)).otherwise(1 - F.col("seen") / F.col("chance"))

@@ -474,16 +474,6 @@ def holm_corrected(spark, d):
     return effects.holm(effects.sign_test(effect_rows(spark, d), ["effect", "metric"]).select("effect", "metric", "p_value"), ["metric"])
 
 
-@query()
-def wilcoxon_tests(spark, d):
-    return effects.wilcoxon(effect_rows(spark, d), ["effect", "metric"])
-
-
-@query()
-def bootstrap_intervals(spark, d):
-    return effects.bootstrap_interval(effect_rows(spark, d), ["effect", "metric"])
-
-
 @query(
     """WITH p AS (SELECT quality::DOUBLE AS l, (1 - toxic)::DOUBLE AS r FROM labels), c AS (SELECT l, r, count(*) AS n FROM p GROUP BY ALL), t AS (SELECT sum(n) AS total FROM c),
 f AS (SELECT a.l, b.r, a.n AS nl, b.n AS nr, coalesce(c.n, 0) AS n FROM (SELECT l, sum(n) AS n FROM c GROUP BY l) a CROSS JOIN (SELECT r, sum(n) AS n FROM c GROUP BY r) b LEFT JOIN c ON c.l = a.l AND c.r = b.r)
