@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import band, judge_terms, same_refusal, share_of, strip, words
+from evidentia.functions.text import band, judge_terms, same_refusal, share_of, strip, tokens, words
 
 VERDICTS = ["correct", "partially_correct", "incorrect", "abstained", "unparsed"]
 
@@ -74,21 +74,30 @@ def judge_summary(judged: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def rolling_load(calls: DataFrame, ts: str, tokens: Column, seconds: int = 60) -> DataFrame:
-    """Requests and tokens of the ``seconds`` before and up to each call, of one client (``client``).
+def rolling_load(calls: DataFrame, ts: str, cost: Column, seconds: int = 60) -> DataFrame:
+    """Requests and tokens of the last ``seconds`` up to each call, of one client (``client``); one just ``seconds`` old has left.
 
     Calls are dealt out by client and span of ``seconds``; each span also has the
     calls of the one before, so that no task holds all calls of a client.
     """
-    at = F.unix_seconds(F.col(ts).cast("timestamp"))
-    timed = calls.withColumn("tokens", tokens).withColumn("_at", at).withColumn("_span", F.floor(at / seconds))
+    width = seconds * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    timed = calls.withColumn("tokens", cost).withColumn("_at", at).withColumn("_span", F.floor(at / width))
     copies = F.explode(F.array(F.struct(F.col("_span").alias("span"), F.lit(False).alias("guest")), F.struct((F.col("_span") + 1).alias("span"), F.lit(True).alias("guest"))))
     spread = timed.withColumn("_in", copies)
-    window = Window.partitionBy("client", "_in.span").orderBy("_at").rangeBetween(-seconds, 0)
+    window = Window.partitionBy("client", "_in.span").orderBy("_at").rangeBetween(1 - width, 0)
     counted = spread.withColumn("window_requests", F.count("*").over(window)).withColumn("window_tokens", F.sum("tokens").over(window))
     return counted.filter("NOT _in.guest").drop("_at", "_span", "_in")
 
 
+def cut_answer(rows: DataFrame, most: int) -> DataFrame:
+    """``answer`` cut off after ``most`` tokens, with ``n_completion_tokens`` and ``finish_reason``: ``length`` if it was cut, else ``stop``."""
+    held = rows.withColumn("_t", tokens(F.col("answer")))
+    cut = F.size("_t") > most
+    out = held.withColumn("answer", F.when(cut, F.array_join(F.slice("_t", 1, most), " ")).otherwise(F.col("answer")))
+    return out.withColumn("n_completion_tokens", F.least(F.size("_t"), F.lit(most))).withColumn("finish_reason", F.when(cut, "length").otherwise("stop")).drop("_t")
+
+
 #: The scales of a judgement, their range, and the reasons why a reply is none.
 SCALES = ("faithfulness", "relevance", "completeness")
 LOWEST, HIGHEST = 1, 5

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import SENTENCE_END
+from evidentia.functions.text import SENTENCE_END, strip
 
 
 def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, mean, min, max, population deviation and five linear quantiles; keys without a value have n = 0."""
+    """n, mean, min, max, population deviation and five linear quantiles, to one digit; keys without a value have n = 0."""
     quantiles = F.percentile(value, F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
     out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.round(F.avg(value), 1).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max"), F.round(F.stddev_pop(value), 1).alias("std"), quantiles.alias("q"))
-    return out.select(*keys, "n", "mean", "min", "max", "std", *(F.round(F.get("q", F.lit(i)), 6).alias(name) for i, name in enumerate(("p10", "p25", "median", "p75", "p90"))))
+    return out.select(*keys, "n", "mean", "min", "max", "std", *(F.round(F.get("q", F.lit(i)), 1).alias(name) for i, name in enumerate(("p10", "p25", "median", "p75", "p90"))))
 
 
 def tiny_census(chunks: DataFrame, thresholds: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
@@ -53,12 +53,17 @@ def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(done.select(*keys).distinct(), keys, "left_anti")
 
 
-def section_kind(title: Column, patterns: dict[str, list[str]]) -> Column:
-    """The first kind, in the order given, of which a pattern is in the lower-cased title; else ``other``."""
-    out = F.lit("other")
-    for kind, needles in reversed(list(patterns.items())):
-        hit = F.lit(False)
-        for needle in needles:
-            hit = hit | F.contains(F.lower(title), F.lit(needle))
-        out = F.when(hit, F.lit(kind)).otherwise(out)
-    return out
+def section_kind(title: Column, patterns: dict[str, list[str]], declared: Column | None = None) -> Column:
+    """The first kind, in the order given, with a pattern that the declared type begins with; else one with a pattern in the title; else ``other``. Case and outer blanks don't matter."""
+
+    def first(value: Column, fits, other: Column) -> Column:
+        out = other
+        for kind, needles in reversed(list(patterns.items())):
+            hit = F.lit(False)
+            for needle in needles:
+                hit = hit | fits(F.lower(strip(F.coalesce(value, F.lit("")))), F.lit(needle))
+            out = F.when(hit, F.lit(kind)).otherwise(out)
+        return out
+
+    by_title = first(title, F.contains, F.lit("other"))
+    return by_title if declared is None else first(declared, F.startswith, by_title)

@@ -8,24 +8,44 @@ from pyspark.sql import functions as F
 from evidentia.functions import text as T
 
 
+#: How a question with a blank begins, and the blank.
+CLOZE_LEAD, BLANK = "Complete the reported finding: ", "____"
+
+
 def eligibility(kind: Column, allowed: list[str], url: Column, patterns: list[str]) -> Column:
-    """The first reason against a document: its kind, then its license; null for an eligible one."""
-    licensed = F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(F.lower(url), F.lower(p)))
-    return F.when(~F.coalesce(kind.isin(allowed), F.lit(False)), F.lit("type")).when(~F.coalesce(licensed, F.lit(False)), F.lit("license"))
+    """The first reason against a document, with its value: its kind, then its license; null for an eligible one. An empty list lets all pass."""
+    stated = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("missing"))
+    reason = F.lit(None).cast("string")
+    if patterns:
+        licensed = F.exists(F.array(*map(F.lit, patterns)), lambda p: F.contains(url, p))
+        reason = F.when(~F.coalesce(licensed, F.lit(False)), F.concat(F.lit("license="), stated(url)))
+    if allowed:
+        reason = F.when(~F.coalesce(kind.isin(allowed), F.lit(False)), F.concat(F.lit("article_type="), stated(kind))).otherwise(reason)
+    return reason
 
 
 def take_target(rows: DataFrame, order: list, reason: str, target: int) -> DataFrame:
-    """One row: how many were considered until ``target`` passed, how many were taken and rejected, and how many are short.
+    """What became of the rows considered until ``target`` passed: ``reason`` (null: taken) and ``n``, with the totals beside each.
 
     The last row needed is the ``target``-th in the order that has no reason
-    against it: a top-k, so nothing is numbered over the whole table.
+    against it: a top-k, so nothing is numbered over the whole table. No row, no result.
     """
     keyed = rows.select(F.struct(*order).alias("place"), F.col(reason).alias("reason"))
     taken = keyed.filter("reason IS NULL").orderBy("place").limit(target)
-    end = taken.agg(F.count("*").alias("n"), F.max("place").alias("last"))
-    seen = keyed.crossJoin(F.broadcast(end)).filter((F.col("n") < target) | (F.col("place") <= F.col("last")))  # one row
-    counts = seen.agg(F.count("*").alias("considered"), F.count_if(F.col("reason").isNull()).alias("taken"))
-    return counts.select("considered", "taken", (F.col("considered") - F.col("taken")).alias("rejected"), (F.lit(target) - F.col("taken")).alias("short"))
+    end = taken.agg(F.count("*").alias("held"), F.max("place").alias("last"))
+    seen = keyed.crossJoin(F.broadcast(end)).filter((F.col("held") < target) | (F.col("place") <= F.col("last")))  # one row
+    counts = seen.groupBy("reason").agg(F.count("*").alias("n"))
+    totals = counts.agg(F.sum("n").alias("considered"), F.coalesce(F.sum(F.when(F.col("reason").isNull(), F.col("n"))), F.lit(0)).alias("taken"))
+    return counts.crossJoin(F.broadcast(totals)).withColumn("rejected", F.col("considered") - F.col("taken")).withColumn("short", F.lit(target) - F.col("taken"))  # one row
+
+
+def survey(rows: DataFrame, key: str, date: str, low: str, high: str) -> DataFrame:
+    """Different ids a year between two dates, with the totals beside each: the years are a partition if their ids add up to all hits of the whole range."""
+    hits = rows.filter(F.col(date).between(F.lit(low).cast("date"), F.lit(high).cast("date"))).select(F.col(key).alias("id"), F.year(date).alias("year"))
+    per = hits.groupBy("year").agg(F.count_distinct("id").alias("n"))
+    whole = hits.agg(F.count("*").alias("whole_range"), F.count_distinct("id").alias("unique_total"))
+    sums = per.agg(F.sum("n").alias("partition_total"))
+    return per.crossJoin(F.broadcast(sums.crossJoin(whole))).withColumn("exact", F.col("partition_total") == F.col("whole_range"))  # one row
 
 
 def overlapping_titles(chunks: DataFrame, sections: DataFrame, key: list[str]) -> DataFrame:
@@ -65,13 +85,25 @@ def within_room(rows: DataFrame, group: str, order: list, room: int, held: DataF
     return ranked.join(held, group, "left").filter(F.col("rn") <= free).drop("n_held")
 
 
-def tiered(rows: DataFrame, group: str, n: int) -> DataFrame:
-    """The first ``n`` rows: pinned ones in their order, then groups by the tier of their first row, by hash within a tier.
+def draw(rows: DataFrame, pins: DataFrame, key: str, group: str, n: int, each: int) -> DataFrame:
+    """Pinned rows in the order of their pins, then others until there are ``n``, ``each`` of a group at most, pinned ones counted.
 
-    ``rows``: ``pin`` (null if not pinned), ``tier``, ``mixed`` (a group's hash), ``rn``.
+    ``rows``: ``on_topic``, ``tier``, ``order`` (a row's turn in its group) and ``mixed``
+    (a group's turn) beside ``key`` and ``group``. ``pins``: ``key``, ``pin``. Of the
+    others only those on topic are drawn, and pinned ones are taken out before a group's
+    tier is read off its first row. A pin without its row is an error: what was reviewed
+    must stay drawable. Pinned rows are kept even if they are more than ``n``.
     """
-    first = rows.groupBy(group).agg(F.min_by("tier", "rn").alias("group_tier"))
-    return rows.join(first, group).orderBy(F.col("pin").asc_nulls_last(), "group_tier", "mixed", "rn").limit(n).drop("group_tier")
+    pinned = rows.join(F.broadcast(pins), key)  # a list written by hand
+    held = pinned.groupBy(group).agg(F.count("*").alias("n_held"))
+    found, asked = pinned.count(), pins.count()
+    if found < asked:
+        raise ValueError(f"{asked - found} pinned rows are not there any more")
+    fresh = rows.filter("on_topic").join(F.broadcast(pins.select(key)), key, "left_anti")
+    fresh = within_room(fresh, group, ["order", key], each, held)
+    first = fresh.groupBy(group).agg(F.min_by("tier", "rn").alias("group_tier"))
+    chosen = fresh.join(first, group).orderBy("group_tier", "mixed", group, "rn").limit(max(0, n - found)).drop("group_tier", "rn")
+    return pinned.unionByName(chosen, allowMissingColumns=True)
 
 
 def compare_arms(rows: DataFrame, arm: str, value: str, target: Column) -> DataFrame:
@@ -79,7 +111,7 @@ def compare_arms(rows: DataFrame, arm: str, value: str, target: Column) -> DataF
     per = rows.groupBy(arm).agg(F.count("*").alias("n"), F.percentile(value, 0.5).alias("median"), F.stddev_pop(value).alias("std"), F.avg(F.col(value) / target).alias("fill"))
     both = per.agg(F.array_sort(F.collect_list(F.struct(arm, "n", "median", "std", "fill"))).alias("a"), F.max("median").alias("hi"), F.min("median").alias("lo")).filter(F.size("a") == 2)
     named = [F.round(F.col("a")[k][c], 4).alias(f"{c}_{side}") if c != "n" else F.col("a")[k][c].alias(f"n_{side}") for k, side in enumerate(("a", "b")) for c in ("n", "median", "std", "fill")]
-    return both.select(F.col("a")[0][arm].alias("arm_a"), F.col("a")[1][arm].alias("arm_b"), *named, F.round(F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")), 4).alias("ratio"))
+    return both.select(F.col("a")[0][arm].alias("arm_a"), F.col("a")[1][arm].alias("arm_b"), *named, F.round(F.when(F.col("lo") > 0, F.col("hi") / F.col("lo")), 2).alias("ratio"))
 
 
 def changed(stored: DataFrame, now: DataFrame, keys: list[str], digest: str) -> DataFrame:
@@ -126,13 +158,14 @@ def cloze(passages_: DataFrame, df: DataFrame, key: str) -> DataFrame:
     chosen = passages_.select(key, longest.alias("sentence"))
     terms = chosen.select(key, F.explode(F.array_distinct(T.content_tokens(F.col("sentence")))).alias("term"))
     rarest = terms.join(df, "term", "left").groupBy(key).agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).select(key, F.col("r.term").alias("answer"))
-    at = F.call_function("instr", F.lower("sentence"), F.col("answer"))
-    blanked = F.concat(F.substring("sentence", F.lit(1), at - 1), F.lit("_____"), F.substring("sentence", at + F.length("answer"), F.length("sentence")))
-    return chosen.join(rarest, key).select(key, blanked.alias("question"), "answer")
+    # The word itself, not a part of another one; where it does not stand alone, nothing is blanked.
+    at = F.regexp_instr("sentence", F.concat(F.lit(r"(?iU)\b\Q"), "answer", F.lit(r"\E\b")))
+    blanked = F.when(at > 0, F.concat(F.substring("sentence", F.lit(1), at - 1), F.lit(BLANK), F.substring("sentence", at + F.length("answer"), F.length("sentence")))).otherwise(F.col("sentence"))
+    return chosen.join(rarest, key).select(key, F.concat(F.lit(CLOZE_LEAD), blanked).alias("question"), "answer")
 
 
 def draft_reply(reply: Column) -> Column:
-    """Question and answer of a drafter's reply as a struct; null where either is missing."""
-    part = lambda p: T.strip(F.regexp_extract(reply, p, 1))
-    question, answer = part(r"(?s)QUESTION:(.*?)(?=ANSWER:|\z)"), part(r"(?s)ANSWER:(.*)")
+    """Question and answer of a drafter's reply, in that order, as a struct; null where either is missing."""
+    part = lambda k: T.strip(F.regexp_extract(reply, r"(?s)QUESTION:(.*?)ANSWER:(.*)", k))
+    question, answer = part(1), part(2)
     return F.when((question != "") & (answer != ""), F.struct(question.alias("question"), answer.alias("answer")))

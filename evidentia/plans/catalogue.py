@@ -284,7 +284,7 @@ def recursive_chunks(spark, d):
     return chunking.recursive_chunks(table(spark, d, "documents"), 128).select("doc_id", "chunk_index", "n_tokens", "char_start", "char_end", "level")
 
 
-_DISTRIBUTION = "count(n_tokens) AS n, round(avg(n_tokens), 1) AS mean, min(n_tokens) AS min, max(n_tokens) AS max, round(stddev_pop(n_tokens), 1) AS std, " + ", ".join(f"round(quantile_cont(n_tokens, {q}), 6) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90")))
+_DISTRIBUTION = "count(n_tokens) AS n, round(avg(n_tokens), 1) AS mean, min(n_tokens) AS min, max(n_tokens) AS max, round(stddev_pop(n_tokens), 1) AS std, " + ", ".join(f"round(quantile_cont(n_tokens, {q}), 1) AS {n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90")))
 
 
 @query(f"WITH {SQL_CHUNKS} SELECT chunking, {_DISTRIBUTION} FROM chunks GROUP BY chunking")
@@ -520,7 +520,7 @@ def resume_pending(spark, d):
     return reports.pending(table(spark, d, "documents").select("doc_id", "source"), table(spark, d, "labels"), ["doc_id"])
 
 
-@query("SELECT event_id, count(*) OVER w AS window_requests, CAST(sum(CAST(user_id AS BIGINT)) OVER w AS BIGINT) AS window_tokens FROM (SELECT *, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 60 PRECEDING AND CURRENT ROW)")
+@query("SELECT event_id, count(*) OVER w AS window_requests, CAST(sum(CAST(user_id AS BIGINT)) OVER w AS BIGINT) AS window_tokens FROM (SELECT *, epoch_us(ts) AS s FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY s RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
 def rolling_load(spark, d):
     calls = table(spark, d, "events").withColumn("client", F.col("event_type"))
     return answers.rolling_load(calls, "ts", F.col("user_id")).select("event_id", "window_requests", "window_tokens")

@@ -79,12 +79,17 @@ def shared_ngram(spark, d):
 _SHARE = lambda a, b: f"CASE WHEN len({a}) > 0 THEN len(list_filter({a}, lambda x: list_contains({b}, x))) / len({a}) ELSE 0.0 END"
 
 
-@query(
-    rf"""WITH {SQL_CANDIDATES}, sig AS (SELECT item_id, {_SHARE("ta", "ts")} AS g, {_SHARE("ta", "tq")} AS l, {_SHARE("ta", "tb")} AS o, n_other, n_shared, array_to_string({_PROVENANCE("answer")}, ',') AS provenance,
-array_to_string({_INPUTS("answer")}, ',') AS inputs, array_to_string({_WITHDRAWN("span")}, ',') AS withdrawn, regexp_matches(span, '\[TABLE:|\[EQUATION\]') OR regexp_matches(question, '{goldset.ARTEFACT}') OR regexp_matches(answer, '{goldset.ARTEFACT}') AS artefact FROM tok JOIN other USING (item_id) JOIN run USING (item_id))
-SELECT item_id, round(g, 4) AS grounding, round(l, 4) AS leakage, round(o, 4) AS overlap, n_other, n_shared, provenance, inputs, withdrawn,
-array_to_string(list_filter([CASE WHEN l >= 0.5 OR n_other > 0 OR g < 0.7 THEN 'answerable_without_span' END, CASE WHEN o >= 0.9 OR n_shared >= 12 THEN 'in_abstract' END, CASE WHEN provenance <> '' OR inputs <> '' THEN 'methods_provenance' END, CASE WHEN artefact THEN 'needs_placeholder' END, CASE WHEN withdrawn <> '' THEN 'non_effect_answer' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sig"""
+SQL_CHECKS = (
+    SQL_CANDIDATES
+    + rf""",
+sig AS (SELECT item_id, {_SHARE("ta", "ts")} AS g, {_SHARE("ta", "tq")} AS l, {_SHARE("ta", "tb")} AS o, n_other, n_shared, array_to_string({_PROVENANCE("answer")}, ',') AS provenance,
+array_to_string({_INPUTS("answer")}, ',') AS inputs, array_to_string({_WITHDRAWN("span")}, ',') AS withdrawn, regexp_matches(span, '\[TABLE:|\[EQUATION\]') OR regexp_matches(question, '{goldset.ARTEFACT}') OR regexp_matches(answer, '{goldset.ARTEFACT}') AS artefact FROM tok JOIN other USING (item_id) JOIN run USING (item_id)),
+checked AS (SELECT item_id, round(g, 4) AS grounding, round(l, 4) AS leakage, round(o, 4) AS overlap, n_other, n_shared, provenance, inputs, withdrawn,
+array_to_string(list_filter([CASE WHEN l >= 0.5 OR n_other > 0 OR g < 0.7 THEN 'answerable_without_span' END, CASE WHEN o >= 0.9 OR n_shared >= 12 THEN 'in_abstract' END, CASE WHEN provenance <> '' OR inputs <> '' THEN 'methods_provenance' END, CASE WHEN artefact THEN 'needs_placeholder' END, CASE WHEN withdrawn <> '' THEN 'non_effect_answer' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sig)"""
 )
+
+
+@query(f"WITH {SQL_CHECKS} SELECT * FROM checked")
 def candidate_checks(spark, d):
     return goldset.check_candidates(candidates(spark, d), table(spark, d, "documents"), units=UNITS, markers=MARKERS, retractions=RETRACTIONS, results=RESULTS, coverage=COVERAGE)
 
@@ -136,3 +141,33 @@ def refusals(spark, d):
 @query(rf"SELECT page_id, rtrim(regexp_extract(html, '{T.URL}'), ').,;') AS first_url FROM pages")
 def first_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract("html", T.URL, 0), F.lit(").,;")).alias("first_url"))
+
+
+_KIND_OF = "CASE WHEN item_id % 3 = 0 THEN 'results' WHEN item_id % 3 = 1 THEN 'methods' ELSE 'other' END"
+#: What an author adds to the checks: who was selected, verified and so on, by rules on the candidate's number and its signals.
+_AUTHORED = {"selected": "reasons = '' AND item_id % 2 = 0", "verified": "item_id % 4 = 0", "warned": "overlap >= 0.5", "on_topic": "item_id % 5 > 0", "overridden": "item_id % 10 = 0 AND reasons = ''", "pinned": "item_id % 11 = 0"}
+SQL_AUTHORED = SQL_CHECKS + f""",
+au AS (SELECT item_id, CASE WHEN reasons = '' THEN [] ELSE string_split(reasons, ',') END AS reasons, {_KIND_OF} AS kind, {", ".join(f"{rule} AS {name}" for name, rule in _AUTHORED.items())}, CASE WHEN item_id % 7 = 0 THEN 'unclear' ELSE '' END AS rejection, CASE WHEN item_id % 3 = 1 THEN 'seen twice' ELSE '' END AS note FROM checked)"""
+
+
+def authored(spark, d) -> DataFrame:
+    rows = candidate_checks(spark, d)
+    reasons = F.filter(F.split("reasons", ","), lambda r: r != "")
+    return rows.select("item_id", reasons.alias("reasons"), F.expr(_KIND_OF).alias("kind"), *(F.expr(rule).alias(name) for name, rule in _AUTHORED.items()), F.expr("CASE WHEN item_id % 7 = 0 THEN 'unclear' ELSE '' END").alias("rejection"), F.expr("CASE WHEN item_id % 3 = 1 THEN 'seen twice' ELSE '' END").alias("note"))
+
+
+_COUNTERS = {"drafted": "true", "auto_rejected": "len(reasons) > 0", "surviving": "len(reasons) = 0", "selected": "selected", "verified": "selected AND verified", "with_warnings": "warned", "off_topic_selected": "selected AND NOT on_topic", "off_topic_overrides": "overridden", "pinned": "pinned"}
+
+
+@query(
+    f"""WITH {SQL_AUTHORED} SELECT 'rejected_by_reason' AS counter, reason AS value, count(*) AS n FROM (SELECT unnest(reasons) AS reason FROM au) GROUP BY reason
+UNION ALL SELECT 'reasons_a_candidate', CAST(len(reasons) AS VARCHAR), count(*) FROM au WHERE len(reasons) > 0 GROUP BY len(reasons) UNION ALL SELECT 'section_kind', kind, count(*) FROM au GROUP BY kind UNION ALL SELECT 'selected_section_kind', kind, count(*) FROM au WHERE selected GROUP BY kind
+UNION ALL {" UNION ALL ".join(f"SELECT '{name}', '', count(*) FILTER ({rule}) FROM au" for name, rule in _COUNTERS.items())}"""
+)
+def candidate_summary(spark, d):
+    return goldset.candidate_counts(authored(spark, d))
+
+
+@query(f"WITH {SQL_AUTHORED} SELECT coalesce(nullif(rejection, ''), array_to_string(reasons, ',')) AS reason, count(*) AS n, coalesce(string_agg(CASE WHEN note <> '' THEN item_id || ': ' || note END, chr(10) ORDER BY item_id || ': ' || note), '') AS notes FROM au WHERE NOT selected GROUP BY 1")
+def candidate_selection(spark, d):
+    return goldset.selection_counts(authored(spark, d))

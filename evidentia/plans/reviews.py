@@ -147,8 +147,8 @@ def passage_blocks(spark, d):
 
 # --- selection -----------------------------------------------------------------------
 
-_REASON = "CASE WHEN lang IN ('en', 'de') THEN CASE WHEN contains(lower(source), 'src0') OR contains(lower(source), 'src1') THEN NULL ELSE 'license' END ELSE 'type' END"
-_ELIGIBLE = lambda: reviews.eligibility(F.col("lang"), ["en", "de"], F.col("source"), ["src0", "SRC1"])
+_REASON = "CASE WHEN lang IN ('en', 'de') THEN CASE WHEN contains(source, 'src0') OR contains(source, 'src1') THEN NULL ELSE 'license=' || coalesce(nullif(source, ''), 'missing') END ELSE 'article_type=' || coalesce(nullif(lang, ''), 'missing') END"
+_ELIGIBLE = lambda: reviews.eligibility(F.col("lang"), ["en", "de"], F.col("source"), ["src0", "src1"])
 _HASH = lambda c: F.sha2(F.concat(F.lit("7:"), F.col(c).cast("string")).cast("binary"), 256)
 
 
@@ -159,7 +159,7 @@ def eligibility_reasons(spark, d):
 
 @query(
     f"""WITH o AS (SELECT sha256('7:' || doc_id) AS h, doc_id, {_REASON} AS reason FROM documents), c AS (SELECT *, count(*) FILTER (reason IS NULL) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS cum FROM o), s AS (SELECT * FROM c WHERE cum < 25 OR (cum = 25 AND reason IS NULL))
-SELECT count(*) AS considered, count(*) FILTER (reason IS NULL) AS taken, count(reason) AS rejected, 25 - count(*) FILTER (reason IS NULL) AS short FROM s"""
+SELECT reason, count(*) AS n, (SELECT count(*) FROM s) AS considered, (SELECT count(*) FILTER (reason IS NULL) FROM s) AS taken, (SELECT count(reason) FROM s) AS rejected, 25 - (SELECT count(*) FILTER (reason IS NULL) FROM s) AS short FROM s GROUP BY reason"""
 )
 def selection_report(spark, d):
     rows = table(spark, d, "documents").select(_HASH("doc_id").alias("h"), "doc_id", _ELIGIBLE().alias("reason"))
@@ -177,23 +177,23 @@ def within_room(spark, d):
 
 
 @query(
-    """WITH r AS (SELECT source, doc_id, CASE WHEN doc_id % 97 = 0 THEN doc_id END AS pin, n_chars % 3 AS tier, sha256('7:' || source) AS mixed, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) AS rn FROM documents WHERE source IS NOT NULL), f AS (SELECT source, arg_min(tier, rn) AS gt FROM r GROUP BY source)
-SELECT source, doc_id, rn FROM r JOIN f USING (source) ORDER BY pin NULLS LAST, gt, mixed, rn LIMIT 40"""
+    """WITH r AS (SELECT source, doc_id, n_chars % 4 > 0 AS on_topic, CAST(n_chars % 3 AS INT) AS tier, sha256('7:' || doc_id) AS h, sha256('7:' || source) AS mixed, CASE WHEN doc_id % 97 = 0 THEN -doc_id END AS pin FROM documents WHERE source IS NOT NULL),
+held AS (SELECT source, count(*) AS n FROM r WHERE pin IS NOT NULL GROUP BY source), f AS (SELECT r.*, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS rn FROM r WHERE pin IS NULL AND on_topic),
+k AS (SELECT f.* FROM f LEFT JOIN held USING (source) WHERE rn <= 3 - coalesce(n, 0)), t AS (SELECT source, arg_min(tier, rn) AS gt FROM k GROUP BY source)
+SELECT source, doc_id, true AS pinned FROM r WHERE pin IS NOT NULL UNION ALL (SELECT source, doc_id, false FROM k JOIN t USING (source) ORDER BY gt, mixed, source, rn LIMIT (SELECT greatest(0, 40 - count(*)) FROM r WHERE pin IS NOT NULL))"""
 )
-def tiered_passages(spark, d):
-    """The first 40 of the tiers: a top-k."""
+def drawn_passages(spark, d):
+    """Forty of the tiers, pinned ones first: a top-k."""
     docs = table(spark, d, "documents").filter("source IS NOT NULL")
-    rn = F.row_number().over(Window.partitionBy("source").orderBy(_HASH("doc_id"), "doc_id"))
-    rows = docs.select("source", "doc_id", F.when(F.col("doc_id") % 97 == 0, F.col("doc_id")).alias("pin"), (F.col("n_chars") % 3).alias("tier"), _HASH("source").alias("mixed"), rn.alias("rn"))
-    return reviews.tiered(rows, "source", 40).select("source", "doc_id", "rn")
+    rows = docs.select("doc_id", "source", (F.col("n_chars") % 4 > 0).alias("on_topic"), (F.col("n_chars") % 3).cast("int").alias("tier"), _HASH("doc_id").alias("order"), _HASH("source").alias("mixed"))
+    pins = docs.filter("doc_id % 97 = 0").select("doc_id", (-F.col("doc_id")).alias("pin"))
+    return reviews.draw(rows, pins, "doc_id", "source", 40, 3).select("source", "doc_id", F.col("pin").isNotNull().alias("pinned"))
 
 
-@query("""WITH o AS (SELECT year(o_orderdate) AS y, o_orderkey FROM orders), p AS (SELECT y, count(*) AS n, count(DISTINCT o_orderkey) AS n_unique FROM o GROUP BY y)
-SELECT y AS year, n, sum(n) OVER ()::BIGINT AS total, (SELECT count(DISTINCT o_orderkey) FROM o) AS n_unique, sum(n) OVER () = (SELECT count(DISTINCT o_orderkey) FROM o) AS exact FROM p""")
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderdate AS d FROM orders WHERE o_orderdate BETWEEN DATE '1993-03-01' AND DATE '1997-06-30'), p AS (SELECT year(d) AS y, count(DISTINCT id) AS n FROM o GROUP BY y)
+SELECT y AS year, n, sum(n) OVER ()::BIGINT AS partition_total, (SELECT count(DISTINCT id) FROM o) AS unique_total, (SELECT count(*) FROM o) AS whole_range, sum(n) OVER () = (SELECT count(*) FROM o) AS exact FROM p""")
 def survey_by_year(spark, d):
-    rows = table(spark, d, "orders").select(F.year("o_orderdate").alias("year"), "o_orderkey")
-    per, whole = rows.groupBy("year").agg(F.count("*").alias("n")), rows.agg(F.count("*").alias("total"), F.count_distinct("o_orderkey").alias("n_unique"))
-    return per.crossJoin(F.broadcast(whole)).withColumn("exact", F.col("total") == F.col("n_unique"))  # one row
+    return reviews.survey(table(spark, d, "orders"), "o_orderkey", "o_orderdate", "1993-03-01", "1997-06-30")
 
 
 # --- guards --------------------------------------------------------------------------
@@ -242,7 +242,7 @@ def marked_chunks(spark, d):
 
 @query(
     f"""WITH {SQL_CHUNKS}, p AS (SELECT chunking, count(*) AS n, quantile_cont(n_tokens, 0.5) AS m, stddev_pop(n_tokens) AS s, avg(n_tokens / target) AS f FROM chunks JOIN targets USING (chunking) GROUP BY chunking)
-SELECT a.chunking AS arm_a, b.chunking AS arm_b, a.n AS n_a, round(a.m, 4) AS median_a, round(a.s, 4) AS std_a, round(a.f, 4) AS fill_a, b.n AS n_b, round(b.m, 4) AS median_b, round(b.s, 4) AS std_b, round(b.f, 4) AS fill_b, round(greatest(a.m, b.m) / least(a.m, b.m), 4) AS ratio FROM p a JOIN p b ON a.chunking < b.chunking"""
+SELECT a.chunking AS arm_a, b.chunking AS arm_b, a.n AS n_a, round(a.m, 4) AS median_a, round(a.s, 4) AS std_a, round(a.f, 4) AS fill_a, b.n AS n_b, round(b.m, 4) AS median_b, round(b.s, 4) AS std_b, round(b.f, 4) AS fill_b, round(greatest(a.m, b.m) / least(a.m, b.m), 2) AS ratio FROM p a JOIN p b ON a.chunking < b.chunking"""
 )
 def arm_comparison(spark, d):
     return reviews.compare_arms(chunk_table(spark, d), "chunking", "n_tokens", F.when(F.col("chunking") == "coarse", 256).otherwise(128))
@@ -265,16 +265,23 @@ def cover_by_arm(spark, d):
     return minimum_cover(spark, d).groupBy("chunking").agg(F.count("*").alias("n_spans"), F.count_if(F.col("n_cover") > 1).alias("n_split"), F.max("n_cover").alias("most_chunks"), F.round(F.avg("max_coverage"), 6).alias("mean_ceiling"), F.sum("cover_tokens").alias("cover_tokens"))
 
 
+#: Tokens that an answer may have before it is cut off.
+MOST_TOKENS = 16
+
+
 @query(
-    rf"""WITH {SQL_ANSWERS}, k AS (SELECT chunking, embedding, rerank, length(answer) AS n_tokens, len(regexp_extract_all(context, '\S+')) AS n_prompt, rtrim(regexp_replace(answer, '^\s+|\s+$', '', 'g'), '.') = '{REFUSAL.rstrip('.')}' AS refused FROM answered)
-SELECT chunking, embedding, rerank, {_DISTRIBUTION}, round(avg(n_prompt), 4) AS mean_prompt, count(*) FILTER (refused) AS n_refused, count(*) FILTER (n_tokens > 400) AS n_truncated FROM k GROUP BY ALL"""
+    rf"""WITH {SQL_ANSWERS}, w AS (SELECT chunking, embedding, rerank, item_id, len(regexp_extract_all(answer, '\S+')) AS n_all, len(regexp_extract_all(context, '\S+')) AS n_prompt, rtrim(regexp_replace(answer, '^\s+|\s+$', '', 'g'), '.') = '{REFUSAL.rstrip('.')}' AS refused FROM answered),
+k AS (SELECT *, least(n_all, {MOST_TOKENS}) AS n_tokens FROM w)
+SELECT chunking, embedding, rerank, {_DISTRIBUTION}, round(avg(n_prompt), 4) AS mean_prompt, count(*) FILTER (refused) AS n_refused, count(*) FILTER (n_all > {MOST_TOKENS}) AS n_truncated,
+coalesce(string_agg(item_id::VARCHAR, ',' ORDER BY item_id) FILTER (n_all > {MOST_TOKENS}), '') AS truncated FROM k GROUP BY ALL"""
 )
 def generation_report(spark, d):
-    rows = answered(spark, d).withColumn("n_tokens", F.length("answer")).withColumn("n_prompt", F.size(T.tokens(F.col("context"))))
-    rows = rows.select(*CELL[:3], "n_tokens", "n_prompt", T.same_refusal(F.col("answer"), F.lit(REFUSAL)).alias("refused"))
-    quantiles = F.percentile("n_tokens", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = rows.groupBy(*CELL[:3]).agg(F.count("*").alias("n"), F.round(F.avg("n_tokens"), 1).alias("mean"), F.min("n_tokens").alias("min"), F.max("n_tokens").alias("max"), F.round(F.stddev_pop("n_tokens"), 1).alias("std"), quantiles.alias("q"), F.round(F.avg("n_prompt"), 4).alias("mean_prompt"), F.count_if("refused").alias("n_refused"), F.count_if(F.col("n_tokens") > 400).alias("n_truncated"))
-    return out.select("*", *(F.round(F.get("q", F.lit(i)), 6).alias(c) for i, c in enumerate(("p10", "p25", "median", "p75", "p90")))).drop("q")
+    """Lengths of the answers after the cut, what the prompts hold, refusals, and which answers were cut off."""
+    rows = answers.cut_answer(answered(spark, d).withColumn("refused", T.same_refusal(F.col("answer"), F.lit(REFUSAL))), MOST_TOKENS)
+    rows = rows.withColumn("n_tokens", F.col("n_completion_tokens")).withColumn("n_prompt", F.size(T.tokens(F.col("context"))))
+    cut = F.col("finish_reason") == "length"
+    others = rows.groupBy(*CELL[:3]).agg(F.round(F.avg("n_prompt"), 4).alias("mean_prompt"), F.count_if("refused").alias("n_refused"), F.count_if(cut).alias("n_truncated"), F.array_join(F.array_sort(F.collect_list(F.when(cut, F.col("item_id")))), ",").alias("truncated"))
+    return reports.distribution(rows, CELL[:3], "n_tokens").join(others, CELL[:3])
 
 
 @query("""SELECT source, count(*) AS n, count(quality) AS written, count(*) - count(quality) AS outstanding, CAST(sum(n_chars) AS BIGINT) AS chars_total, CAST(coalesce(sum(n_chars) FILTER (quality IS NOT NULL), 0) AS BIGINT) AS chars_written FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""")
@@ -312,7 +319,7 @@ sn AS (SELECT item_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || c
 lg AS (SELECT item_id, s AS sentence FROM su WHERE trim(s, ' ' || chr(10)) <> '' QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(s) DESC, i) = 1),
 tm AS (SELECT DISTINCT item_id, lower(unnest(regexp_extract_all(sentence, '[A-Za-z][A-Za-z0-9\-'']*|\d+(?:\.\d+)?'))) AS term FROM lg),
 rr AS (SELECT item_id, term AS answer FROM tm LEFT JOIN df USING (term) WHERE term NOT IN ({_CONTENT_STOP}) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY coalesce(df, 0), term) = 1)
-SELECT item_id, substr(sentence, 1, strpos(lower(sentence), answer) - 1) || '_____' || substr(sentence, strpos(lower(sentence), answer) + length(answer)) AS question, answer FROM lg JOIN rr USING (item_id)"""
+SELECT item_id, '{reviews.CLOZE_LEAD}' || regexp_replace(sentence, '(?i)(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(answer) || '($|[^\p{{L}}\p{{N}}_])', '\1{reviews.BLANK}\2') AS question, answer FROM lg JOIN rr USING (item_id)"""
 )
 def cloze_questions(spark, d):
     passages = table(spark, d, "benchmark").select("item_id", "text")
