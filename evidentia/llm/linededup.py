@@ -141,7 +141,8 @@ def similar_lines(lines: DataFrame, *, edits: int, share: float, broadcast_rows:
     if "letters" not in lines.columns:
         lines = lines.withColumn("letters", letter_counts(F.col("norm")))
     # Said here, as only one of the joins below would infer it, and the index would be shuffled for each.
-    near = lines.filter((F.length("norm") >= int(1 / share)) & F.col("line").isNotNull())
+    # One edit needs the longer of two lines to have 1 / share characters, so the shorter may have one less.
+    near = lines.filter((F.length("norm") >= int(1 / share) - 1) & F.col("line").isNotNull())
     indexed = segments(near, index_moves(edits), edits).drop("shorter").repartition("key").distinct()
     probing = segments(near, probe_moves(edits), edits).repartition("key").distinct()
     index = indexed.select(F.col("key").alias("a_key"), F.col("line").alias("a"), F.col("letters").alias("a_letters"))

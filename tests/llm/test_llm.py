@@ -310,6 +310,19 @@ def test_segments_meet_for_all_edits(spark):
     assert found == want
 
 
+def test_lines_link_by_the_longer_one(spark):
+    """One edit links lines of 19 and 20 characters, as a twentieth of the longer one; two need one of 40."""
+    text = "abcdefghijklmnopqrstuvwxyz0123456789 and so on"
+    lines = sorted({x for n in (17, 18, 19, 20, 21, 22, 38, 39, 40, 41) for x in (text[:n], text[: n - 1] + "#", text[1:n], text[2:n], text[: n - 2] + "#" + text[n - 1 : n])})
+    rows = spark.createDataFrame([(x,) for x in lines], "norm string").withColumn("line", F.xxhash64("norm"))
+    key = {r.norm: r.line for r in rows.collect()}
+    pairs = [(a, b) for a in lines for b in lines if a < b]
+    far = spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.levenshtein("a", "b").alias("d")).filter("d <= 2").collect()
+    want = {tuple(sorted((key[r.a], key[r.b]))) for r in far if r.d <= 0.05 * max(len(r.a), len(r.b))}
+    assert tuple(sorted((key[text[:19]], key[text[:20]]))) in want and tuple(sorted((key[text[:18]], key[text[:19]]))) not in want
+    assert {(r.a, r.b) for r in linededup.similar_lines(rows, edits=2, share=0.05, broadcast_rows=10).collect()} == want
+
+
 def test_bit_parallel_distance(spark):
     dice = random.Random(5)
     rows = [("", ""), ("", "ab"), ("abc", ""), ("same", "same"), ("x" * 700, "x" * 699 + "y")]
