@@ -2,16 +2,21 @@
 
 Two texts link when the Jaccard resemblance of their sets of hashed shingles is
 0.8 or more. Their fingerprints alone can't say so: at that resemblance they
-differ by some 10 of 64 bits, up to 16, and no set of buckets of bits is both
+differ by some 10 of 64 bits and often more, and no set of buckets of bits is both
 whole and small at such a radius. So a bucket is the texts that share one of
 their first shingles: in any fixed order of the shingles, two texts that link
-share one of their first ``n - ceil(0.8 n) + 1``, so that no link is lost. The
+share one of their first ``n - ceil(0.8 n) + 1``, so that buckets lose no link. The
 order puts shingles that a sample finds in many texts last, so that passages of
 many texts make no buckets; the sample changes what the search costs, not what
 it finds. A bucket is compared in tiles (``simhash.tiles``): numpy exclusive-or
 and bit counts of the fingerprints within a wide ``radius`` (five deviations
 beyond what 0.8 gives), with the sizes of the sets and the places of the shared
-shingle, which bound what two texts can share. A tile hands on a forest of what
+shingle, which bound what two texts can share. Fingerprints are majorities over
+the different shingles, as the resemblance is, so a run that repeats within a text
+moves neither. Of sets that resemble each other by just 0.8 the bits differ with
+a chance of 0.15 to 0.16, more than 28 of them in one of some 10^8 pairs (10^6
+for sets of five, which is why sets of up to ``SMALL`` shingles pass whatever
+their fingerprints). A tile hands on a forest of what
 it leaves possible, not all pairs.
 
 The components of these forests are clusters. In a cluster all fingerprints are
@@ -110,12 +115,11 @@ def first_shingles(texts: DataFrame, width: int, often: np.ndarray) -> DataFrame
             for first in range(0, batch.num_rows, 500):
                 out = []
                 for key, text in zip(batch.column(0).slice(first, 500).to_pylist(), batch.column(1).slice(first, 500)):
-                    every = hashes(text.as_py(), width)
-                    own = np.unique(every.view(np.int64))
-                    n = len(own)
+                    own = np.unique(hashes(text.as_py(), width).view(np.int64))
+                    n, fp = len(own), majority(own.view(np.uint64))
                     own = own[np.argsort(_within(own, late.value), kind="stable")[: n - (4 * n + 4) // 5 + 1]]
                     same = np.ones(len(own), np.int64)
-                    out.append((own, key * same, (n * same).astype(np.int32), np.arange(len(own), dtype=np.int32), same * np.uint64(majority(every)).view(np.int64)))
+                    out.append((own, key * same, (n * same).astype(np.int32), np.arange(len(own), dtype=np.int32), same * np.uint64(fp).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["h", "key", "n", "at", "fp"])
 
     return texts.select("key", "text").mapInArrow(cut, "h long, key long, n int, at int, fp long")
@@ -128,6 +132,9 @@ def _must_share(m, n):
 
 _HELD = ["fp", "id", "n", "at"]
 
+#: Sets of so few shingles are compared whatever their fingerprints.
+SMALL = 64
+
 
 def clusters(shared: DataFrame, *, radius: int, tile: int = 4096, step: int = 1024) -> DataFrame:
     """``node``, ``root`` of texts that may link; ``shared``: the first shingles that more than one text has, with the ``size`` of each."""
@@ -151,18 +158,23 @@ def clusters(shared: DataFrame, *, radius: int, tile: int = 4096, step: int = 10
     return connected_components(tiles(met, _HELD, radius=radius, tile=tile).mapInArrow(compared, "a long, b long"))
 
 
+def _near(f: np.ndarray, g: np.ndarray, m: np.ndarray, n: np.ndarray, radius: int) -> np.ndarray:
+    """Which fingerprints are near enough for sets of these sizes to resemble each other."""
+    return (np.bitwise_count((f ^ g).view(np.uint64)) <= radius) | (np.maximum(m, n) <= SMALL)
+
+
 def _possible(left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
     """Which of the rows left and right fingerprints, sizes and places leave possible."""
     (f, a, m, i), (g, b, n, j) = left.T, right.T
     # The first shingle that both have leaves room behind it for the others that they must share.
     least = _must_share(m, n)
-    return (np.bitwise_count((f ^ g).view(np.uint64)) <= radius) & (a != b) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (i + least <= m) & (j + least <= n)
+    return _near(f, g, m, n, radius) & (a != b) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (i + least <= m) & (j + least <= n)
 
 
 def _between(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
     """Edges of a forest of one part of a tile and another, or (None) itself."""
     other = left if right is None else right
-    near = np.bitwise_count((left[:, None, 0] ^ other[None, :, 0]).view(np.uint64)) <= radius
+    near = _near(left[:, None, 0], other[None, :, 0], left[:, None, 2], other[None, :, 2], radius)
     x, y = np.nonzero(np.triu(near, 1) if right is None else near)
     ok = _possible(left[x], other[y], radius)
     x, y = x[ok], y[ok]
@@ -210,7 +222,7 @@ def _links(left: dict, right: dict | None, radius: int) -> tuple[np.ndarray, np.
     other = left if right is None else right
     sizes = [np.array(list(map(len, x["set"]))) for x in (left, other)]
     m, n = sizes[0][:, None], sizes[1][None, :]
-    near = (np.bitwise_count(left["fp"][:, None] ^ other["fp"][None, :]) <= radius) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (left["key"][:, None] != other["key"][None, :])
+    near = _near(left["fp"][:, None], other["fp"][None, :], m, n, radius) & (5 * np.minimum(m, n) >= 4 * np.maximum(m, n)) & (left["key"][:, None] != other["key"][None, :])
     x, y = np.nonzero(np.triu(near, 1) if right is None else near)
     if len(x) <= 64:
         common = np.array([int(_within(left["set"][i], other["set"][j]).sum()) for i, j in zip(x, y)], np.int64)
@@ -231,10 +243,9 @@ def verified(placed: DataFrame, texts: DataFrame, width: int, *, radius: int, ce
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                every = [hashes(t.as_py(), width) for t in part.column(2)]
-                fp = np.array([majority(h) for h in every], np.uint64).view(np.int64)
-                sets = pa.array([np.unique(h.view(np.int64)) for h in every], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), sets], ["root", "key", "fp", "set"])
+                every = [shingles(t.as_py(), width) for t in part.column(2)]
+                fp = np.array([majority(h.view(np.uint64)) for h in every], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(every, pa.list_(pa.int64()))], ["root", "key", "fp", "set"])
 
     needed = placed.select(F.col("node").alias("key"), "root")
     if n <= broadcast_rows:
@@ -269,7 +280,7 @@ def verified(placed: DataFrame, texts: DataFrame, width: int, *, radius: int, ce
     return cells.select("left", "right", (F.col("p") == F.col("q")).alias("within")).mapInArrow(linked, "a long, b long")
 
 
-def similar_texts(texts: DataFrame, *, width: int = 5, radius: int = 24, sample: int = 5_000, most_often: int = 500_000, **parameters) -> DataFrame:
+def similar_texts(texts: DataFrame, *, width: int = 5, radius: int = 28, sample: int = 5_000, most_often: int = 500_000, **parameters) -> DataFrame:
     """Edges ``a``, ``b`` that connect all texts of one component; ``texts`` has distinct ``key`` and ``text``."""
     rows = first_shingles(texts, width, _often(texts, width, sample, most_often))
     shared = rows.withColumn("size", F.count("*").over(Window.partitionBy("h"))).filter("size > 1")

@@ -48,6 +48,22 @@ def test_near_dedup_verifies_resemblance(spark):
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
 
 
+def test_near_dedup_with_runs_that_repeat_within_a_text(spark):
+    """Boilerplate a thousand times over is one shingle of the set, and moves neither resemblance nor fingerprint."""
+    rng = np.random.default_rng(11)
+    common = " ".join(f"w{x}" for x in rng.integers(0, 10**6, 200))
+    rows = [(k, common + " " + " ".join([f"a{k} b{k} c{k} d{k}" + (" e" if k % 2 else "")] * 1000)) for k in range(6)]
+    rows += [(10 + k, " ".join([f"x{k} y{k} z{k}"] * 500) + " " + " ".join(f"v{x}" for x in rng.integers(0, 10**6, 150))) for k in range(3)]
+    # Sets of five shingles of which four are shared, and of up to 70.
+    for g, size in enumerate((5, 6, 9, 20, 40, 64, 70)):
+        words = [f"s{g}x{x}" for x in range(size + 4)]
+        rows += [(100 * (g + 1), " ".join(words)), (100 * (g + 1) + 1, " ".join([*words[:-1], "other"])), (100 * (g + 1) + 2, " ".join([*words, "more"]))]
+    want = _kept(rows)
+    assert {0, 10, 11, 12} <= want and not {1, 2, 3, 4, 5} & want
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
+
+
 def test_sequences_follow_the_mix(spark, tmp_path):
     counts, weights = {"src0": 256, "src1": 128}, {"src0": 4, "src1": 2}
     rows = [(f"{s}", " ".join(["word"] * (40 + 200 * (k % 7)))) for s, n in counts.items() for k in range(n)]
