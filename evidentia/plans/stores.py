@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from evidentia.plans.catalogue import DEPTH, query, table
 from evidentia.sources.tables import shared_folder
 from evidentia.sources.vectors import VectorStore
+from evidentia.streaming.pacer import paced
 
 #: The share of the best that a search in part is to find, by the store's own measure.
 RECALL = 0.93
@@ -43,3 +44,25 @@ def upserted_vectors(spark, d):
     store.upsert(rows.filter("id % 7 = 0 OR id % 11 = 0"))
     store.upsert(turned)
     return store.search(_asked(rows), DEPTH)
+
+
+# --- paced calls -------------------------------------------------------------------------
+
+REQUESTS, TOKENS = 3, 400
+
+
+@query(
+    f"""WITH RECURSIVE c AS (SELECT CAST(user_id AS VARCHAR) AS client, event_id AS call_id, epoch_us(ts) // 2000 AS t, 50 + user_id % 100 AS estimate, event_id * 7 % 300 AS actual FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY t, call_id) AS n FROM c),
+p AS (SELECT client, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS call_id, CAST(0 AS BIGINT) AS wait_us, CAST(0 AS BIGINT) AS released_us, CAST([] AS STRUCT(t BIGINT, cost BIGINT)[]) AS held FROM (SELECT DISTINCT client FROM o)
+UNION ALL SELECT client, n, call_id, w, now + w, list_append(kept, {{'t': now + w, 'cost': CASE WHEN actual > 0 THEN actual ELSE estimate END}}) FROM (
+  SELECT *, CASE WHEN leave > 0 THEN greatest(0, kept[leave].t + 60000000 - now) ELSE 0 END AS w FROM (
+    SELECT *, greatest(0, len(kept) - {REQUESTS} + 1, coalesce(list_filter(range(0, len(kept) + 1), lambda k: coalesce(list_sum(list_transform(kept[k + 1:], lambda x: x.cost)), 0) + estimate <= {TOKENS})[1], len(kept))) AS leave FROM (
+      SELECT o.*, greatest(o.t, p.released_us) AS now, list_filter(p.held, lambda x: x.t > greatest(o.t, p.released_us) - 60000000) AS kept FROM p JOIN o ON o.client = p.client AND o.n = p.n + 1))))
+SELECT client, call_id, CAST(wait_us AS BIGINT) AS wait_us, CAST(released_us AS BIGINT) AS released_us FROM p WHERE n > 0"""
+)
+def paced_calls(spark, d):
+    """The events as calls of their users, two thousand times as dense as they are."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 2000)
+    calls = table(spark, d, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("call_id"), F.timestamp_micros(at).alias("ts"), (50 + F.col("user_id") % 100).alias("estimate"), (F.col("event_id") * 7 % 300).alias("actual"))
+    return paced(calls, REQUESTS, TOKENS)
