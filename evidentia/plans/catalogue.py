@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import answers, chunking, effects, reports, retrieval, spans
-from evidentia.sources.tables import stored
+from evidentia.sources.tables import spread, stored
 
 DEPTH, BUDGET = 30, 512
 TARGETS = {"coarse": 256, "fine": 128}
@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def chunk_table(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
     each = [chunking.fixed_chunks(docs, n).withColumn("chunking", F.lit(name)) for name, n in TARGETS.items()]
     return reduce(DataFrame.unionByName, each).withColumn("item", F.format_string("%012d-%06d", "doc_id", "chunk_index"))
 
@@ -62,17 +62,22 @@ def dense(spark, d, chunks: DataFrame | None = None) -> DataFrame:
 
 
 def ranked(spark, d, chunks: DataFrame | None = None) -> DataFrame:
-    """Candidates of all eight cells with their chunks; the search runs once for both reranks."""
+    """Candidates of all eight cells with their chunks' places; the search runs once for both reranks, and texts meet their questions once for both embeddings."""
     chunks = chunks or index(spark, d)
-    met = stored(dense(spark, d, chunks).join(chunks.drop("v"), ["chunking", "item"]))
+    met = stored(dense(spark, d, chunks).join(chunks.drop("v", "text"), ["chunking", "item"]))
     off = met.withColumn("rerank", F.lit("off"))
     asked = questions(spark, d).select("item_id", "question")
-    on = retrieval.rerank(met.join(asked, "item_id").withColumn("rerank", F.lit("on")), ["chunking", "embedding", "item_id"], retrieval.lexical_score(F.col("question"), F.col("text"))).drop("question")
+    pairs = met.select("chunking", "item", "item_id").distinct().join(chunks.select("chunking", "item", "text"), ["chunking", "item"]).join(asked, "item_id")
+    scores = spread(stored(pairs), each=2).select("chunking", "item", "item_id", retrieval.lexical_score(F.col("question"), F.col("text")).alias("lex"))
+    on = retrieval.rerank(met.join(scores, ["chunking", "item", "item_id"]).withColumn("rerank", F.lit("on")), ["chunking", "embedding", "item_id"], F.col("lex")).drop("lex")
     return off.unionByName(on)
 
 
 def selected(spark, d, chunks: DataFrame | None = None) -> DataFrame:
-    return retrieval.fill_budget(ranked(spark, d, chunks), CELL, BUDGET)
+    """What each cell takes within the budget, with the texts."""
+    chunks = chunks or index(spark, d)
+    taken = retrieval.fill_budget(ranked(spark, d, chunks), CELL, BUDGET)
+    return taken.join(chunks.select("chunking", "item", "text"), ["chunking", "item"])
 
 
 def metrics(spark, d) -> DataFrame:

@@ -32,6 +32,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str, each: int = 1) -> DataFrame:
+    """``df`` dealt out to all cores if it is read in fewer tasks than there are (``each`` a core); a larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism * each
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_sheet(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A CSV file whose header and row lengths must be the schema's; blanks are null, and rows of blanks alone are left out."""
     rows = spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", nullValue="", multiLine=True, escape='"').csv(path)
