@@ -15,6 +15,30 @@ def distribution(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return out.select(*keys, "n", "mean", "min", "max", "std", *(F.round(F.get("q", F.lit(i)), 1).alias(name) for i, name in enumerate(("p10", "p25", "median", "p75", "p90"))))
 
 
+def retrieval_report(rows: DataFrame, keys: list[str], budget: int) -> DataFrame:
+    """A row a cell: three distributions, mean metrics, how often and how early the gold span was found, and why the fills stopped.
+
+    ``rows``: a row a question with ``n_chunks``, ``tokens_used``, ``budget_slack``, ``stopped_reason``,
+    ``gold_rank`` and ``tokens_before_gold`` (null: not found) and the metrics.
+    """
+    metrics = ("span_coverage", "evidence_density", "distractors", "recall", "ndcg")
+    reasons = ("overflow", "candidates_exhausted", "no_candidates")
+    found = F.col("gold_rank").isNotNull()
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n_queries"),
+        F.round(F.round(F.avg("tokens_used"), 4) / budget, 4).alias("realised_budget_share"),
+        *(F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(c) for c in metrics),
+        F.count_if(found).alias("gold_found"),
+        F.round(F.avg("gold_rank"), 2).alias("mean_gold_rank"),
+        F.round(F.avg(F.when(found, F.col("tokens_before_gold"))), 1).alias("mean_tokens_before_gold"),
+        *(F.count_if(F.col("stopped_reason") == r).alias(r) for r in reasons),
+    )
+    for value in ("n_chunks", "tokens_used", "budget_slack"):
+        own = distribution(rows, keys, value)
+        out = out.join(own.select(*keys, *(F.col(c).alias(f"{value}_{c}") for c in own.columns if c not in keys)), keys)
+    return out
+
+
 def tiny_census(chunks: DataFrame, thresholds: tuple[int, ...] = (10, 25, 50, 100)) -> DataFrame:
     """For each threshold the chunks under it: their share, how many end their document and how many don't."""
     tiny = [F.col("n_tokens") < t for t in thresholds]

@@ -15,6 +15,7 @@ RETRACTIONS = ["did not", "no significant", "not significant"]
 RESULTS = ["increase", "decrease", "higher", "lower", "associated", "result"]
 TERMS = ["data", "model", "license", "system", "market", "water", "history"]
 COVERAGE, LEAST_TERMS = 0.8, 1
+_KIND_OF = "CASE WHEN item_id % 3 = 0 THEN 'results' WHEN item_id % 3 = 1 THEN 'methods' ELSE 'other' END"
 
 
 def candidates(spark, d) -> DataFrame:
@@ -23,7 +24,7 @@ def candidates(spark, d) -> DataFrame:
     docs, passages = table(spark, d, "documents"), table(spark, d, "benchmark")
     met = passages.alias("b").join(gold(spark, d), "item_id").join(docs.alias("d"), F.col("d.doc_id") == F.col("gold_doc"))
     last = F.slice(words, F.greatest(F.lit(1), F.size(words) - 7), F.lit(8))
-    return met.select("item_id", F.col("gold_doc").alias("source"), F.col("b.text").alias("span"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.array_join(last, " ").alias("answer"), F.concat(F.substring("d.text", F.lit(1), F.col("gold_start").cast("int")), F.lit(" "), F.substring("d.text", F.col("gold_end").cast("int") + 1, F.length("d.text"))).alias("abstract"), F.col("d.text").alias("body"))
+    return met.select("item_id", F.col("gold_doc").alias("source"), F.col("b.text").alias("span"), F.array_join(F.slice(words, 1, 8), " ").alias("question"), F.array_join(last, " ").alias("answer"), F.concat(F.substring("d.text", F.lit(1), F.col("gold_start").cast("int")), F.lit(" "), F.substring("d.text", F.col("gold_end").cast("int") + 1, F.length("d.text"))).alias("abstract"), F.col("d.text").alias("body"), F.expr(_KIND_OF).alias("kind"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
@@ -83,9 +84,9 @@ SQL_CHECKS = (
     SQL_CANDIDATES
     + rf""",
 sig AS (SELECT item_id, {_SHARE("ta", "ts")} AS g, {_SHARE("ta", "tq")} AS l, {_SHARE("ta", "tb")} AS o, n_other, n_shared, array_to_string({_PROVENANCE("answer")}, ',') AS provenance,
-array_to_string({_INPUTS("answer")}, ',') AS inputs, array_to_string({_WITHDRAWN("span")}, ',') AS withdrawn, regexp_matches(span, '\[TABLE:|\[EQUATION\]') OR regexp_matches(question, '{goldset.ARTEFACT}') OR regexp_matches(answer, '{goldset.ARTEFACT}') AS artefact FROM tok JOIN other USING (item_id) JOIN run USING (item_id)),
-checked AS (SELECT item_id, round(g, 4) AS grounding, round(l, 4) AS leakage, round(o, 4) AS overlap, n_other, n_shared, provenance, inputs, withdrawn,
-array_to_string(list_filter([CASE WHEN l >= 0.5 OR n_other > 0 OR g < 0.7 THEN 'answerable_without_span' END, CASE WHEN o >= 0.9 OR n_shared >= 12 THEN 'in_abstract' END, CASE WHEN provenance <> '' OR inputs <> '' THEN 'methods_provenance' END, CASE WHEN artefact THEN 'needs_placeholder' END, CASE WHEN withdrawn <> '' THEN 'non_effect_answer' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sig)"""
+array_to_string({_INPUTS("answer")}, ',') AS inputs, array_to_string({_WITHDRAWN("span")}, ',') AS withdrawn, array_to_string({_PRESENT("answer", RESULTS)}, ',') AS result_language, {_KIND_OF} AS kind, regexp_matches(span, '\[TABLE:|\[EQUATION\]') OR regexp_matches(question, '{goldset.ARTEFACT}') OR regexp_matches(answer, '{goldset.ARTEFACT}') AS artefact FROM tok JOIN other USING (item_id) JOIN run USING (item_id)),
+checked AS (SELECT *, reasons <> '' AS auto_rejected FROM (SELECT item_id, round(g, 4) AS grounding, round(l, 4) AS leakage, round(o, 4) AS overlap, n_other, n_shared, provenance, inputs, result_language, withdrawn, CASE WHEN kind = 'methods' AND result_language = '' THEN '{goldset.METHODS_WARNING}' ELSE '' END AS warnings,
+array_to_string(list_filter([CASE WHEN l >= 0.5 OR n_other > 0 OR g < 0.7 THEN 'answerable_without_span' END, CASE WHEN o >= 0.9 OR n_shared >= 12 THEN 'in_abstract' END, CASE WHEN provenance <> '' OR inputs <> '' THEN 'methods_provenance' END, CASE WHEN artefact THEN 'needs_placeholder' END, CASE WHEN withdrawn <> '' THEN 'non_effect_answer' END], lambda x: x IS NOT NULL), ',') AS reasons FROM sig))"""
 )
 
 
@@ -143,7 +144,6 @@ def first_urls(spark, d):
     return table(spark, d, "pages").select("page_id", F.rtrim(F.regexp_extract("html", T.URL, 0), F.lit(").,;")).alias("first_url"))
 
 
-_KIND_OF = "CASE WHEN item_id % 3 = 0 THEN 'results' WHEN item_id % 3 = 1 THEN 'methods' ELSE 'other' END"
 #: What an author adds to the checks: who was selected, verified and so on, by rules on the candidate's number and its signals.
 _AUTHORED = {"selected": "reasons = '' AND item_id % 2 = 0", "verified": "item_id % 4 = 0", "warned": "overlap >= 0.5", "on_topic": "item_id % 5 > 0", "overridden": "item_id % 10 = 0 AND reasons = ''", "pinned": "item_id % 11 = 0"}
 SQL_AUTHORED = SQL_CHECKS + f""",

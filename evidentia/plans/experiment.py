@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
-from evidentia.operators import answers, effects, spans
-from evidentia.plans.catalogue import CELL, REFUSAL, SQL_EFFECTS, SQL_JUDGED, SQL_METRICS, effect_rows, gold, index, query, questions, selected
+from evidentia.operators import answers, effects, reports, retrieval, spans
+from evidentia.plans.catalogue import BUDGET, CELL, DIMS, REFUSAL, RERANK, SQL_EFFECTS, SQL_JUDGED, SQL_METRICS, TARGETS, effect_rows, gold, index, query, questions, ranked, selected
 from evidentia.sources.runs import RunTable
 from evidentia.sources.tables import shared_folder, stored
 
@@ -98,6 +98,30 @@ def judge_report(spark, d):
     return answers.judge_report(stored(passes(spark, d)), CELL[:3], "item_id")
 
 
+_DIST = lambda v: ", ".join([f"count({v}) AS {v}_n, round(avg({v}), 1) AS {v}_mean, min({v}) AS {v}_min, max({v}) AS {v}_max, round(stddev_pop({v}), 1) AS {v}_std", *(f"round(quantile_cont({v}, {q}), 1) AS {v}_{n}" for q, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "median"), (0.75, "p75"), (0.9, "p90")))])
+
+
+@query(
+    f"""WITH {SQL_METRICS}, grid AS (SELECT chunking, embedding, rerank, item_id FROM targets, dims, (VALUES ('off'), ('on')) r(rerank), gold),
+per AS (SELECT chunking, embedding, rerank, item_id, count(*) AS c, count(*) FILTER (used <= {BUDGET}) AS k, coalesce(max(used) FILTER (used <= {BUDGET}), 0) AS u FROM running GROUP BY ALL),
+w AS (SELECT chunking, embedding, rerank, coalesce(k, 0) AS n_chunks, CAST(coalesce(u, 0) AS BIGINT) AS tokens_used, CAST({BUDGET} - coalesce(u, 0) AS BIGINT) AS budget_slack, CASE WHEN coalesce(c, 0) = 0 THEN 'no_candidates' WHEN k < c THEN 'overflow' ELSE 'candidates_exhausted' END AS stop,
+  gold_rank, tokens_before_gold, coalesce(span_coverage, 0) AS span_coverage, coalesce(evidence_density, 0) AS evidence_density, coalesce(distractors, 0) AS distractors, coalesce(recall, 0) AS recall, coalesce(ndcg, 0) AS ndcg
+  FROM grid LEFT JOIN per USING (chunking, embedding, rerank, item_id) LEFT JOIN (SELECT * EXCLUDE (n_chunks, tokens_used) FROM metrics) USING (chunking, embedding, rerank, item_id))
+SELECT chunking, embedding, rerank, count(*) AS n_queries, round(round(avg(tokens_used), 4) / {BUDGET}, 4) AS realised_budget_share, {", ".join(f"round(avg({c}), 4) AS {c}" for c in ("span_coverage", "evidence_density", "distractors", "recall", "ndcg"))}, count(gold_rank) AS gold_found, round(avg(gold_rank), 2) AS mean_gold_rank,
+round(avg(tokens_before_gold) FILTER (gold_rank IS NOT NULL), 1) AS mean_tokens_before_gold, {", ".join(f"count(*) FILTER (stop = '{r}') AS {r}" for r in ("overflow", "candidates_exhausted", "no_candidates"))}, {_DIST("n_chunks")}, {_DIST("tokens_used")}, {_DIST("budget_slack")} FROM w GROUP BY ALL"""
+)
+def retrieval_report(spark, d):
+    g, chunks = stored(gold(spark, d)), index(spark, d)
+    every = stored(ranked(spark, d, chunks))
+    met = chunks.join(g, (chunks["doc_id"] == g["gold_doc"]) & (chunks["char_start"] < g["gold_end"]) & (chunks["char_end"] > g["gold_start"]))
+    n_rel = met.groupBy("chunking", "item_id").agg(F.count("*").alias("n_rel"))
+    metrics = spans.context_metrics(retrieval.fill_budget(every, CELL, BUDGET).drop("item", "score", "used"), g, CELL, n_rel).drop("n_chunks", "tokens_used")
+    levels = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
+    grid = g.select("item_id", levels("chunking", TARGETS)).select("*", levels("embedding", DIMS)).select("*", levels("rerank", RERANK))
+    rows = retrieval.fill_summary(every, CELL, BUDGET, grid).join(metrics, CELL, "left").na.fill(0, ["span_coverage", "evidence_density", "distractors", "recall", "ndcg"])
+    return reports.retrieval_report(rows, CELL[:3], BUDGET)
+
+
 # --- facts and planned tests -------------------------------------------------------------
 
 RETRIEVAL = ("span_coverage", "evidence_density", "recall", "ndcg", "distractors", "gold_found")

@@ -132,3 +132,31 @@ def test_where_candidates_went(spark):
     rows = [(1, ["a", "b"], None, False, "n1"), (2, ["a", "b"], "", False, "n2"), (3, ["a"], "own", False, None), (4, [], "x", True, "kept")]
     got = {r.reason: (r.n, r.notes) for r in goldset.selection_counts(spark.createDataFrame(rows, schema)).collect()}
     assert got == {"a,b": (2, "1: n1\n2: n2"), "own": (1, "")}
+
+
+def test_checks_say_what_fired_and_warn_of_methods(spark):
+    schema = "item_id long, source long, question string, answer string, span string, abstract string, kind string"
+    span = "Rainfall increased river salinity across seven estuaries sampled during winter."
+    rows = [
+        (1, 1, "What happened there?", "Rainfall increased river salinity", span, "Nothing alike.", "methods"),
+        (2, 1, "What happened there?", "seven estuaries sampled during winter", span, "Nothing alike.", "methods"),
+        (3, 1, "What happened there?", "seven estuaries sampled during winter", span, "Nothing alike.", "results"),
+        (4, 1, "Did rainfall increase river salinity?", "unrelated words entirely", span, span, None),
+    ]
+    docs = spark.createDataFrame([(1, span)], "doc_id long, text string")
+    got = {r.item_id: r for r in goldset.check_candidates(spark.createDataFrame(rows, schema), docs, units=["people"], markers={}, retractions=["did not"], results=["increase", "decrease"]).collect()}
+    assert (got[1].result_language, got[1].warnings, got[1].auto_rejected, got[1].reasons) == ("increase", "", False, "")
+    assert (got[2].result_language, got[2].warnings, got[2].auto_rejected) == ("", goldset.METHODS_WARNING, False)
+    assert got[3].warnings == "" and got[4].warnings == ""
+    assert got[4].auto_rejected and got[4].reasons == "answerable_without_span" and got[4].grounding == 0.0
+
+
+def test_a_retrieval_report_over_questions(spark):
+    schema = "cell string, n_chunks int, tokens_used long, budget_slack long, stopped_reason string, gold_rank int, tokens_before_gold long, span_coverage double, evidence_density double, distractors int, recall double, ndcg double"
+    rows = [("a", 2, 90, 10, "overflow", 1, 0, 1.0, 0.5, 1, 1.0, 1.0), ("a", 4, 70, 30, "candidates_exhausted", None, None, 0.0, 0.0, 4, 0.0, 0.0), ("a", 0, 0, 100, "no_candidates", None, None, 0.0, 0.0, 0, 0.0, 0.0), ("b", 1, 50, 50, "overflow", None, None, 0.0, 0.0, 1, 0.0, 0.0)]
+    got = {r.cell: r for r in reports.retrieval_report(spark.createDataFrame(rows, schema), ["cell"], 100).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.n_queries, a.overflow, a.candidates_exhausted, a.no_candidates, a.gold_found) == (3, 1, 1, 1, 1)
+    assert (a.mean_gold_rank, a.mean_tokens_before_gold, a.span_coverage, a.realised_budget_share) == (1.0, 0.0, 0.3333, 0.5333)
+    assert (a.n_chunks_median, a.tokens_used_mean, a.budget_slack_p90, a.n_chunks_std) == (2.0, 53.3, 86.0, 1.6)
+    assert (b.mean_gold_rank, b.mean_tokens_before_gold, b.gold_found) == (None, None, 0)
