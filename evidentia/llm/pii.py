@@ -153,17 +153,19 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
     """Occurrences of the terms as spans of kind 5, whose ``hit`` is what takes their place."""
 
     def of_tokens(tokens):
-        at = F.filter(F.transform(tokens, lambda t, i: F.when(F.map_contains_key(terms, term_of(t)), i)), lambda i: i.isNotNull())
-
-        def span(i):
-            token = F.get(tokens, i)
-            lead = F.length(token) - F.length(F.ltrim(token, F.lit(_MARKS)))
-            start = i + F.aggregate(F.slice(tokens, F.lit(1), i), F.lit(0), lambda acc, t: acc + F.length(t)) + lead
-            put = F.when(terms[term_of(token)], F.lit("")).otherwise(F.regexp_replace(F.regexp_replace(F.btrim(token, F.lit(_MARKS)), r"\p{L}", "x"), r"\p{N}", "0"))
-            return let(start, lambda s: F.struct(F.lit(len(KINDS) + 1).alias("kind"), s.alias("start"), (s + F.length(F.btrim(token, F.lit(_MARKS)))).alias("end"), put.alias("hit")))
-
-        free = F.filter(F.transform(at, span), lambda x: ~F.exists(found, lambda f: (f["start"] < x["end"]) & (f["end"] > x["start"])))
-        return free.cast(f"array<{_SPAN}>")
+        """One pass with the place so far; a span is made only where a term stands."""
+
+        def step(acc, token):
+            bare = F.btrim(token, F.lit(_MARKS))
+            start = acc["at"] + F.length(token) - F.length(F.ltrim(token, F.lit(_MARKS)))
+            put = F.when(terms[term_of(token)], F.lit("")).otherwise(F.regexp_replace(F.regexp_replace(bare, r"\p{L}", "x"), r"\p{N}", "0"))
+            span = F.struct(F.lit(len(KINDS) + 1).alias("kind"), start.alias("start"), (start + F.length(bare)).alias("end"), put.alias("hit"))
+            free = ~F.exists(found, lambda f: (f["start"] < start + F.length(bare)) & (f["end"] > start))
+            out = F.when(F.map_contains_key(terms, term_of(token)) & free, F.concat(acc["out"], F.array(span).cast(f"array<{_SPAN}>"))).otherwise(acc["out"])
+            return F.struct((acc["at"] + F.length(token) + 1).alias("at"), out.alias("out"))
+
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+        return F.aggregate(tokens, zero, step, lambda acc: acc["out"])
 
     return F.when(terms.isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(let(_tokens(text), of_tokens))
 

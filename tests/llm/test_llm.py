@@ -368,6 +368,22 @@ def test_secrets_and_null_ids(spark):
     assert clean == "<SECRET> x"
 
 
+def test_spans_of_terms_in_a_long_text(spark):
+    """Every place of every term, by a walk over the text's tokens; what a pattern covers is left to it."""
+    text = "  ".join(["(Zoë)", "a🙂b", "zoë;", "plain", "x@y.z", "zoë@corp", "ZOË", ""] * 3000)
+    row = spark.createDataFrame([(text, {"zoë": True, "a🙂b": False})], "text string, terms map<string,boolean>")
+    found = F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("start"), F.lit(4).alias("end"), F.lit("").alias("hit"))).cast(f"array<{pii._SPAN}>")
+    got = row.select(pii._term_spans(F.col("text"), F.col("terms"), found).alias("s")).first().s
+    at, want = 0, []
+    for token in re.split(r"[\x20\x09-\x0D]", text):
+        bare = token.strip("();")
+        start = at + len(token) - len(token.lstrip("("))
+        if bare.lower() in ("zoë", "a🙂b") and start >= 4:
+            want.append((start, start + len(bare), "" if bare.lower() == "zoë" else "x🙂x"))
+        at += len(token) + 1
+    assert [(s.start, s.end, s.hit) for s in got] == want and len(want) == 4 * 3000 - 1
+
+
 def test_terms_far_from_an_entity_and_in_one_text(spark):
     far = "Zebulon lives here\n" + "plain words stand between them all\n" * 5 + "mail zeb@corp.example.com"
     rows = [(0, far), (1, far), (2, "plain words stand alone with bob")] + [(k, f"plain words stand between them all mail lives here k{k}x") for k in range(3, 600)]
