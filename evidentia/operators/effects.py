@@ -112,12 +112,12 @@ def bootstrap_interval(diffs: DataFrame, keys: list[str], resamples: int = 10_00
     count to nine digits, so that sums do not depend on their order.
     """
     spark = diffs.sparkSession
-    exact = diffs.filter(F.col("diff").isNotNull()).withColumn("diff", F.col("diff").cast("decimal(28,9)"))
+    exact = diffs.filter(F.col("diff").isNotNull()).withColumn("diff", F.col("diff").cast("decimal(18,9)"))
     place = Window.partitionBy(*keys).orderBy("diff")
     numbered = exact.select(*keys, "diff", (F.row_number().over(place) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
     sizes = numbered.filter("n > 1").select("n").distinct()
     draws = spark.range(resamples).withColumnRenamed("id", "resample").join(F.broadcast(sizes)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    counts = draws.groupBy("n", "resample", drawn(F.col("resample"), F.col("draw"), F.col("n"), seed).alias("place")).agg(F.count("*").alias("k"))
+    counts = draws.groupBy("n", "resample", drawn(F.col("resample"), F.col("draw"), F.col("n"), seed).alias("place")).agg(F.count("*").cast("int").alias("k"))  # an int, as a product with a long would lose digits
     means = numbered.join(counts, ["n", "place"]).groupBy(*keys, "resample").agg((F.sum(F.col("diff") * F.col("k")).cast("double") / F.max("n")).alias("m"))
     tails = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("q"))
     per = exact.groupBy(*keys).agg(F.count("*").alias("n"), (F.sum("diff").cast("double") / F.count("*")).alias("mean"))

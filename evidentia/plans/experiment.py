@@ -172,7 +172,7 @@ def plan_rows() -> tuple[tuple, ...]:
 
 
 SQL_BOOTSTRAP = """
-bn AS (SELECT effect, metric, CAST(diff AS DECIMAL(28, 9)) AS diff, row_number() OVER (PARTITION BY effect, metric ORDER BY diff) - 1 AS place, count(*) OVER (PARTITION BY effect, metric) AS n FROM diffs),
+bn AS (SELECT effect, metric, CAST(diff AS DECIMAL(18, 9)) AS diff, row_number() OVER (PARTITION BY effect, metric ORDER BY diff) - 1 AS place, count(*) OVER (PARTITION BY effect, metric) AS n FROM diffs),
 b0 AS (SELECT n, r, (CAST(r AS BIGINT) * 1000003 + CAST(d AS BIGINT) * 7919 + 7 * 104729 + 17) % 2147483647 AS x FROM (SELECT DISTINCT n FROM bn WHERE n > 1), range(10000) t(r), LATERAL (SELECT unnest(range(n)) AS d) u),
 b1 AS (SELECT n, r, (x * x + 12345) % 2147483647 AS x FROM b0), b2 AS (SELECT n, r, (x * x + 67891) % 2147483647 AS x FROM b1), b3 AS (SELECT n, r, (x * x + 23456) % 2147483647 AS x FROM b2),
 bk AS (SELECT n, r, x % n AS place, count(*) AS k FROM b3 GROUP BY ALL),
