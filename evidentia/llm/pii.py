@@ -7,9 +7,14 @@ documents gives it away. With n(e), n(t) and n(t, e) the texts that hold the
 entity, the term, and both, of N in all, the information that t gives on e is
 ``log2(N n(t, e) / (n(t) n(e)))``, and what there is to know of e is
 ``log2(N / n(e))``. A term is disclosing when the ratio of the two exceeds
-``generalise``; over ``remove`` it is removed. A pair counts only when so many
-meetings would be rarer than ``chance`` if e and t were independent, by
-Chernoff's bound. Copies of one text say a thing once.
+``generalise``; over ``remove`` it is removed. That a rare word stands beside an
+entity once is no evidence: both must stand in ``least_texts`` different texts and
+meet in as many. Of all pairs that could (those of such entities and terms that
+meet at all) a pair counts only when so many meetings would be rarer than
+``chance`` divided by the number of these pairs if e and t were independent, by
+Chernoff's bound. So at most a share ``chance`` of corpora without any
+association gets a term marked. Copies of one text say a thing once; texts that
+differ in a character are different.
 
 Documents that hold the entity have all occurrences of its disclosing terms
 covered by spans of the kind ``term``, except where a pattern's span lies. A
@@ -110,7 +115,7 @@ def _terms(text: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(_tokens(text), term_of)), lambda t: (F.length(t) >= 3) & ~F.contains(t, F.lit("@")))
 
 
-def disclosing_terms(slim: DataFrame, holding: DataFrame, *, generalise: float, remove: float, chance: float, broadcast_rows: int) -> DataFrame:
+def disclosing_terms(slim: DataFrame, holding: DataFrame, *, generalise: float, remove: float, chance: float, least_texts: int, broadcast_rows: int) -> DataFrame:
     """``text_key`` and ``terms``, a map from term to whether it is removed, for texts with disclosing terms.
 
     ``slim``: all rows' ``text_key`` and ``text``; ``holding``: those with entities, and their spans ``hits``.
@@ -121,7 +126,7 @@ def disclosing_terms(slim: DataFrame, holding: DataFrame, *, generalise: float,
     holds = held.select("text_key", F.explode("entities").alias("entity"))
     copies = cut_lineage(slim.groupBy("text_key").agg(F.count("*").alias("copies")))
     n = float(max(2, copies.count()))
-    n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = holds.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= least_texts)
     # At this count or less can a term say enough of an entity that n_e texts hold.
     most = F.pow(F.lit(n), F.lit(1 - generalise)) * F.pow(F.col("n_e"), F.lit(generalise)) * (1 + 1e-9)
     top = n_e.agg(F.max(most)).first()[0]
@@ -133,17 +138,18 @@ def disclosing_terms(slim: DataFrame, holding: DataFrame, *, generalise: float,
     if several.count() <= broadcast_rows:
         several = F.broadcast(several)
     own = slim.select("text_key", "text").join(several, "text_key", "left").select(_terms(F.col("text")).alias("terms"), (1 / F.coalesce("copies", F.lit(1))).alias("share"))
-    n_t = own.select(F.explode("terms").alias("term"), "share").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")).filter(F.col("n_t") <= top)
+    n_t = own.select(F.explode("terms").alias("term"), "share").groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")).filter(F.col("n_t").between(least_texts, top))
     rare = held.select("text_key", F.explode("terms").alias("term")).join(n_t, "term")
     sized = holds.join(n_e.withColumn("most", most), "entity")
     met = stored(sized.join(rare, "text_key").filter(F.col("n_t") <= F.col("most")))
-    both = met.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te"))
+    both = stored(met.groupBy("entity", "term", "n_e", "n_t").agg(F.count("*").alias("n_te")))
+    tested = float(max(1, both.count()))
     known = F.log2(n / F.col("n_e"))
     given = F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e")))
     ratio = F.when(known > 0, given / known).otherwise(F.lit(0.0))
     expected = F.col("n_e") * F.col("n_t") / F.lit(n)
     likely = F.col("n_te") * (F.log(expected / F.col("n_te")) + 1) - expected  # the log of the bound where more met than expected
-    strong = both.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise) & (F.col("n_te") > expected) & (likely <= F.log(F.lit(chance))))
+    strong = both.withColumn("ratio", ratio).filter((F.col("ratio") >= generalise) & (F.col("n_te") >= least_texts) & (F.col("n_te") > expected) & (likely <= F.log(F.lit(chance / tested))))
     per_text = met.select("text_key", "entity", "term").join(strong.select("entity", "term", "ratio"), ["entity", "term"])
     best = per_text.groupBy("text_key", "term").agg(F.max("ratio").alias("ratio"))
     return best.groupBy("text_key").agg(F.map_from_entries(F.collect_list(F.struct("term", F.col("ratio") >= remove))).alias("terms"))
@@ -170,7 +176,7 @@ def _term_spans(text: Column, terms: Column, found: Column) -> Column:
     return F.when(terms.isNull(), F.array().cast(f"array<{_SPAN}>")).otherwise(let(_tokens(text), of_tokens))
 
 
-def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, broadcast_rows: int = 5_000, broadcast_copies: int = 200_000) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: float = 0.9, chance: float = 0.01, least_texts: int = 2, broadcast_rows: int = 5_000, broadcast_copies: int = 200_000) -> DataFrame:
     """``doc_id``, ``text``, ``found`` (base spans), ``secrets`` and ``terms`` (spans of disclosing terms), a row per document."""
     text = F.coalesce("text", F.lit(""))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
@@ -179,7 +185,7 @@ def find_personal_data(docs: DataFrame, *, generalise: float = 0.8, remove: floa
     # Few documents hold an entity; only these are stored and joined, the others keep where they are.
     holding = stored(found.filter(some))
     hits = holding.select("text_key", "text", F.concat("found", "secrets").alias("hits"))
-    strong = cut_lineage(disclosing_terms(slim, hits, generalise=generalise, remove=remove, chance=chance, broadcast_rows=broadcast_copies))
+    strong = cut_lineage(disclosing_terms(slim, hits, generalise=generalise, remove=remove, chance=chance, least_texts=least_texts, broadcast_rows=broadcast_copies))
     strong = strong.select(F.col("text_key").alias("s_key"), F.col("terms").alias("s_terms"))
     if strong.count() <= broadcast_rows:
         strong = F.broadcast(strong)

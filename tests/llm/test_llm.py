@@ -1,9 +1,11 @@
 """Each operator against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -384,14 +386,59 @@ def test_spans_of_terms_in_a_long_text(spark):
     assert [(s.start, s.end, s.hit) for s in got] == want and len(want) == 4 * 3000 - 1
 
 
-def test_terms_far_from_an_entity_and_in_one_text(spark):
-    far = "Zebulon lives here\n" + "plain words stand between them all\n" * 5 + "mail zeb@corp.example.com"
-    rows = [(0, far), (1, far), (2, "plain words stand alone with bob")] + [(k, f"plain words stand between them all mail lives here k{k}x") for k in range(3, 600)]
+def test_terms_far_from_an_entity_and_in_two_texts(spark):
+    """A term in two texts of an entity counts however far it stands; one in a single text, or in its copies, does not."""
+    far = "Zebulon lives here u{}v\n" + "plain words stand between them all\n" * 5 + "mail zeb@corp.example.com"
+    alone = "Mordecai wrote once\nplain words stand between them all\nmail mo@corp.example.com"
+    rows = [(0, far.format(0)), (1, far.format(1)), (2, alone), (3, alone)] + [(k, f"plain words stand between them all mail lives here k{k}x") for k in range(4, 600)]
     got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).filter("size(terms) > 0").collect()
     assert {r.doc_id for r in got} == {0, 1}
     assert {r.text[t.start : t.end] for r in got for t in r.terms} == {"Zebulon"}
 
 
+def disclosed(texts, generalise=0.8, chance=0.01, least=2):
+    """By loops over pairs: the terms that each text with entities has covered."""
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+    whole = sorted({t or "" for t in texts})
+    terms = {t: {w for x in re.split(r"[\x20\x09-\x0D]", t) if len(w := x.strip(pii._MARKS).lower()) >= 3 and "@" not in w} for t in whole}
+    entities = {t: {m.lower() for m in email.findall(t)} for t in whole}
+    n_e, n_t, n_te = Counter(), Counter(), Counter()
+    for t in whole:
+        n_e.update(entities[t])
+        n_t.update(terms[t])
+        n_te.update((e, w) for e in entities[t] for w in terms[t])
+    n = max(2, len(whole))
+    able = {(e, w): k for (e, w), k in n_te.items() if n_e[e] >= least <= n_t[w] <= n ** (1 - generalise) * n_e[e] ** generalise * (1 + 1e-9)}
+    strong = set()
+    for (e, w), k in able.items():
+        expected = n_e[e] * n_t[w] / n
+        known = math.log2(n / n_e[e])
+        ratio = math.log2(n * k / (n_t[w] * n_e[e])) / known if known else 0
+        if ratio >= generalise and k >= least and k > expected and k * (math.log(expected / k) + 1) - expected <= math.log(chance / len(able)):
+            strong.add((e, w))
+    return {t: {w for w in terms[t] if any((e, w) in strong for e in entities[t])} for t in whole}
+
+
+def test_disclosing_terms_equal_loops_over_pairs(spark):
+    """Planted names are found, and beside them few or no words, among the texts of the small table."""
+    plain = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    planted = {f"Q{chr(97 + k)}zzor": f"person{k}@firm{k}.example.org" for k in range(12)}
+    texts = list(plain)
+    for k, (name, mail) in enumerate(planted.items()):
+        for j in range(4):
+            at = 40 + 12 * j + k
+            texts[at] = f"{name} says:\n{texts[at] or ''}\nto {mail}"
+    texts[700:702] = texts[40:42]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = pii.find_personal_data(rows).filter("size(found) > 0").collect()
+    want = disclosed(texts)
+    spans = {r.doc_id: {r.text[s.start : s.end].lower() for s in r.terms} for r in got}
+    assert spans == {r.doc_id: want[r.text] for r in got}
+    marked = [(i, w) for i, words in spans.items() for w in words]
+    right = [(i, w) for i, w in marked if w.capitalize() in planted]
+    assert len(right) == 4 * len(planted) + 2 and len(right) >= 0.95 * len(marked)
+
+
 def test_quality(spark, docs, empty):
     got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     assert got[3].base_failed and not got[3].kept and got[6].n_repeat_words == got[6].n_words == 12000
