@@ -63,3 +63,12 @@ def append_new(rows: DataFrame, path: str, keys: list[str]) -> None:
         done = spark.read.parquet(path).select(*keys).distinct()
         rows = rows.join(done, keys, "left_anti")
     rows.dropDuplicates(keys).write.mode("append").parquet(path)
+
+
+def read_authored(spark: SparkSession, path: str, schema: StructType | str, key: str = "passage_id") -> DataFrame:
+    """What authors wrote, a row for each ``key``: of several the last in the file. A file without rows fails."""
+    rows = read_jsonl(spark, path, schema).withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())) if exists(spark, path) else None
+    if rows is None or rows.isEmpty():
+        raise ValueError(f"nothing was authored in {path}")
+    names = [c for c in rows.columns if c not in (key, "_at")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*names), "_at").alias("r")).select(key, "r.*")
