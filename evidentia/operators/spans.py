@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -10,38 +11,54 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def contained_passages(docs: DataFrame, passages: DataFrame, *, most_passages: int = 100_000) -> DataFrame:
+#: The last automaton that this Python worker built, by the name of its block.
+_BUILT: dict[str, object] = {}
+
+
+def _automaton(name: str, texts: Iterable[str]):
+    """The automaton of a block, built once for all tasks of a worker."""
+    import ahocorasick
+
+    if name not in _BUILT:
+        machine = ahocorasick.Automaton()
+        for text in texts:
+            machine.add_word(text, text)
+        machine.make_automaton()
+        _BUILT.clear()
+        _BUILT[name] = machine
+    return _BUILT[name]
+
+
+def contained_passages(docs: DataFrame, passages: DataFrame, *, most_passages: int = 100_000, most_chars: int = 20_000_000) -> DataFrame:
     """``item_id``, ``doc_id``, ``gold_start``, ``gold_end``: where a passage first stands in a document.
 
     A pass over each document finds all passages of a block together; blocks of
-    about ``most_passages`` go to every task in turn. Empty passages match nothing.
+    about ``most_passages`` and ``most_chars`` are broadcast in turn, once to each
+    executor and not with each task. Empty passages match nothing.
     """
     asked = passages.select("item_id", "text").filter("text <> ''")
-    blocks = max(1, -(-asked.count() // most_passages))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // most_passages), -(-size["chars"] // most_chars))
     parts = [asked.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else asked for k in range(blocks)]
     return reduce(DataFrame.unionByName, [_contained(docs, part) for part in parts])
 
 
 def _contained(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    rows = passages.collect()
     by_text: dict[str, list[int]] = {}
-    for r in rows:
+    for r in passages.collect():
         by_text.setdefault(r["text"], []).append(r["item_id"])
+    sent, name = docs.sparkSession.sparkContext.broadcast(by_text), str(uuid.uuid4())
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for text in by_text:
-            machine.add_word(text, text)
-        machine.make_automaton()
+        items = sent.value
+        machine = _automaton(name, items) if items else None
         for batch in batches:
             out = []
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 first: dict[str, int] = {}
-                for last, text in machine.iter(value.as_py() or "") if by_text else ():
+                for last, text in machine.iter(value.as_py() or "") if machine else ():
                     first.setdefault(text, last + 1)
-                out += [(i, doc_id, end - len(text), end) for text, end in first.items() for i in by_text[text]]
+                out += [(i, doc_id, end - len(text), end) for text, end in first.items() for i in items[text]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], ["item_id", "doc_id", "gold_start", "gold_end"])
 
     return docs.select("doc_id", "text").mapInArrow(found, "item_id long, doc_id long, gold_start long, gold_end long")

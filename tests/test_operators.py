@@ -187,3 +187,14 @@ def test_sheet_and_lines(spark, tmp_path):
             read_sheet(spark, str(tmp_path / "b.csv"), "item int, verdict string, score double").collect()
     write_jsonl(spark.createDataFrame([(1, None)], "b int, a string"), str(tmp_path / "out"))
     assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ['{"a":null,"b":1}']
+
+
+def test_passages_in_blocks_are_found_alike(spark):
+    docs = spark.createDataFrame([(k, f"{'x' * k} alpha beta {'gamma ' * (k % 3)}end") for k in range(40)] + [(90, None), (91, "")], "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "alpha beta"), (2, "gamma gamma"), (3, "end"), (4, "alpha beta"), (5, ""), (6, None), (7, "beta gamma")], "item_id long, text string")
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {(r.item_id, i, t.index(r.text), t.index(r.text) + len(r.text)) for r in asked.collect() if r.text for i, t in text.items() if r.text in t}
+    for most, chars in ((100, 10**6), (2, 10**6), (100, 12)):
+        found = spans.contained_passages(docs, asked, most_passages=most, most_chars=chars).select("item_id", "doc_id", "gold_start", "gold_end")
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert spans.contained_passages(docs, asked.limit(0)).count() == 0
