@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
@@ -156,6 +157,69 @@ def chunks(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int, int | N
     return docs.select("doc_id", "text").mapInArrow(made, SCHEMA)
 
 
+SIZED_SCHEMA = "chunking string, doc_id long, chunk_index int, n_tokens int, char_start int, char_end int, text string"
+SIZED_NAMES = [c.split()[0] for c in SIZED_SCHEMA.split(", ")]
+
+
+class CutDocuments:
+    """Documents cut into units of as many tokens as the greatest common divisor of all targets, so that a chunk of any target is some units in turn."""
+
+    def __init__(self, targets: dict[str, int]):
+        self.targets, self.unit = targets, math.gcd(*targets.values())
+        self._pattern = re.compile(r"\S++(?:\s++\S++){0,%d}+" % (self.unit - 1))
+        self.clear()
+
+    def clear(self) -> None:
+        self.texts: list[tuple[int | None, str, int]] = []  # with the number of units before it
+        self.spans: list[Span] = []
+        self.units: list[str] = []
+        self.chars = 0
+
+    def add(self, doc_id: int | None, text: str) -> None:
+        self.texts.append((doc_id, text, len(self.spans)))
+        self.spans += [m.span() for m in self._pattern.finditer(text)]
+        self.units += [text[a:b] for a, b in self.spans[len(self.units) :]]
+        self.chars += len(text)
+
+    def chunks(self, name: str) -> tuple[list[int], list[pa.Array]]:
+        """The first unit of each chunk, and the columns of ``SIZED_SCHEMA``."""
+        each, rows, firsts = self.targets[name] // self.unit, [], []
+        for (doc_id, text, first), end in zip(self.texts, [*(t[2] for t in self.texts[1:]), len(self.spans)]):
+            for index, at in enumerate(range(first, end, each)):
+                last = min(at + each, end) - 1
+                # All units are full but a document's last.
+                n = (last - at) * self.unit + (self.unit if last + 1 < end else len(self.units[last].split()))
+                a, b = self.spans[at][0], self.spans[last][1]
+                firsts.append(at)
+                rows.append((name, doc_id, index, n, a, b, text[a:b]))
+        return firsts, [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()))]
+
+
+def cut_documents(batches: Iterator[pa.RecordBatch], targets: dict[str, int], most_chars: int) -> Iterator[CutDocuments]:
+    """The documents of ``batches`` (``doc_id``, ``text``), about ``most_chars`` characters at a time; those without a token are left out."""
+    cut = CutDocuments(targets)
+    for batch in batches:
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            cut.add(doc_id.as_py(), text.as_py() or "")
+            if cut.chars >= most_chars:
+                if cut.units:
+                    yield cut
+                cut.clear()
+    if cut.units:
+        yield cut
+
+
+def chunks_of_sizes(docs: DataFrame, targets: dict[str, int], most_chars: int = 500_000) -> DataFrame:
+    """The chunks of ``fixed_chunks`` for each of ``targets`` (``chunking`` by name), from one pass over the tokens."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in cut_documents(batches, targets, most_chars):
+            for name in targets:
+                yield pa.RecordBatch.from_arrays(cut.chunks(name)[1], SIZED_NAMES)
+
+    return docs.select("doc_id", "text").mapInArrow(made, SIZED_SCHEMA)
+
+
 def fixed_chunks(docs: DataFrame, target: int = 128, overlap: int = 0) -> DataFrame:
     return chunks(docs, lambda text: fixed_pieces(text, target, overlap))
 

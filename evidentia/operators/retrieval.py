@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache, reduce
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,40 +14,82 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions.text import words
+from evidentia.operators import chunking
 
 _WORD = re.compile("[a-z0-9]+")
 
 
-@lru_cache(200_000)
-def _halves(word: str) -> tuple[int, int]:
-    digest = hashlib.sha256(word.encode()).hexdigest()
-    return int(digest[:8], 16), int(digest[8:16], 16)
+class _Halves(dict):
+    """Word -> the first 64 bits of its SHA-256; starts anew at ``limit`` words."""
 
+    def __init__(self, limit: int = 200_000):
+        super().__init__()
+        self.limit = limit
 
-def hash_vectors(text: str | None, dims: Sequence[int]) -> list[np.ndarray]:
-    """For each size: a word adds 1 at one place and takes 0.5 at another, both by its hash; unit length, or zero without words."""
-    halves = np.array([_halves(w) for w in _WORD.findall((text or "").lower())], np.int64).reshape(-1, 2)
-    out = []
-    for dim in dims:
-        v = np.bincount(halves[:, 0] % dim, minlength=dim) - 0.5 * np.bincount(halves[:, 1] % dim, minlength=dim)
-        out.append(v / (np.linalg.norm(v) or 1))
-    return out
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+        return value
 
 
-def hash_embed(text: Column, dims: Sequence[int]) -> Column:
-    """An array of the text's vectors, one of each size, from one pass over its words."""
-    ends = np.cumsum(dims)
+_HALVES = _Halves()
 
-    @F.arrow_udf("array<array<double>>")
+
+def hash_counts(texts: Sequence[str], dims: Sequence[int]) -> list[np.ndarray]:
+    """For each size a matrix, a row a text: a word adds 1 at one place and takes 0.5 at another, both by its hash."""
+    words = [_WORD.findall(text.lower()) for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    hashed = np.fromiter(map(_HALVES.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
+    row, up, down = np.repeat(np.arange(len(words)), sizes), (hashed >> np.uint64(32)).astype(np.int64), (hashed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    count = lambda half, dim: np.bincount(row * dim + half % dim, minlength=len(words) * dim).reshape(-1, dim)
+    return [count(up, dim) - 0.5 * count(down, dim) for dim in dims]
+
+
+def unit_length(matrix: np.ndarray) -> np.ndarray:
+    """Rows of length 1; a row of zeros stays."""
+    norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+    return matrix / np.where(norm == 0, 1, norm)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1) * matrix.shape[1], pa.int32()), pa.array(matrix.ravel()))
+
+
+def hash_embed(text: Column, dims: dict[str, int], block: int = 1024) -> Column:
+    """A structure of the text's vectors, one of each size, from one pass over its words; unit length, or zero without words."""
+
+    @F.arrow_udf(_vectors_type(dims))
     def embed(texts: pa.Array) -> pa.Array:
-        flat = np.concatenate([np.zeros(0), *(v for text in texts for v in hash_vectors(text.as_py(), dims))])
-        inner = (np.arange(len(texts))[:, None] * ends[-1] + np.append(0, ends[:-1])).ravel()
-        vectors = pa.ListArray.from_arrays(pa.array(np.append(inner, len(flat)), pa.int32()), pa.array(flat))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(dims), pa.int32()), vectors)
+        parts = [[unit_length(m) for m in hash_counts([t.as_py() or "" for t in texts.slice(at, block)], list(dims.values()))] for at in range(0, len(texts), block)]
+        return pa.StructArray.from_arrays([_lists(np.concatenate([np.zeros((0, dim)), *(p[k] for p in parts)])) for k, dim in enumerate(dims.values())], list(dims))
 
     return embed(text)
 
 
+def _vectors_type(dims: dict[str, int]) -> str:
+    return "struct<" + ", ".join(f"{name}: array<double>" for name in dims) + ">"
+
+
+def embedded_chunks(docs: DataFrame, targets: dict[str, int], dims: dict[str, int], most_chars: int = 500_000) -> DataFrame:
+    """The chunks of ``chunking.chunks_of_sizes`` with their vectors as ``v``, as ``hash_embed`` makes them.
+
+    Words lie within tokens, so the counts of a chunk are the sums of those of its
+    units, and words are hashed once for all sizes of chunks and of vectors. A task
+    holds the chunks of about ``most_chars`` characters.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cut in chunking.cut_documents(batches, targets, most_chars):
+            counts = hash_counts(cut.units, list(dims.values()))
+            for name in targets:
+                firsts, columns = cut.chunks(name)
+                vectors = [_lists(unit_length(np.add.reduceat(m, firsts, axis=0))) for m in counts]
+                yield pa.RecordBatch.from_arrays([*columns, pa.StructArray.from_arrays(vectors, list(dims))], [*chunking.SIZED_NAMES, "v"])
+
+    return docs.select("doc_id", "text").mapInArrow(made, f"{chunking.SIZED_SCHEMA}, v {_vectors_type(dims)}")
+
+
 def flat_vectors(column: pa.Array) -> np.ndarray:
     """A column of lists of one length as a matrix, without a Python value for each number."""
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
@@ -73,13 +116,15 @@ def nearest(queries: DataFrame, items: DataFrame, depth: int, *, most_queries: i
     return reduce(DataFrame.unionByName, [_nearest(part, items, depth, block) for part in passes])
 
 
-def best_of_each(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, most: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+def best_of_each(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int, most: int = 100_000) -> Iterator[list[np.ndarray]]:
     """The ``depth`` best items of each query over all blocks, ties by name, as parts of (query, score, name).
 
     A block is queries by number, names of items, and the score of each query and item. What
-    is held is cut down to the best whenever it exceeds ``most``.
+    is held is cut down to the best whenever it exceeds ``most``; from then on an item that
+    is worse than the last of a query's best is not held at all.
     """
     waiting, count = [[np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object)]], 0
+    floor = np.zeros(0)  # by query, the score of the last of its best so far
 
     def settled() -> list[np.ndarray]:
         query, score, name = (np.concatenate(x) for x in zip(*waiting))
@@ -90,24 +135,28 @@ def best_of_each(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], de
         if not score.size:
             continue
         score = np.round(score, 6)
+        if query.max() >= len(floor):
+            floor = np.append(floor, np.full(query.max() + 1 - len(floor), -np.inf))
+        least = floor[query][:, None]
         if len(names) > depth:
             # All that are no worse than the last of the best, so that ties are settled by name later.
-            last = -np.partition(-score, depth - 1, axis=1)[:, depth - 1 : depth]
-            q, c = np.nonzero(score >= last)
-        else:
-            q, c = (x.ravel() for x in np.indices(score.shape))
+            least = np.maximum(least, -np.partition(-score, depth - 1, axis=1)[:, depth - 1 : depth])
+        q, c = np.nonzero(score >= least)
         waiting.append([query[q], score[q, c], names[c]])
         count += len(q)
         if count > most:
             waiting = [settled()]
             count = len(waiting[0][0])
             most = max(most, 2 * count)
+            held, first, n = np.unique(waiting[0][0], return_index=True, return_counts=True)
+            full = n == depth
+            floor[held[full]] = waiting[0][1][(first + n - 1)[full]]
     found = settled()
     for at in range(0, len(found[0]), 50_000):
         yield [x[at : at + 50_000] for x in found]
 
 
-def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int) -> DataFrame:
+def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int, rows: int = 2048) -> DataFrame:
     asked = queries.orderBy("query_id").select("query_id", "vector").toArrow()
     ids = asked.column(0).to_pylist()
     matrix = queries.sparkSession.sparkContext.broadcast(flat_vectors(asked.column(1).combine_chunks()))
@@ -115,11 +164,13 @@ def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int) -> Da
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def blocks():
-            for batch in batches:
-                names, vectors = np.array(batch.column(0).to_pylist(), object), flat_vectors(batch.column(1))
-                for at in range(0, len(ids) if len(names) else 0, block):
-                    part = matrix.value[at : at + block]
-                    yield np.arange(at, at + len(part)), names, part @ vectors.T
+            for whole in batches:
+                for first in range(0, whole.num_rows, rows):
+                    batch = whole.slice(first, rows)
+                    names, vectors = np.array(batch.column(0).to_pylist(), object), flat_vectors(batch.column(1))
+                    for at in range(0, len(ids), block):
+                        part = matrix.value[at : at + block]
+                        yield np.arange(at, at + len(part)), names, part @ vectors.T
 
         for query, score, name in best_of_each(blocks(), depth):
             yield pa.RecordBatch.from_arrays([pa.array([ids[k] for k in query]), pa.array(name.tolist()), pa.array(score)], ["query_id", "item_id", "score"])

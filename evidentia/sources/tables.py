@@ -32,6 +32,11 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 500_000) -> DataFrame:
+    """``df`` (stored, as it is counted) to be broadcast if it has no more than ``most`` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def spread(df: DataFrame, *keys: str, each: int = 1) -> DataFrame:
     """``df`` dealt out to all cores if it is read in fewer tasks than there are (``each`` a core); a larger table stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism * each
