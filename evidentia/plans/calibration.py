@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import answers, sheets
-from evidentia.plans.catalogue import CELL, REFUSAL, SQL_ANSWERS, SQL_CHUNKS, SQL_GOLD, TARGETS, chunk_table, gold, index, query, questions, selected, table
+from evidentia.plans.catalogue import CELL, REFUSAL, SQL_ANSWERS, SQL_CHUNKS, SQL_GOLD, TARGETS, chunk_table, gold, held_docs, index, query, questions, selected, table
 from evidentia.plans.checks import SQL_AUTHORED, authored
-from evidentia.sources.tables import stored
+from evidentia.sources.tables import few, stored
 
 #: How a sheet takes a note in, and how many items a sheet has.
 TEMPLATE, SHEET = "Note: {judge_note}.", 40
@@ -75,8 +75,9 @@ hi AS (SELECT chunking, label, string_agg(n_cover || ':' || k, ',' ORDER BY n_co
 SELECT chunking, label, count(*) AS n_spans, count(*) FILTER (n_cover > 1) AS n_split, round(avg(ceiling), 6) AS mean_ceiling, any_value(histogram) AS histogram, {_FIGURES("n_cover")}, {_FIGURES("cover_tokens")} FROM cv JOIN hi USING (chunking, label) GROUP BY chunking, label"""
 )
 def cover_by_label(spark, d):
-    labels = stored(sheets.with_lines(gold(spark, d), table(spark, d, "documents")))
-    return sheets.cover_report(chunk_table(spark, d), labels, list(TARGETS))
+    g = stored(gold(spark, d))
+    labels = stored(sheets.with_lines(few(g), held_docs(spark, d, g)))
+    return sheets.cover_report(chunk_table(spark, d, held_docs(spark, d, g)), labels, list(TARGETS))
 
 
 @query(
