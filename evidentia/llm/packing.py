@@ -17,8 +17,10 @@ Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -29,10 +31,34 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.binpack import byte_letters
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
 
-#: Words of these forms are one run of letters and one of marks for the tokenizer.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Words of this form are one run of letters and one of marks for the tokenizer; an apostrophe may belong to letters.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+#: No byte of a text in UTF-8, so it can stand for the end of a word.
+_END = b"\xff"
+
+
+def word_merges(path: str):
+    """The merges of a tokenizer that marks the last byte of a word, run on bytes by ``tiktoken``; None where ids don't follow the order of the merges."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, vocabulary = model.get("end_of_word_suffix"), model["vocab"]
+    if not suffix:
+        return None
+    byte = {c: k for k, c in byte_letters().items()}
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    ids = [{vocabulary.get(c + end) for c in byte} for end in ("", suffix)]
+    if ids != [set(range(256)), set(range(256, 512))] or [vocabulary.get(t) for t in merged] != list(range(512, 512 + len(merged))):
+        return None
+    tokens = [*byte, *(c + suffix for c in byte), *merged]
+    ranks = {bytes(byte[c] for c in t.removesuffix(suffix)) + _END * t.endswith(suffix): vocabulary[t] for t in tokens}
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 class WordIds(dict):
@@ -43,7 +69,7 @@ class WordIds(dict):
     Holds ``limit`` words at most and then starts anew.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         super().__init__()
@@ -51,6 +77,7 @@ class WordIds(dict):
         self.full, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.merges = word_merges(path)
         self.parts: dict[str, bytes] = {}
         self.limit = limit
 
@@ -59,7 +86,8 @@ class WordIds(dict):
         if ids is None:
             if len(self.parts) >= self.limit:
                 self.parts.clear()
-            ids = self.parts[text] = np.array(self.bare.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            found = self.merges(text.encode() + _END) if self.merges else self.bare.encode(text, add_special_tokens=False).ids
+            ids = self.parts[text] = struct.pack(f"<{len(found)}I", *found)
         return ids
 
     def __missing__(self, word: str) -> bytes:
