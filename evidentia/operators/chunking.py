@@ -8,6 +8,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,6 +158,17 @@ def chunks(docs: DataFrame, pieces: Callable[[str], list[tuple[int, int, int | N
     return docs.select("doc_id", "text").mapInArrow(made, SCHEMA)
 
 
+def item_name(doc_id: int | None, index: int) -> str:
+    """The name of a chunk among all, as ``format_string("%012d-%06d", ...)`` makes it."""
+    return f"{'null' if doc_id is None else format(doc_id, '012d'):>12}-{index:06d}"
+
+
+def document_of(name: str) -> int | None:
+    """The document of a chunk's name."""
+    doc_id = name.rpartition("-")[0].strip()
+    return None if doc_id == "null" else int(doc_id)
+
+
 SIZED_SCHEMA = "chunking string, doc_id long, chunk_index int, n_tokens int, char_start int, char_end int, text string"
 SIZED_NAMES = [c.split()[0] for c in SIZED_SCHEMA.split(", ")]
 
@@ -181,6 +193,14 @@ class CutDocuments:
         self.units += [text[a:b] for a, b in self.spans[len(self.units) :]]
         self.chars += len(text)
 
+    def named(self, name: str) -> tuple[list[int], np.ndarray]:
+        """The first unit of each chunk, and its name."""
+        each, names, firsts = self.targets[name] // self.unit, [], []
+        for (doc_id, _, first), end in zip(self.texts, [*(t[2] for t in self.texts[1:]), len(self.spans)]):
+            firsts += range(first, end, each)
+            names += [item_name(doc_id, index) for index in range(-(-(end - first) // each))]
+        return firsts, np.array(names, object)
+
     def chunks(self, name: str) -> tuple[list[int], list[pa.Array]]:
         """The first unit of each chunk, and the columns of ``SIZED_SCHEMA``."""
         each, rows, firsts = self.targets[name] // self.unit, [], []

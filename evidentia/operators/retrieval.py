@@ -3,46 +3,61 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from evidentia.functions.text import words
 from evidentia.operators import chunking
 
-_WORD = re.compile("[a-z0-9]+")
-
 
 class _Halves(dict):
-    """Word -> the first 64 bits of its SHA-256; starts anew at ``limit`` words."""
+    """A word's bytes -> the first 64 bits of its SHA-256; starts anew at ``limit`` words."""
 
     def __init__(self, limit: int = 200_000):
         super().__init__()
         self.limit = limit
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
             self.clear()
-        value = self[word] = int.from_bytes(hashlib.sha256(word.encode()).digest()[:8], "big")
+        value = self[word] = int.from_bytes(hashlib.sha256(word).digest()[:8], "big")
         return value
 
 
 _HALVES = _Halves()
 
 
+#: For each byte, whether it belongs to a word; in UTF-8 no byte of another character does.
+_WORD_BYTES = np.zeros(256, bool)
+_WORD_BYTES[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+
+
+def _word_table(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words (``[a-z0-9]+`` in lower case) of all texts in order: the row of each, its place among the different words, and those."""
+    encoded = [text.lower().encode("utf-8", "replace") for text in texts]
+    data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
+    inside = _WORD_BYTES[data]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    row = np.searchsorted(np.cumsum([len(e) + 1 for e in encoded]), starts, side="right")
+    # The bytes of all words one after the other are a column of texts by their offsets.
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    return row, column.indices.to_numpy(zero_copy_only=False), column.dictionary
+
+
 def hash_counts(texts: Sequence[str], dims: Sequence[int]) -> list[np.ndarray]:
     """For each size a matrix, a row a text: a word adds 1 at one place and takes 0.5 at another, both by its hash."""
-    words = [_WORD.findall(text.lower()) for text in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    hashed = np.fromiter(map(_HALVES.__getitem__, chain.from_iterable(words)), np.uint64, sizes.sum())
-    row, up, down = np.repeat(np.arange(len(words)), sizes), (hashed >> np.uint64(32)).astype(np.int64), (hashed & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    count = lambda half, dim: np.bincount(row * dim + half % dim, minlength=len(words) * dim).reshape(-1, dim)
+    row, which, different = _word_table(texts)
+    hashed = np.fromiter(map(_HALVES.__getitem__, different.to_numpy(zero_copy_only=False)), np.uint64, len(different))
+    up, down = (hashed >> np.uint64(32)).astype(np.int64), (hashed & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    count = lambda half, dim: np.bincount(row * dim + (half % dim)[which], minlength=len(texts) * dim).reshape(-1, dim)
     return [count(up, dim) - 0.5 * count(down, dim) for dim in dims]
 
 
@@ -134,15 +149,23 @@ def best_of_each(blocks: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], de
     for query, names, score in blocks:
         if not score.size:
             continue
-        score = np.round(score, 6)
         if query.max() >= len(floor):
             floor = np.append(floor, np.full(query.max() + 1 - len(floor), -np.inf))
         least = floor[query][:, None]
-        if len(names) > depth:
-            # All that are no worse than the last of the best, so that ties are settled by name later.
-            least = np.maximum(least, -np.partition(-score, depth - 1, axis=1)[:, depth - 1 : depth])
-        q, c = np.nonzero(score >= least)
-        waiting.append([query[q], score[q, c], names[c]])
+        if np.isfinite(least).all():
+            # Most items are worse than all that is held: only those near the bound or above are rounded.
+            q, c = np.nonzero(score >= least - 1e-6 * (1 + np.abs(least)))
+            near = np.round(score[q, c], 6)
+            held = near >= floor[query[q]]
+            q, c, near = q[held], c[held], near[held]
+        else:
+            score = np.round(score, 6)
+            if len(names) > depth:
+                # All that are no worse than the last of the best, so that ties are settled by name later.
+                least = np.maximum(least, -np.partition(-score, depth - 1, axis=1)[:, depth - 1 : depth])
+            q, c = np.nonzero(score >= least)
+            near = score[q, c]
+        waiting.append([query[q], near, names[c]])
         count += len(q)
         if count > most:
             waiting = [settled()]
@@ -180,6 +203,50 @@ def _nearest(queries: DataFrame, items: DataFrame, depth: int, block: int, rows:
     return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= depth)
 
 
+def nearest_chunks(queries: DataFrame, docs: DataFrame, targets: dict[str, int], dims: dict[str, int], depth: int, *, most_queries: int = 20_000, block: int = 512, rows: int = 2048, most_chars: int = 500_000) -> DataFrame:
+    """``nearest`` over the chunks of all ``targets`` and their vectors of all ``dims``, which are made, compared and let go in one pass over ``docs``.
+
+    ``queries`` has ``query_id`` and ``v``, as ``hash_embed`` makes it. Returns ``chunking``,
+    ``embedding``, ``query_id``, ``item_id`` (``chunking.item_name``), ``doc_id``, ``score`` and
+    ``rank``. A task holds the chunks of about ``most_chars`` characters and the best of each
+    query, and hands on names alone: what it holds depends on queries and depth, not on the documents.
+    """
+    blocks = max(1, -(-queries.count() // most_queries))
+    passes = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries for k in range(blocks)]
+    return reduce(DataFrame.unionByName, [_nearest_chunks(part, docs, targets, dims, depth, block, rows, most_chars) for part in passes])
+
+
+def _nearest_chunks(queries: DataFrame, docs: DataFrame, targets: dict[str, int], dims: dict[str, int], depth: int, block: int, rows: int, most_chars: int) -> DataFrame:
+    asked = queries.orderBy("query_id").select("query_id", *(f"v.{arm}" for arm in dims)).toArrow()
+    ids = asked.column(0).to_pylist()
+    sent = queries.sparkSession.sparkContext.broadcast([flat_vectors(column.combine_chunks()) for column in asked.columns[1:]])
+    cells = [(name, arm) for name in targets for arm in dims]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks():
+            for cut in chunking.cut_documents(batches, targets, most_chars):
+                counts = hash_counts(cut.units, list(dims.values()))
+                for k, name in enumerate(targets):
+                    firsts, names = cut.named(name)
+                    for j, matrix in enumerate(sent.value):
+                        vectors, base = unit_length(np.add.reduceat(counts[j], firsts, axis=0)), (k * len(dims) + j) * len(ids)
+                        for first in range(0, len(names), rows):
+                            for at in range(0, len(ids), block):
+                                part = matrix[at : at + block]
+                                yield np.arange(base + at, base + at + len(part)), names[first : first + rows], part @ vectors[first : first + rows].T
+
+        for query, score, name in best_of_each(blocks() if ids else (), depth):
+            of_cell = [cells[k] for k in query // max(1, len(ids))]
+            columns = [[c for c, _ in of_cell], [a for _, a in of_cell], [ids[k] for k in query % max(1, len(ids))], name.tolist(), [chunking.document_of(n) for n in name], score]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names_out)
+
+    names_out = ["chunking", "embedding", "query_id", "item_id", "doc_id", "score"]
+    types = [pa.string(), pa.string(), to_arrow_type(queries.schema["query_id"].dataType), pa.string(), pa.int64(), pa.float64()]
+    found = docs.select("doc_id", "text").mapInArrow(best, f"chunking string, embedding string, query_id {queries.schema['query_id'].dataType.simpleString()}, item_id string, doc_id long, score double")
+    by_query = Window.partitionBy("chunking", "embedding", "query_id").orderBy(F.desc("score"), "item_id")
+    return found.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= depth)
+
+
 def lexical_score(query: Column, text: Column) -> Column:
     """Occurrences of the query's words over the log length; 0 where either has no word."""
     terms, all_words = F.array_distinct(words(query)), words(text)

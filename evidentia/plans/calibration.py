@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidentia.operators import answers, sheets
-from evidentia.plans.catalogue import CELL, REFUSAL, SQL_ANSWERS, SQL_CHUNKS, SQL_GOLD, TARGETS, chunk_table, gold, held_docs, index, query, questions, selected, table
+from evidentia.plans.catalogue import CELL, REFUSAL, SQL_ANSWERS, SQL_CHUNKS, SQL_GOLD, TARGETS, chunk_table, gold, held_docs, query, questions, selected, table
 from evidentia.plans.checks import SQL_AUTHORED, authored
 from evidentia.sources.tables import few, stored
 
@@ -31,7 +31,7 @@ dr AS (SELECT * FROM rk ORDER BY turn, h LIMIT {SHEET})
 SELECT left(sha256('item:' || config || ':' || item_id), 16) AS sheet_id, config, item_id, question, reference, {_SHOWN('reference')} AS note, answer, context FROM dr"""
 )
 def calibration_items(spark, d):
-    contexts = stored(answers.context_text(selected(spark, d, index(spark, d)), CELL))
+    contexts = stored(answers.context_text(selected(spark, d), CELL))
     asked = questions(spark, d).withColumn("note", sheets.judge_note(sheets.contiguity_note(F.col("reference")), TEMPLATE))
     answered = answers.extractive_answer(contexts.join(asked.select("item_id", "question"), "item_id"), REFUSAL)
     drawn = stored(sheets.draw_items(answered.select(*CELL, "answer"), CELL[:3], "item_id", SHEET))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text as T
 from evidentia.operators import answers, effects, reports, retrieval, spans
-from evidentia.plans.catalogue import BUDGET, CELL, DIMS, REFUSAL, RERANK, SQL_EFFECTS, SQL_JUDGED, SQL_METRICS, TARGETS, effect_rows, gold, index, query, questions, ranked, selected
+from evidentia.plans.catalogue import BUDGET, CELL, DIMS, REFUSAL, RERANK, SQL_EFFECTS, SQL_JUDGED, SQL_METRICS, TARGETS, effect_rows, gold, query, questions, ranked, relevant, selected
 from evidentia.sources.runs import RunTable
 from evidentia.sources.tables import shared_folder, stored
 
@@ -40,11 +40,8 @@ vd AS (SELECT chunking, embedding, rerank, item_id, pass_index, CASE WHEN error
 
 def evaluation(spark, d) -> dict[str, DataFrame]:
     """The run's tables: what each cell retrieved, how it meets the gold span, what it answered, and two passes of judgements."""
-    g, chunks = stored(gold(spark, d)), index(spark, d)
-    taken = stored(selected(spark, d, chunks))
-    met = chunks.join(g, (chunks["doc_id"] == g["gold_doc"]) & (chunks["char_start"] < g["gold_end"]) & (chunks["char_end"] > g["gold_start"]))
-    n_rel = met.groupBy("chunking", "item_id").agg(F.count("*").alias("n_rel"))
-    metrics = spans.context_metrics(taken.drop("text", "item", "score", "used"), g, CELL, n_rel)
+    g, taken = stored(gold(spark, d)), stored(selected(spark, d))
+    metrics = spans.context_metrics(taken.drop("text", "item", "score", "used"), g, CELL, relevant(spark, d, g))
     answered = answers.extractive_answer(answers.context_text(taken, CELL).join(questions(spark, d), "item_id"), REFUSAL)
     offline = answers.overlap_judge(answered, REFUSAL).withColumn("pass_index", F.explode(F.array(F.lit(0), F.lit(1))))
     judgements = answers.parse_verdicts(offline.select(*CELL, "pass_index", F.expr(REPLY).alias("reply")))
@@ -111,11 +108,8 @@ SELECT chunking, embedding, rerank, count(*) AS n_queries, round(round(avg(token
 round(avg(tokens_before_gold) FILTER (gold_rank IS NOT NULL), 1) AS mean_tokens_before_gold, {", ".join(f"count(*) FILTER (stop = '{r}') AS {r}" for r in ("overflow", "candidates_exhausted", "no_candidates"))}, {_DIST("n_chunks")}, {_DIST("tokens_used")}, {_DIST("budget_slack")} FROM w GROUP BY ALL"""
 )
 def retrieval_report(spark, d):
-    g, chunks = stored(gold(spark, d)), index(spark, d)
-    every = stored(ranked(spark, d, chunks))
-    met = chunks.join(g, (chunks["doc_id"] == g["gold_doc"]) & (chunks["char_start"] < g["gold_end"]) & (chunks["char_end"] > g["gold_start"]))
-    n_rel = met.groupBy("chunking", "item_id").agg(F.count("*").alias("n_rel"))
-    metrics = spans.context_metrics(retrieval.fill_budget(every, CELL, BUDGET).drop("item", "score", "used"), g, CELL, n_rel).drop("n_chunks", "tokens_used")
+    g, every = stored(gold(spark, d)), ranked(spark, d)
+    metrics = spans.context_metrics(retrieval.fill_budget(every, CELL, BUDGET).drop("item", "score", "used"), g, CELL, relevant(spark, d, g)).drop("n_chunks", "tokens_used")
     levels = lambda name, values: F.explode(F.array(*map(F.lit, values))).alias(name)
     grid = g.select("item_id", levels("chunking", TARGETS)).select("*", levels("embedding", DIMS)).select("*", levels("rerank", RERANK))
     rows = retrieval.fill_summary(every, CELL, BUDGET, grid).join(metrics, CELL, "left").na.fill(0, ["span_coverage", "evidence_density", "distractors", "recall", "ndcg"])
