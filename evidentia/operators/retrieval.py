@@ -249,9 +249,14 @@ def _nearest_chunks(queries: DataFrame, docs: DataFrame, targets: dict[str, int]
 
 def lexical_score(query: Column, text: Column) -> Column:
     """Occurrences of the query's words over the log length; 0 where either has no word."""
-    terms, all_words = F.array_distinct(words(query)), words(text)
-    hits = F.size(F.filter(all_words, lambda w: F.array_contains(terms, w)))
-    return F.when((F.size(terms) > 0) & (F.size(all_words) > 0), F.round(hits / F.log(F.size(all_words) + F.lit(float(np.e))), 6)).otherwise(F.lit(0.0))
+
+    def score(both: Column) -> Column:
+        hits = F.size(F.filter(both["words"], lambda w: F.array_contains(both["terms"], w)))
+        n = F.size(both["words"])
+        return F.when((F.size(both["terms"]) > 0) & (n > 0), F.round(hits / F.log(n + F.lit(float(np.e))), 6)).otherwise(F.lit(0.0))
+
+    # Both are an element's fields, as an expression within the filter would be worked out anew for each word of the text.
+    return F.transform(F.array(F.struct(F.array_distinct(words(query)).alias("terms"), words(text).alias("words"))), score)[0]
 
 
 def rerank(ranked: DataFrame, keys: list[str], score: Column) -> DataFrame:

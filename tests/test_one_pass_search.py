@@ -89,3 +89,18 @@ def test_words_by_their_bytes(monkeypatch):
     retrieval.hash_counts(["same word " * 1000] * 5, [4])
     assert sorted(handed) == [b"same", b"word"]
     assert pa.types.is_large_binary(retrieval._word_table(["x"])[2].type)
+
+
+def test_a_question_is_read_once_a_pair_and_not_for_each_word_of_a_text(spark):
+    rows = [("One two two", "two one TWO three two"), ("one", ""), ("", "one"), ("--", "one"), (None, "one"), ("one", None), ("four", "one two")]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def asked(text):
+        read.add(1)
+        return text
+
+    pairs = spark.createDataFrame(rows, "question string, text string")
+    got = [r["s"] for r in pairs.select(retrieval.lexical_score(asked("question"), F.col("text")).alias("s")).collect()]
+    assert got == [round(4 / np.log(5 + np.e), 6), *[0.0] * 6]
+    assert read.value == len(rows)
